@@ -8,14 +8,19 @@ batch. ``balance_snake`` balances a whole corpus with one distributed position a
 from __future__ import annotations
 
 import heapq
+import sys
 from collections.abc import Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordered import id_bucket, with_position
 
+# The functions below travel with the task, so Python workers need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 class _Split:
     """A partial k-way split: bins of (sum, size, [(row, length), ...]), fullest bin first."""

@@ -77,8 +77,7 @@ def columns_to_rows(df: DataFrame, keys: Sequence[str], arrays: Sequence[str], p
 def rows_to_columns(df: DataFrame, keys: Sequence[str], pos: str, columns: Sequence[str]) -> DataFrame:
     """Rows of a record to parallel arrays in position order. The group is one record: it must fit a cell."""
     items = F.sort_array(F.collect_list(F.struct(pos, *columns))).alias("__items")
-    return df.groupBy(*keys).agg(items).select(
-        *keys, *[F.transform("__items", lambda x, c=c: x[c]).alias(c) for c in columns])
+    return df.groupBy(*keys).agg(items).select(*keys, *[F.col("__items")[c].alias(c) for c in columns])
 
 
 def batch_bytes(df: DataFrame, numeric_widths: dict[str, int], object_columns: Sequence[str]) -> DataFrame:
