@@ -122,3 +122,39 @@ def sft_text_batch(ids: Column, length: int, pad: int) -> dict[str, Column]:
 def shown(ids: Column) -> Column:
     """An array as comma-separated text."""
     return F.array_join(ids.cast("array<string>"), ",", "null")
+
+
+# ---------------------------------------------------------------- content markers
+_MARKED = r"(?s)<<(.*?)(>>|\z)"
+_FLAG = "￿"  # a noncharacter: never part of interchanged text
+
+
+def strip_markers(text: Column) -> Column:
+    """Text without its << >> markers; unmatched markers stay, an unclosed one runs to the end."""
+    return F.regexp_replace(text, _MARKED, "$1")
+
+
+def _pieces(text: Column, inside) -> Column:
+    """Outside and inside pieces in order, each inside piece passed through ``inside``."""
+    outer = F.split(text, _MARKED, -1)
+    inner = F.regexp_extract_all(text, F.lit(_MARKED), F.lit(1))
+    return outer, F.transform(inner, inside)
+
+
+def marker_mask(text: Column) -> Column:
+    """One character per character of the cleaned text: 1 inside a marker, 0 outside."""
+    outer, inner = _pieces(text, lambda p: F.repeat(F.lit("1"), F.length(p)))
+    flat = F.zip_with(outer, inner, lambda o, i: F.concat(F.repeat(F.lit("0"), F.length(o)), F.coalesce(i, F.lit(""))))
+    return F.array_join(flat, "")
+
+
+def content_token_mask(text: Column) -> tuple[Column, Column]:
+    """Words of the cleaned text, and whether any character of a word was inside a marker.
+
+    Inside characters carry a flag through the split, which keeps the work linear in the text.
+    """
+    outer, inner = _pieces(text, lambda p: F.regexp_replace(p, "(?s)(.)", "$1" + _FLAG))
+    flagged = F.array_join(F.zip_with(outer, inner, lambda o, i: F.concat(o, F.coalesce(i, F.lit("")))), "")
+    words = F.filter(F.split(flagged, f"(?:[ \\t\\r\\n]{_FLAG}?)+", -1), lambda w: w != "")
+    return (F.transform(words, lambda w: F.replace(w, F.lit(_FLAG), F.lit(""))),
+            F.transform(words, lambda w: F.contains(w, F.lit(_FLAG))))
