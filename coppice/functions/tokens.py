@@ -75,11 +75,6 @@ def strip_by_pad(ids: Column, pad: int) -> Column:
     return F.when(first > 0, F.slice(ids, first, F.size(ids))).otherwise(F.slice(ids, 1, 0))
 
 
-def position_ids(mask: Column) -> Column:
-    """clip(cumsum(mask) - 1, 0) of a mask whose valid tokens are one contiguous run or any pattern."""
-    return F.transform(mask, lambda _, i: F.greatest(mask_total(F.slice(mask, F.lit(1), i + 1)) - 1, F.lit(0)))
-
-
 def eos_mask(ids: Column, eos: list[int]) -> Column:
     """1 up to and including the first end token."""
     first = F.array_position(F.transform(ids, lambda x: x.isin(eos)), True)

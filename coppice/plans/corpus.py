@@ -141,13 +141,13 @@ def rl_batch_left_pad(spark, sf_dir):
 
 
 @query("assemble_rollout", SFT + f""", z AS (SELECT k.*, p, list_concat(r, {repeat(-1, 'greatest(max(len(r)) OVER (), 90) - len(r)')}) AS r
- FROM k JOIN t USING (conv_id)), e AS (SELECT *, coalesce(list_position([x % 16 = 3 for x in r], true), 0) AS eos FROM z)
+ FROM k JOIN t USING (conv_id)), e AS (SELECT *, coalesce(list_position([x % 1024 = 3 for x in r], true), 0) AS eos FROM z)
 SELECT conv_id, {text_of(f"list_concat({repeat(-1, '60 - np')}, p[greatest(np - 59, 1):np], r)")} AS input_ids,
 {text_of(f"list_concat({repeat(0, '60 - np')}, {repeat(1, 'least(np, 60)')}, [CASE WHEN eos = 0 OR i < eos THEN 1 ELSE 0 END for i in range(len(r))])")} AS attention_mask FROM e""")
 def assemble_rollout(spark, sf_dir):
     t = first_exchanges(spark, sf_dir)
     prompts, mask = K.pad_and_truncate(F.col("p"), K.ones(F.col("p")), 60, -1, left_pad=True, truncation="left")
-    ends = list(range(3, 65536, 16))
+    ends = list(range(3, 65536, 1024))
     out = T.assemble_rollout(t.select("conv_id", prompts.alias("p"), mask.alias("m"), "r"), "p", "m", "r", ends, -1, 90)
     return out.select("conv_id", K.shown(F.col("input_ids")).alias("input_ids"), K.shown(F.col("attention_mask")).alias("attention_mask"))
 
