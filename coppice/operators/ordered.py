@@ -118,6 +118,7 @@ def _chain_blocks(frame, keys, pos, out, reverse, init, block, max_len):
                    .select(*group, F.col("__map.m").alias("__gain"), F.col("__map.y").alias("__offset")))
         carried = _chain_blocks(summary, keys, "__block", "__in", reverse, init, block, -(-max_len // block))
         folded = attach(folded, carried.select(*group, "__in"), group)
-    rows = folded.select("__in", F.explode(F.arrays_zip("__items", "__seen")).alias("z"))
+    # outer: a block is never empty, and the plain form would repeat the fold in an inferred size filter
+    rows = folded.select("__in", F.explode_outer(F.arrays_zip("__items", "__seen")).alias("z"))
     return rows.select(*[F.col(f"z.__items.row.{c}").alias(c) for c in columns],
                        (F.col("z.__seen.y") + F.col("z.__seen.m") * F.col("__in")).alias(out))
