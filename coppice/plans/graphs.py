@@ -213,7 +213,7 @@ eq AS (SELECT w.*, letters[node + 1] AS v, [letters[p + 1] for p in ps] AS pv, [
 
 
 def _inner(p):
-    body = f"array_to_string({p}, CASE WHEN len({p}) = 2 AND inner_op = '-' THEN ' - ' ELSE ' + ' END)"
+    body = f"CASE WHEN len({p}) = 2 AND inner_op = '-' THEN array_to_string({p}, ' - ') ELSE array_to_string({p}, ' + ') END"
     return f"CASE WHEN rng IS NULL THEN {body} ELSE rng || ' ' || rng_op || ' ' || CASE WHEN len({p}) > 1 THEN '(' || {body} || ')' ELSE {body} END END"
 
 
