@@ -121,7 +121,7 @@ def shown(ids: Column) -> Column:
 
 # ---------------------------------------------------------------- content markers
 _MARKED = r"(?s)<<(.*?)(>>|\z)"
-_FLAG = "￿"  # a noncharacter: never part of interchanged text
+_FLAG = "\uffff"  # a noncharacter: never part of interchanged text
 
 
 def strip_markers(text: Column) -> Column:
@@ -143,13 +143,14 @@ def marker_mask(text: Column) -> Column:
     return F.array_join(flat, "")
 
 
-def content_token_mask(text: Column) -> tuple[Column, Column]:
-    """Words of the cleaned text, and whether any character of a word was inside a marker.
+def content_token_mask(text: Column) -> Column:
+    """{words, inside}: words of the cleaned text, and whether any character of a word was inside a marker.
 
     Inside characters carry a flag through the split, which keeps the work linear in the text.
     """
     outer, inner = _pieces(text, lambda p: F.regexp_replace(p, "(?s)(.)", "$1" + _FLAG))
     flagged = F.array_join(F.zip_with(outer, inner, lambda o, i: F.concat(o, F.coalesce(i, F.lit("")))), "")
     words = F.filter(F.split(flagged, f"(?:[ \\t\\r\\n]{_FLAG}?)+", -1), lambda w: w != "")
-    return (F.transform(words, lambda w: F.replace(w, F.lit(_FLAG), F.lit(""))),
-            F.transform(words, lambda w: F.contains(w, F.lit(_FLAG))))
+    return F.element_at(F.transform(F.array(words), lambda ws: F.struct(
+        F.transform(ws, lambda w: F.replace(w, F.lit(_FLAG), F.lit(""))).alias("words"),
+        F.transform(ws, lambda w: F.contains(w, F.lit(_FLAG))).alias("inside"))), 1)

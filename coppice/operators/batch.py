@@ -15,6 +15,7 @@ from .joins import attach, one_row
 from .ordered import hash_bucket, id_bucket, seeded_key, with_position
 
 SLICES = 64
+TOTAL = "n_rows"
 
 
 def batch_len(df: DataFrame) -> Column:
@@ -22,6 +23,11 @@ def batch_len(df: DataFrame) -> Column:
     return one_row(df, F.count(F.lit(1)).alias("n"))["n"]
 
 
+def _rows(df: DataFrame) -> Column:
+    """The batch size: the ``n_rows`` column its positions came with, or a count."""
+    return F.col(TOTAL) if TOTAL in df.columns else batch_len(df)
+
+
 def _must(condition: Column, value: Column, message: str) -> Column:
     return F.when(condition, value).otherwise(F.raise_error(F.lit(message)).cast("bigint"))
 
@@ -134,9 +140,10 @@ def reverse_index(permutation: DataFrame) -> DataFrame:
 def shuffle_rows(df: DataFrame, row_id: str, seed: object = None, epoch: object = 0, pos: str = "pos") -> DataFrame:
     """Seeded reproducible order, or the id order when no seed is given."""
     if seed is None:
-        return with_position(df, [F.col(row_id)], id_bucket(F.col(row_id)), name=pos)
+        return with_position(df, [F.col(row_id)], id_bucket(F.col(row_id)), name=pos, total=TOTAL)
     keyed = df.withColumn("__key", seeded_key(f"{seed}|{epoch}", F.col(row_id)))
-    return with_position(keyed, [F.col("__key"), F.col(row_id)], hash_bucket(F.col("__key")), name=pos).drop("__key")
+    return with_position(keyed, [F.col("__key"), F.col(row_id)], hash_bucket(F.col("__key")), name=pos,
+                         total=TOTAL).drop("__key")
 
 
 def sample_generations(df: DataFrame, n: int, step: int, seed: object = 42, key: str = "input",
@@ -156,7 +163,7 @@ def make_batches(df: DataFrame, batch_size: int | None, drop_last: bool = True,
         return df.withColumn("batch_id", F.lit(0).cast("bigint"))
     out = df.withColumn("batch_id", F.floor(F.col(pos) / F.lit(batch_size)))
     if drop_last:
-        out = out.where(F.col("batch_id") < F.floor(batch_len(df) / F.lit(batch_size)))
+        out = out.where(F.col("batch_id") < F.floor(_rows(df) / F.lit(batch_size))).drop(TOTAL)
     return out
 
 
@@ -171,14 +178,14 @@ def resume_batches(batched: DataFrame, last_done: int) -> DataFrame:
 
 def shard_rows(shuffled: DataFrame, world_size: int, pos: str = "pos") -> DataFrame:
     """Deal rows to ranks in turn; the tail that does not fill every rank is dropped."""
-    whole = F.floor(batch_len(shuffled) / F.lit(world_size)) * F.lit(world_size)
-    return shuffled.where(F.col(pos) < whole).withColumn("rank", F.pmod(F.col(pos), F.lit(world_size)))
+    whole = F.floor(_rows(shuffled) / F.lit(world_size)) * F.lit(world_size)
+    return shuffled.where(F.col(pos) < whole).withColumn("rank", F.pmod(F.col(pos), F.lit(world_size))).drop(TOTAL)
 
 
 def mini_batches(df: DataFrame, row_id: str, mini_batch_size: int, epochs: int, seed: object = None,
                  pos: str = "pos") -> DataFrame:
     """Every epoch over the batch in mini-batches, in batch order or reshuffled per epoch with a seed."""
-    n = divides(batch_len(df), mini_batch_size, "mini-batches")
+    n = divides(_rows(df), mini_batch_size, "mini-batches")
     out = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     if seed is not None:
         out = out.drop(pos).withColumn("__key", seeded_key(seed, F.col("epoch"), F.col(row_id)))
@@ -192,18 +199,18 @@ def mini_batches(df: DataFrame, row_id: str, mini_batch_size: int, epochs: int,
 def batch_slice(df: DataFrame, start: int | None = None, stop: int | None = None, pos: str = "pos") -> DataFrame:
     """Rows by position; negative bounds count from the end."""
     def edge(value):
-        return F.lit(value) if value >= 0 else batch_len(df) + F.lit(value)
+        return F.lit(value) if value >= 0 else _rows(df) + F.lit(value)
     out = df
     if start is not None:
         out = out.where(F.col(pos) >= edge(start))
     if stop is not None:
         out = out.where(F.col(pos) < edge(stop))
-    return out
+    return out.drop(TOTAL)
 
 
 def batch_chunk(df: DataFrame, chunks: int, pos: str = "pos") -> DataFrame:
     """Equal contiguous chunks; the length must divide."""
-    size = divides(batch_len(df), chunks, "chunks") / F.lit(chunks)
+    size = divides(_rows(df), chunks, "chunks") / F.lit(chunks)
     return df.withColumn("chunk", F.floor(F.col(pos) / size))
 
 
@@ -213,19 +220,19 @@ def batch_repeat(df: DataFrame, times: int, interleave: bool = True, pos: str =
     if interleave:
         placed = F.col(pos) * F.lit(times) + F.col("copy")
     else:
-        placed = F.col("copy") * batch_len(df) + F.col(pos)
-    return copies.withColumn(pos, placed)
+        placed = F.col("copy") * _rows(df) + F.col(pos)
+    return copies.withColumn(pos, placed).drop(TOTAL)
 
 
 def pad_to_divisor(df: DataFrame, divisor: int, pos: str = "pos") -> DataFrame:
     """Append rows copied cyclically from the head until the length divides; copies carry ``is_pad``."""
-    n = batch_len(df)
+    n = _rows(df)
     pad = F.pmod(F.lit(divisor) - F.pmod(n, F.lit(divisor)), F.lit(divisor))
     rounds = F.ceil((pad - F.col(pos)) / n)
     head = (df.where(F.col(pos) < pad)
             .withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("bigint"), rounds - 1)))
             .withColumn(pos, n + F.col("__copy") * n + F.col(pos)).drop("__copy").withColumn("is_pad", F.lit(1)))
-    return df.withColumn("is_pad", F.lit(0)).unionByName(head)
+    return df.withColumn("is_pad", F.lit(0)).unionByName(head).drop(TOTAL)
 
 
 def unpad(df: DataFrame) -> DataFrame:
@@ -234,7 +241,7 @@ def unpad(df: DataFrame) -> DataFrame:
 
 def fold_batch(df: DataFrame, new_size: int, columns: Sequence[str], pos: str = "pos") -> DataFrame:
     """[b] -> [new_size, b/new_size]: a row per group with its rows in order. One cell holds b/new_size rows."""
-    width = divides(batch_len(df), new_size, "fold") / F.lit(new_size)
+    width = divides(_rows(df), new_size, "fold") / F.lit(new_size)
     grouped = df.withColumn("fold", F.floor(F.col(pos) / width))
     return grouped.groupBy("fold").agg(F.sort_array(F.collect_list(F.struct(pos, *columns))).alias("rows"))
 

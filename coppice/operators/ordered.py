@@ -38,14 +38,17 @@ def time_bucket(ts: Column, unit: str = "day") -> Column:
 
 
 def with_position(df: DataFrame, order_by: Sequence[Column], bucket: Column, keys: Sequence[str] = (),
-                  name: str = "pos", descending_buckets: bool = False) -> DataFrame:
-    """0-based position of each row in its group. ``bucket`` must be monotone in ``order_by``."""
+                  name: str = "pos", total: str | None = None) -> DataFrame:
+    """0-based position of each row in its group. ``bucket`` must be monotone in ``order_by``.
+
+    ``total`` adds the group's row count, which the bucket sizes give for free.
+    """
     keyed = df.withColumn("__bucket", bucket)
-    bucket_order = F.col("__bucket").desc() if descending_buckets else F.col("__bucket").asc()
     sizes = keyed.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*keys).orderBy(bucket_order).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "__bucket",
-                           F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counted = [F.sum("__n").over(group).alias(total)] if total else []
+    offsets = sizes.select(*keys, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"), *counted)
     ranked = keyed.withColumn("__rank", F.row_number().over(
         Window.partitionBy(*keys, "__bucket").orderBy(*order_by)))
     return (attach(ranked, offsets, [*keys, "__bucket"])
@@ -99,24 +102,23 @@ _SUMMARY = """aggregate(__items, named_struct('y', 0D, 'm', 1D),
   (s, x) -> named_struct('y', x.offset + x.gain * s.y, 'm', x.gain * s.m))"""
 
 
-def _chain_blocks(frame, keys, pos, out, reverse, init, block, max_len):
-    columns = frame.columns
-    blocked = frame.withColumn("__block", F.floor(F.col(pos) / F.lit(block)))
-    step = F.struct(F.col(pos).alias("p"), F.col("__gain").alias("gain"), F.col("__offset").alias("offset"))
-    group = [*keys, "__block"]
-    full = F.struct(F.col(pos).alias("p"), F.col("__gain").alias("gain"), F.col("__offset").alias("offset"),
-                    F.struct(*[F.col(c) for c in columns]).alias("row"))
+def _chain_blocks(frame, keys, pos, out, reverse, init, block, max_len, level=0):
+    columns, number = frame.columns, f"__block{level}"
+    blocked = frame.withColumn(number, F.floor(F.col(pos) / F.lit(block)))
+    step = [F.col(pos).alias("p"), F.col("__gain").alias("gain"), F.col("__offset").alias("offset")]
+    whole = F.struct(*step, F.struct(*[F.col(c) for c in columns]).alias("row"))
+    group = [*keys, number]
     folded = (blocked.groupBy(*group)
-              .agg(F.sort_array(F.collect_list(full), asc=not reverse).alias("__items"))
+              .agg(F.sort_array(F.collect_list(whole), asc=not reverse).alias("__items"))
               .withColumn("__seen", F.expr(_FOLD)))
     if max_len <= block:
         folded = folded.withColumn("__in", F.lit(float(init)))
     else:
         summary = (blocked.groupBy(*group)
-                   .agg(F.sort_array(F.collect_list(step), asc=not reverse).alias("__items"))
+                   .agg(F.sort_array(F.collect_list(F.struct(*step)), asc=not reverse).alias("__items"))
                    .withColumn("__map", F.expr(_SUMMARY))
                    .select(*group, F.col("__map.m").alias("__gain"), F.col("__map.y").alias("__offset")))
-        carried = _chain_blocks(summary, keys, "__block", "__in", reverse, init, block, -(-max_len // block))
+        carried = _chain_blocks(summary, keys, number, "__in", reverse, init, block, -(-max_len // block), level + 1)
         folded = attach(folded, carried.select(*group, "__in"), group)
     # outer: a block is never empty, and the plain form would repeat the fold in an inferred size filter
     rows = folded.select("__in", F.explode_outer(F.arrays_zip("__items", "__seen")).alias("z"))

@@ -250,7 +250,7 @@ ORD = "WITH b AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o
 
 def ordered_orders(spark, sf_dir):
     df = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    return with_position(df, [F.col("o_orderkey")], id_bucket(F.col("o_orderkey")))
+    return with_position(df, [F.col("o_orderkey")], id_bucket(F.col("o_orderkey")), total=batch.TOTAL)
 
 
 def shuffled_sql(seed, key="o_orderkey", source="orders"):
@@ -354,19 +354,15 @@ def unpad(spark, sf_dir):
     return batch.unpad(batch.pad_to_divisor(ordered_orders(spark, sf_dir), 64)).select("o_orderkey", "pos")
 
 
-@query("fold_batch", ORD + """ SELECT pos // 50 AS fold, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY pos) AS rows FROM b GROUP BY 1""")
+@query("fold_batch", ORD + """ SELECT pos // (n // 10) AS fold, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY pos) AS rows FROM b, n GROUP BY 1""")
 def fold_batch(spark, sf_dir):
-    rows = ordered_orders(spark, sf_dir)
-    groups = table(spark, sf_dir, "orders").count() // 50
-    folded = batch.fold_batch(rows, groups, ["o_orderkey"])
+    folded = batch.fold_batch(ordered_orders(spark, sf_dir), 10, ["o_orderkey"])
     return folded.select("fold", F.array_join(F.transform("rows", lambda r: r["o_orderkey"].cast("string")), ",").alias("rows"))
 
 
 @query("unfold_batch", ORD + " SELECT o_orderkey, pos FROM b")
 def unfold_batch(spark, sf_dir):
-    rows = ordered_orders(spark, sf_dir)
-    groups = table(spark, sf_dir, "orders").count() // 50
-    return batch.unfold_batch(batch.fold_batch(rows, groups, ["o_orderkey"]), ["o_orderkey"]).select("o_orderkey", "pos")
+    return batch.unfold_batch(batch.fold_batch(ordered_orders(spark, sf_dir), 10, ["o_orderkey"]), ["o_orderkey"]).select("o_orderkey", "pos")
 
 
 @query("sample_generations", """WITH s AS (SELECT p_name || p_partkey AS i, p_brand AS o, p_retailprice AS s,
@@ -390,7 +386,7 @@ def batch_size_check(spark, sf_dir):
 # ---------------------------------------------------------------- balancing
 def batched_docs(spark, sf_dir, size=200):
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 2048 + 1).alias("length"))
-    placed = with_position(docs, [F.col("doc_id")], id_bucket(F.col("doc_id")))
+    placed = with_position(docs, [F.col("doc_id")], id_bucket(F.col("doc_id")), total=batch.TOTAL)
     return batch.make_batches(placed, size, drop_last=False)
 
 

@@ -232,10 +232,9 @@ o AS (SELECT *, sum(length(w) - length(replace(w, chr(1), '')) - length(w) + len
 SELECT doc_id, md5(string_agg(CASE WHEN regexp_full_match(CASE WHEN coalesce(open, 0) > 0 THEN chr(1) || w ELSE w END, '(?s).*\\x01[^\\x02]+.*') THEN '1' ELSE '0' END, '' ORDER BY i)) AS mask,
  count(*) AS n_tokens FROM o WHERE length(replace(replace(w, chr(1), ''), chr(2), '')) > 0 GROUP BY doc_id""")
 def content_token_mask(spark, sf_dir):
-    words, flags = K.content_token_mask(F.col("text"))
-    out = bound(spark, sf_dir, MARKED).select("doc_id", F.array_join(F.transform(
-        flags, lambda f: F.when(f, "1").otherwise("0")), "").alias("m"), F.size(words).cast("bigint").alias("n_tokens"))
-    return out.where("n_tokens > 0").select("doc_id", F.md5("m").alias("mask"), "n_tokens")
+    bits = F.array_join(F.transform(F.col("t")["inside"], lambda f: F.when(f, "1").otherwise("0")), "")
+    return bound(spark, sf_dir, MARKED).select("doc_id", K.content_token_mask(F.col("text")).alias("t")).select(
+        "doc_id", F.md5(bits).alias("mask"), F.size(F.col("t")["words"]).cast("bigint").alias("n_tokens"))
 
 
 @query("md5_key", "SELECT page_id, md5(url) AS path_key FROM pages")
