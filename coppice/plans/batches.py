@@ -395,7 +395,11 @@ def balance_partitions(spark, sf_dir):
     return balance.balance_partitions(batched_docs(spark, sf_dir), 8, equal_size=True)
 
 
-@query("balance_greedy", )
+@query("balance_greedy", """WITH RECURSIVE d AS (SELECT doc_id AS pos, doc_id // 200 AS batch_id, n_chars % 2048 + 1 AS length FROM documents),
+g AS (SELECT batch_id, min(pos) - 1 AS pos, CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[]) AS sums, CAST(-1 AS INT) AS part FROM d GROUP BY batch_id
+  UNION ALL SELECT g.batch_id, d.pos, [CASE WHEN i = list_position(sums, list_min(sums)) THEN sums[i] + length ELSE sums[i] END for i in range(1, 9)],
+   CAST(list_position(sums, list_min(sums)) - 1 AS INT) FROM g JOIN d ON d.batch_id = g.batch_id AND d.pos = g.pos + 1)
+SELECT batch_id, pos, part FROM g WHERE part >= 0""")
 def balance_greedy(spark, sf_dir):
     return balance.balance_greedy(batched_docs(spark, sf_dir), 8)
 

@@ -257,7 +257,16 @@ def augment_question_order(spark, sf_dir):
     return P.shuffle_conditions(raw, "problem_id", 3, seed=8).select("problem_id", "copy", "query")
 
 
-@query("augment_answer_order")
+ORDERS = DSQL + """, ix AS (SELECT problem_id, node, row_number() OVER (PARTITION BY problem_id ORDER BY node) - 1 AS i FROM need),
+cd AS (SELECT ix.problem_id, ix.node, ix.i, coalesce(list(de.parent) FILTER (de.parent IS NOT NULL), []) AS ps FROM ix LEFT JOIN de ON de.problem_id = ix.problem_id AND de.child = ix.node GROUP BY ALL),
+wk AS (SELECT problem_id, copy, 0 AS k, CAST([] AS INT[]) AS o FROM q, range(1, 4) z(copy)
+  UNION ALL SELECT wk.problem_id, wk.copy, wk.k + 1, list_append(any_value(wk.o), arg_min(cd.node, md5('8|' || wk.problem_id || '|' || wk.copy || '|' || cd.i)))
+  FROM wk JOIN cd ON cd.problem_id = wk.problem_id WHERE NOT list_contains(wk.o, cd.node) AND len([x for x in cd.ps if NOT list_contains(wk.o, x)]) = 0 GROUP BY wk.problem_id, wk.copy, wk.k),
+last AS (SELECT problem_id, copy, arg_max(o, k) AS o FROM wk GROUP BY ALL)
+SELECT l.problem_id, CAST(l.copy AS INT) AS copy, array_to_string(list_append([x for x in o if x <> q.node], q.node), ',') AS "order" FROM last l JOIN q USING (problem_id)"""
+
+
+@query("augment_answer_order", ORDERS)
 def augment_answer_order(spark, sf_dir):
     orders = P.answer_orders(P.gather_problems(*dependency(spark, sf_dir)), 3, seed=8)
     return orders.select("problem_id", "copy", F.expr("array_join(transform(order, i -> get(nodes, i).node), ',')").alias("order"))
