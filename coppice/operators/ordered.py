@@ -13,8 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import attach
-
 ROWS_PER_ID_BUCKET = 1 << 20
 HASH_PREFIX_DIGITS = 4
 
@@ -43,37 +41,46 @@ def with_position(df: DataFrame, order_by: Sequence[Column], bucket: Column, key
 
     ``total`` adds the group's row count, which the bucket sizes give for free.
     """
-    keyed = df.withColumn("__bucket", bucket)
-    sizes = keyed.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    group = Window.partitionBy(*keys)
-    before = group.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    keyed = _grouped(df, keys, bucket)
+    sizes = keyed.groupBy("__group").agg(F.count(F.lit(1)).alias("__n"))
+    group = Window.partitionBy(*[F.col("__group")[k] for k in keys])
+    before = group.orderBy(F.col("__group")["__bucket"]).rowsBetween(Window.unboundedPreceding, -1)
     counted = [F.sum("__n").over(group).alias(total)] if total else []
-    offsets = sizes.select(*keys, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"), *counted)
-    ranked = keyed.withColumn("__rank", F.row_number().over(
-        Window.partitionBy(*keys, "__bucket").orderBy(*order_by)))
-    return (attach(ranked, offsets, [*keys, "__bucket"])
-            .withColumn(name, F.col("__offset") + F.col("__rank") - 1)
-            .drop("__bucket", "__rank", "__offset"))
+    offsets = sizes.select("__group", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"), *counted)
+    ranked = keyed.withColumn("__rank", F.row_number().over(Window.partitionBy("__group").orderBy(*order_by)))
+    return (_with_summary(ranked, offsets).withColumn(name, F.col("__offset") + F.col("__rank") - 1)
+            .drop("__group", "__rank", "__offset"))
+
+
+def _grouped(df: DataFrame, keys: Sequence[str], bucket: Column) -> DataFrame:
+    """``__group``: keys and bucket as one struct. It is never null, even when a key is, so one plain equality on it
+    serves grouping, windowing and joining, and rows are shuffled once for all three."""
+    return df.withColumn("__group", F.struct(*keys, bucket.alias("__bucket")))
+
+
+def _with_summary(rows: DataFrame, summary: DataFrame) -> DataFrame:
+    other = summary.withColumnRenamed("__group", "__other")
+    return rows.join(other, F.col("__group") == F.col("__other")).drop("__other")
 
 
 def running_total(df: DataFrame, value: Column, order_by: Sequence[Column], bucket: Column,
                   keys: Sequence[str] = (), name: str = "total", reverse: bool = False,
                   inclusive: bool = True) -> DataFrame:
     """Running sum over an ordered group, bucket by bucket. ``reverse`` sums from the row to the end."""
-    keyed = df.withColumn("__bucket", bucket).withColumn("__value", value)
-    sums = keyed.groupBy(*keys, "__bucket").agg(F.sum("__value").alias("__sum"))
+    keyed = _grouped(df, keys, bucket).withColumn("__value", value)
+    sums = keyed.groupBy("__group").agg(F.sum("__value").alias("__sum"))
     first, last = Window.unboundedPreceding, Window.unboundedFollowing
-    outer = Window.partitionBy(*keys).orderBy("__bucket")
+    outer = Window.partitionBy(*[F.col("__group")[k] for k in keys]).orderBy(F.col("__group")["__bucket"])
     outer = outer.rowsBetween(1, last) if reverse else outer.rowsBetween(first, -1)
-    carried = sums.select(*keys, "__bucket", F.sum("__sum").over(outer).alias("__carry"))
+    carried = sums.select("__group", F.sum("__sum").over(outer).alias("__carry"))
     edge = 0 if inclusive else 1
-    inner = Window.partitionBy(*keys, "__bucket").orderBy(*order_by)
+    inner = Window.partitionBy("__group").orderBy(*order_by)
     inner = inner.rowsBetween(edge, last) if reverse else inner.rowsBetween(first, -edge)
     local = keyed.withColumn("__local", F.sum("__value").over(inner))
     zero = F.lit(0)
-    return (attach(local, carried, [*keys, "__bucket"])
+    return (_with_summary(local, carried)
             .withColumn(name, F.coalesce("__local", zero) + F.coalesce("__carry", zero))
-            .drop("__bucket", "__value", "__local", "__carry"))
+            .drop("__group", "__value", "__local", "__carry"))
 
 
 def linear_recurrence(df: DataFrame, keys: Sequence[str], pos: str, gain: Column, offset: Column, out: str, *,
@@ -102,24 +109,24 @@ _SUMMARY = """aggregate(__items, named_struct('y', 0D, 'm', 1D),
   (s, x) -> named_struct('y', x.offset + x.gain * s.y, 'm', x.gain * s.m))"""
 
 
-def _chain_blocks(frame, keys, pos, out, reverse, init, block, max_len, level=0):
-    columns, number = frame.columns, f"__block{level}"
-    blocked = frame.withColumn(number, F.floor(F.col(pos) / F.lit(block)))
+def _chain_blocks(frame, keys, pos, out, reverse, init, block, max_len):
+    columns = frame.columns
+    blocked = _grouped(frame, keys, F.floor(F.col(pos) / F.lit(block)))
     step = [F.col(pos).alias("p"), F.col("__gain").alias("gain"), F.col("__offset").alias("offset")]
     whole = F.struct(*step, F.struct(*[F.col(c) for c in columns]).alias("row"))
-    group = [*keys, number]
-    folded = (blocked.groupBy(*group)
+    folded = (blocked.groupBy("__group")
               .agg(F.sort_array(F.collect_list(whole), asc=not reverse).alias("__items"))
               .withColumn("__seen", F.expr(_FOLD)))
     if max_len <= block:
         folded = folded.withColumn("__in", F.lit(float(init)))
     else:
-        summary = (blocked.groupBy(*group)
+        summary = (blocked.groupBy("__group")
                    .agg(F.sort_array(F.collect_list(F.struct(*step)), asc=not reverse).alias("__items"))
                    .withColumn("__map", F.expr(_SUMMARY))
-                   .select(*group, F.col("__map.m").alias("__gain"), F.col("__map.y").alias("__offset")))
-        carried = _chain_blocks(summary, keys, number, "__in", reverse, init, block, -(-max_len // block), level + 1)
-        folded = attach(folded, carried.select(*group, "__in"), group)
+                   .select(*[F.col("__group")[k].alias(k) for k in keys], F.col("__group")["__bucket"].alias("__at"),
+                           F.col("__group").alias("__from"), F.col("__map.m").alias("__gain"), F.col("__map.y").alias("__offset")))
+        carried = _chain_blocks(summary, keys, "__at", "__in", reverse, init, block, -(-max_len // block))
+        folded = _with_summary(folded, carried.select(F.col("__from").alias("__group"), "__in"))
     # outer: a block is never empty, and the plain form would repeat the fold in an inferred size filter
     rows = folded.select("__in", F.explode_outer(F.arrays_zip("__items", "__seen")).alias("z"))
     return rows.select(*[F.col(f"z.__items.row.{c}").alias(c) for c in columns],
