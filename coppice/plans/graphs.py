@@ -234,16 +234,70 @@ def analysis_level(spark, sf_dir):
     return rows.select("problem_id", "n.node", P.analysis_probability(F.col("problem_id") % 5, inputs).alias("p"))
 
 
-@query("render_answer_cot")
+def unit(*parts):
+    return "('0x' || substr(md5('5|' || " + " || '|' || ".join(parts) + "), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+EVENTS = LETTERED + f""", ps AS (SELECT dn.problem_id, dn.node, dn.name, CASE WHEN (dn.problem_id, dn.node) IN (SELECT (problem_id, node) FROM need) THEN 0 ELSE 1 END AS late FROM dn),
+pl2 AS (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY late, node) - 1 AS place FROM ps),
+pe AS (SELECT c.problem_id, c.place, list(p.place ORDER BY de.pos) AS pa FROM pl2 c JOIN de ON de.problem_id = c.problem_id AND de.child = c.node
+  JOIN pl2 p ON p.problem_id = c.problem_id AND p.node = de.parent GROUP BY ALL),
+pr AS (SELECT problem_id, count(*) AS n, count(*) FILTER (late = 0) AS nn, list(coalesce(pa, []) ORDER BY place) AS parents, list(node ORDER BY place) AS node_ids,
+  list(name ORDER BY place) AS at_names FROM pl2 LEFT JOIN pe USING (problem_id, place) GROUP BY problem_id),
+st AS (SELECT problem_id, CAST(-1 AS BIGINT) AS i, CAST(0 AS BIGINT) AS cur, false AS ok, CAST([] AS BIGINT[]) AS solved, CAST([] AS BIGINT[]) AS denoted, CAST(NULL AS BIGINT) AS ev,
+   false AS was_denoted, CAST([] AS BIGINT[]) AS unk FROM pr
+  UNION ALL SELECT problem_id, i, CASE WHEN reflect THEN cur ELSE cur + 1 END, CASE WHEN seen THEN ok WHEN reflect THEN len(unk) = 0 ELSE true END,
+   CASE WHEN NOT seen AND len(unk) = 0 THEN list_append(solved, tgt) ELSE solved END, CASE WHEN seen THEN denoted ELSE list_append(denoted, tgt) END,
+   CASE WHEN NOT seen THEN tgt END, list_contains(denoted, tgt), unk
+  FROM (SELECT *, list_contains(solved, tgt) AS seen, [p for p in parents[tgt + 1] if NOT list_contains(solved, p)] AS unk
+   FROM (SELECT *, CASE WHEN NOT reflect THEN cur WHEN n > nn AND dk < 0.3 THEN nn + CAST(floor(dt * (n - nn)) AS BIGINT) ELSE cur + 1 + CAST(floor(dt * (nn - 1 - cur)) AS BIGINT) END AS tgt
+    FROM (SELECT *, cur > 0 AND cur < nn - 1 AND ok AND i < 3 * n AND dr < 0.3 AS reflect
+     FROM (SELECT st.problem_id, st.i + 1 AS i, cur, ok, solved, denoted, n, nn, parents, {unit('problem_id', '(st.i + 1)', "'reflect'")} AS dr,
+       {unit('problem_id', '(st.i + 1)', "'kind'")} AS dk, {unit('problem_id', '(st.i + 1)', "'target'")} AS dt FROM st JOIN pr USING (problem_id) WHERE cur < nn))))),
+evs AS (SELECT problem_id, row_number() OVER (PARTITION BY problem_id ORDER BY i) - 1 AS line_no, ev, was_denoted, unk FROM st WHERE ev IS NOT NULL),
+ee AS (SELECT evs.*, node_ids[ev + 1] AS node, len(unk) = 0 AS correct, [at_names[u + 1] for u in unk] AS un, parents[ev + 1] AS pa, nn, node_ids, at_names FROM evs JOIN pr USING (problem_id))"""
+
+
+def choose(templates, tag):
+    texts = ", ".join("'" + t.replace("'", "''") + "'" for t in templates)
+    text = f"[{texts}][1 + CAST(floor({unit('problem_id', 'line_no', repr(tag))} * {len(templates)}) AS INT)]"
+    for slot, column in (("{n}", "name"), ("{v}", "v"), ("{x}", "CAST(value AS VARCHAR)"), ("{u}", "array_to_string(un, ', ')"), ("{be}", "be")):
+        text = f"replace({text}, '{slot}', {column})"
+    return text
+
+
+COT = EVENTS + f""", ln AS (SELECT ee.problem_id, line_no, was_denoted, correct, un, CASE WHEN len(un) = 1 THEN 'is' ELSE 'are' END AS be, nn, ev, w.name, w.rng, w.rng_op, w.inner_op, w.ps, w.pn, w.value,
+  letters[ev + 1] AS v, [letters[p + 1] for p in pa] AS pv, [CAST(w.vals[node_ids[p + 1] + 1] AS VARCHAR) for p in pa] AS px FROM ee JOIN w ON w.problem_id = ee.problem_id AND w.node = ee.node JOIN lt ON lt.problem_id = ee.problem_id),
+tx AS (SELECT *, CASE WHEN len(ps) = 0 THEN {choose(P.DIRECT, 'direct')} || ' ' || {choose(P.DEFINE_AFTER_SELECT, 'define')} || ' So ' || v || ' = ' || value || '.'
+  ELSE CASE WHEN was_denoted THEN {choose(P.SELECT, 'select')} || ' Remember that it has been denoted as ' || v || '.'
+    WHEN {unit('problem_id', 'line_no', "'form'")} < 0.5 THEN {choose(P.SELECT, 'select')} || ' ' || {choose(P.DEFINE_AFTER_SELECT, 'define')} ELSE {choose(P.DEFINE_ALONE, 'alone')} END
+   || CASE WHEN {unit('problem_id', 'line_no', "'analysis'")} < [0, 0.1, 0.4, 0.8, 1, 1][1 + len(ps) + CASE WHEN rng IS NULL THEN 0 ELSE 1 END]
+      THEN ' We know that it equals' || split_part({CONDITION}, ' equals', 2) || '.' ELSE '' END || ' ' ||
+   CASE WHEN correct THEN 'Then ' || v || ' = ' || {_inner('pv')} || ' = ' || {_inner('px')} || CASE WHEN {_inner('px')} <> CAST(value AS VARCHAR) THEN ' = ' || value ELSE '' END || '.'
+    ELSE {choose(P.UNKNOWN, 'unknown')} END END AS line FROM ln)
+SELECT problem_id, '<think>' || chr(10) || 'Let''s compute the answer step by step.' || chr(10) || string_agg('- ' || line, chr(10) ORDER BY line_no) || chr(10) || 'Thus, the answer is ' ||
+ max(value) FILTER (ev = nn - 1) || '.' || chr(10) || '</think>' || chr(10) || '<answer>' || chr(10) || 'The final answer is ' || chr(92) || 'boxed' || chr(123) || max(value) FILTER (ev = nn - 1) || chr(125) || '.' ||
+ chr(10) || '</answer>' AS response FROM tx GROUP BY problem_id"""
+
+
+@query("render_answer_cot", COT)
 def render_answer_cot(spark, sf_dir):
-    return P.render_cot_answer(with_redundant(spark, sf_dir), seed=5, reflection_prob=0.0, wrap=True)
+    return P.render_cot_answer(with_redundant(spark, sf_dir), seed=5, reflection_prob=0.3, detailed=False)
 
 
-@query("inject_reflection")
+@query("render_answer_cot_marked")
+def render_answer_cot_marked(spark, sf_dir):
+    return P.render_cot_answer(with_redundant(spark, sf_dir), seed=5, reflection_prob=0.3, wrap=True)
+
+
+@query("inject_reflection", EVENTS + """ SELECT problem_id, line_no, node, CASE WHEN correct THEN 1 ELSE 0 END AS correct, CASE WHEN was_denoted THEN 1 ELSE 0 END AS denoted,
+ array_to_string(un, ',') AS unknown FROM ee""")
 def inject_reflection(spark, sf_dir):
     events = P.attempt_events(with_redundant(spark, sf_dir), 0.3, seed=5)
-    return P.cot_lines(events, seed=5).select("problem_id", "line_no", "e.node", "e.correct", "e.denoted",
-                                              F.array_join("e.unknown", ",").alias("unknown"), "line")
+    lines = events.select("problem_id", "nodes", F.posexplode_outer("events").alias("line_no", "e"))
+    return lines.select("problem_id", F.col("line_no").cast("bigint").alias("line_no"), F.expr("get(nodes, e.node).node").alias("node"),
+                        F.col("e.correct").cast("int").alias("correct"), F.col("e.denoted").cast("int").alias("denoted"),
+                        F.expr("array_join(transform(e.unknown, p -> get(nodes, p).name), ',')").alias("unknown"))
 
 
 QUESTIONS = NAMED + f""", rq AS (SELECT problem_id, list({CONDITION} ORDER BY md5('5|' || problem_id || '|' || node)) AS cs,
