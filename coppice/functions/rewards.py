@@ -25,6 +25,8 @@ UNITS = ["degree", "cm", "centimeter", "meter", "mile", "second", "minute", "hou
          "foot", "feet", "inch", "yard", "liter"]
 # The two readings of pi an answer may use.
 PI_VALUES = ["3.141592653589793", "3.14"]
+# LaTeX symbols and how they read in a plain answer.
+LATEX_SYMBOLS = [("\\pi", "pi"), ("\\infty", "inf"), ("\\cup", "U"), ("\\cdot", "*"), ("\\times", "*")]
 # Data sources and the scorer of each.
 GSM_SOURCES = ["openai/gsm8k"]
 MATH_SOURCES = ["lighteval/MATH", "DigitalLearningGmbH/MATH-lighteval"]
@@ -257,15 +259,17 @@ def score_by_source(source: Column, text: Column, truth: Column,
     return out.otherwise(F.raise_error(F.concat(F.lit("no scorer for data source "), source)).cast("double"))
 
 
-def reward_manager(name: str, format_scale: float = 0.0) -> Callable[[Column, Column], Column]:
-    """Scorer family by name; validation uses ``format_scale=0``."""
-    if name == "igsm":
-        return lambda text, truth: score_boxed(text, truth, format_scale)
-    if name == "eurus2":
-        return score_math_ladder
-    if name == "naive":
-        raise ValueError("the naive manager scores by data source: use score_by_source")
-    raise NotImplementedError(f"unknown reward manager {name!r}")
+def reward_manager(name: str, format_scale: float = 0.0) -> Callable[..., Column]:
+    """Scorer family by name, called with (text, truth, source). Validation uses ``format_scale=0``."""
+    # fixed values: the family names
+    families = {
+        "naive": lambda text, truth, source: score_by_source(source, text, truth),
+        "igsm": lambda text, truth, source=None: score_boxed(text, truth, format_scale),
+        "eurus2": lambda text, truth, source=None: score_math_ladder(text, truth),
+    }
+    if name not in families:
+        raise NotImplementedError(f"unknown reward manager {name!r}")
+    return families[name]
 
 
 # ---------------------------------------------------------------- free-text answers
@@ -351,8 +355,21 @@ def normalize_answer(x: Column) -> Column:
                  lambda s: F.coalesce(normalize_math(s, lenient=True), s))
 
 
-def normalize_text_answer(x: Column, latex_to_text: Callable[[Column], Column] | None = None) -> Column:
-    """Normal form of a worded answer. ``latex_to_text`` may turn remaining LaTeX into plain text."""
+def plain_latex(x: Column) -> Column:
+    """Simple LaTeX as plain text: fractions, roots and the symbols an answer uses; null when more is left."""
+    def symbols(s):
+        for written, read in LATEX_SYMBOLS:
+            s = swap(s, written, read)
+        return F.when(~has(s, "\\"), strip(drop(s, "{", "}")))
+
+    return chain(
+        x,
+        lambda s: F.regexp_replace(s, r"\\[td]?frac\{([^{}]*)\}\{([^{}]*)\}", " $1/$2"),
+        lambda s: F.regexp_replace(s, r"\\sqrt\{([^{}]*)\}", "sqrt($1)"), symbols)
+
+
+def normalize_text_answer(x: Column, latex_to_text: Callable[[Column], Column] = plain_latex) -> Column:
+    """Normal form of a worded answer. ``latex_to_text`` turns remaining LaTeX into plain text, null to leave it."""
     def units(s):
         for unit in UNITS:
             s = F.regexp_replace(s, unit + r"(es)?(s)? *(\^[0-9]+)?", "")
@@ -365,8 +382,6 @@ def normalize_text_answer(x: Column, latex_to_text: Callable[[Column], Column] |
         return let(py_float(s), lambda v: F.when(_near_int(v), _int_text(F.rint(v))).otherwise(s))
 
     def latex(s):
-        if latex_to_text is None:
-            return s
         return F.when(has(s, "\\"), F.coalesce(latex_to_text(s), s)).otherwise(s)
 
     def integer(s):

@@ -118,7 +118,9 @@ def _chain_blocks(frame, keys, pos, out, reverse, init, block, max_len):
               .agg(F.sort_array(F.collect_list(whole), asc=not reverse).alias("__items"))
               .withColumn("__seen", F.expr(_FOLD)))
     if max_len <= block:
-        folded = folded.withColumn("__in", F.lit(float(init)))
+        fits = F.col("__group")["__bucket"] == 0
+        folded = folded.withColumn("__in", F.when(fits, F.lit(float(init))).otherwise(
+            F.raise_error(F.lit("a position is not below max_len")).cast("double")))
     else:
         summary = (blocked.groupBy("__group")
                    .agg(F.sort_array(F.collect_list(F.struct(*step)), asc=not reverse).alias("__items"))

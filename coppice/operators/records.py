@@ -15,6 +15,8 @@ SYSTEM_PROMPT = (
     "within <think> </think> and <answer> </answer> tags, respectively, i.e., <think> all the reasoning process here "
     "</think> <answer> final answer here </answer>."
 )
+# Fixed value: the data source of the records.
+DATA_SOURCE = "igsm"
 # The default chat layout and the suffix that opens the reasoning block.
 HEADER_OPEN = "<|start_header_id|>"
 HEADER_CLOSE = "<|end_header_id|>\n\n"
@@ -29,7 +31,7 @@ def turn(role: str, content: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), content.cast("string").alias("content"))
 
 
-def shape_rl_record(raw: DataFrame, system_prompt: str = SYSTEM_PROMPT, source: str = "igsm",
+def shape_rl_record(raw: DataFrame, system_prompt: str = SYSTEM_PROMPT, source: str = DATA_SOURCE,
                     keep: Sequence[str] = ()) -> DataFrame:
     """Raw problem -> prompt of a system and a user turn, rule reward with the answer as text."""
     return raw.select(
@@ -41,7 +43,7 @@ def shape_rl_record(raw: DataFrame, system_prompt: str = SYSTEM_PROMPT, source:
         F.struct(F.col("num_ops").cast("int").alias("num_ops"), F.col("response").alias("answer")).alias("extra_info"))
 
 
-def shape_sft_record(raw: DataFrame, system_prompt: str = SYSTEM_PROMPT, source: str = "igsm",
+def shape_sft_record(raw: DataFrame, system_prompt: str = SYSTEM_PROMPT, source: str = DATA_SOURCE,
                      keep: Sequence[str] = ()) -> DataFrame:
     """Raw problem -> system, user and assistant turns; the marked answer is null when there is none."""
     marked = F.col("response_with_mask") if "response_with_mask" in raw.columns else F.lit(None)

@@ -32,8 +32,22 @@ pp AS (SELECT a.problem_id, a.param_id AS child, r * CASE WHEN a.lj - a.li > 1 T
    FROM ap a JOIN rk r ON r.problem_id = a.problem_id AND r.lj = a.lj AND r.nj = a.nj WHERE a.lj - a.li > 1)"""
 
 
+def graph_nodes(spark, sf_dir):
+    """The nodes of every part's graph from one scan."""
+    layers = F.array(*[F.struct(F.lit(i).alias("li"), F.col(f"n{i}").alias("ni"), F.lit(c).alias("c")) for i, c in enumerate(CATEGORIES)])
+    nodes = bound(spark, sf_dir, LINES).select("problem_id", F.explode(layers).alias("x")).select("problem_id", "x.li", "x.ni", "x.c").distinct()
+    return nodes.select("problem_id", "li", "ni", F.concat_ws(" ", "c", "ni").alias("name"))
+
+
+def graph_edges(spark, sf_dir):
+    """The edges between neighbouring layers, with their quantity, from one scan."""
+    steps = F.array(*[F.struct(F.lit(i).alias("li"), F.col(f"n{i}").alias("ni"), F.lit(i + 1).alias("lj"), F.col(f"n{i + 1}").alias("nj")) for i in range(3)])
+    edges = bound(spark, sf_dir, LINES).select("problem_id", F.explode(steps).alias("x")).groupBy("problem_id", "x.li", "x.ni", "x.lj", "x.nj")
+    return edges.agg((F.count(F.lit(1)) % 5 + 1).alias("quantity"))
+
+
 def graph(spark, sf_dir):
-    return bound(spark, sf_dir, NODES), bound(spark, sf_dir, EDGES)
+    return graph_nodes(spark, sf_dir), graph_edges(spark, sf_dir)
 
 
 def parents(spark, sf_dir):
@@ -48,7 +62,7 @@ def instance_params(spark, sf_dir):
 
 @query("abstract_params", PARAMS + " SELECT problem_id, param_id, name FROM ap")
 def abstract_params(spark, sf_dir):
-    return S.abstract_params(bound(spark, sf_dir, NODES), CATEGORIES).select("problem_id", "param_id", "name")
+    return S.abstract_params(graph_nodes(spark, sf_dir), CATEGORIES).select("problem_id", "param_id", "name")
 
 
 @query("difficulty_level", PARAMS + " SELECT problem_id, param_id, CAST(lj - li AS INT) AS d_level FROM ap UNION ALL SELECT problem_id, param_id, -1 FROM ip")
@@ -75,7 +89,7 @@ l2 AS (SELECT e.problem_id, b.li, e.lj, e.nj, sum(e.quantity * b.v) AS v FROM ed
 l3 AS (SELECT e.problem_id, b.li, e.lj, e.nj, sum(e.quantity * b.v) AS v FROM edges e JOIN l2 b ON b.problem_id = e.problem_id AND b.lj = e.li AND b.nj = e.ni GROUP BY ALL)
 SELECT problem_id, li, lj, nj, CAST(v AS BIGINT) AS total FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3)""")
 def hierarchy_rollup(spark, sf_dir):
-    return S.hierarchy_rollup(bound(spark, sf_dir, EDGES), "quantity").select("problem_id", "li", "lj", "nj", "total")
+    return S.hierarchy_rollup(graph_edges(spark, sf_dir), "quantity").select("problem_id", "li", "lj", "nj", "total")
 
 
 USED = "SELECT problem_id, param_id FROM ip WHERE quantity >= 3"
@@ -113,7 +127,7 @@ SELECT problem_id, root, CAST(sum(greatest(1, coalesce(d, 0) - 1)) AS BIGINT) AS
  count(*) AS n_nodes FROM cl LEFT JOIN n USING (problem_id, node) GROUP BY problem_id, root""")
 def ancestor_closure(spark, sf_dir):
     up = parents(spark, sf_dir)
-    roots = S.abstract_params(bound(spark, sf_dir, NODES), CATEGORIES).where("lj - li = 3").select("problem_id", F.col("param_id").alias("node"))
+    roots = S.abstract_params(graph_nodes(spark, sf_dir), CATEGORIES).where("lj - li = 3").select("problem_id", F.col("param_id").alias("node"))
     closure = S.ancestor_closure(roots, up, max_depth=3)
     degree = up.groupBy("problem_id", F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("in_degree"))
     budget = S.closure_budget(closure, degree, used_ops=5, max_ops=60)

@@ -52,3 +52,9 @@ def test_global_position_is_not_one_task(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert sorted(r.pos for r in out.collect()) == list(range(1000))
+
+
+def test_too_small_bound_is_an_error(spark):
+    df = spark.createDataFrame([(1, t, 1.0) for t in range(40)], "g int, t int, b double")
+    with pytest.raises(Exception, match="max_len"):
+        O.linear_recurrence(df, ["g"], "t", F.lit(0.5), F.col("b"), "y", block=4, max_len=4).collect()

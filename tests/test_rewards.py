@@ -88,3 +88,9 @@ def test_truncation_error_and_unknown_side(spark):
         spark.range(1).select(K.truncate(F.array(F.lit(1), F.lit(2)).cast("array<bigint>"), 1, "error")).collect()
     with pytest.raises(NotImplementedError):
         K.truncate(F.col("x"), 1, "middle")
+
+
+def test_reward_managers(spark):
+    assert evaluate(spark, lambda x, t: R.reward_manager("igsm", 0.5)(x, t), "\\boxed{3}", "3") == 1.0
+    assert evaluate(spark, lambda x, t: R.reward_manager("naive")(x, t, F.lit("openai/gsm8k")), "#### 3", "3") == 1.0
+    assert evaluate(spark, lambda x, t: R.reward_manager("eurus2")(x, t), "the answer is 0.50", "\\frac{1}{2}") == 1.0
