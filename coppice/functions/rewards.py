@@ -41,6 +41,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def let_each(step: Callable[[Column], Column], a: Column, b: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """``step`` written once and applied to both values, then ``body`` of the two results."""
+    return let(F.transform(F.array(a, b), lambda x: step(x)), lambda v: body(F.get(v, F.lit(0)), F.get(v, F.lit(1))))
+
+
 def chain(value: Column, *steps: Callable[[Column], Column]) -> Column:
     """Steps applied in order, each result bound once."""
     for step in steps:
@@ -224,10 +229,11 @@ def normalize_math(text: Column, lenient: bool = False) -> Column:
 
 def math_equivalent(a: Column, b: Column) -> Column:
     """Equal after clean-up; raw equality when a clean-up fails; two nulls are equal, one null is not."""
-    both = F.struct(a.alias("a"), b.alias("b"), normalize_math(a).alias("na"), normalize_math(b).alias("nb"))
-    return let(both, lambda s: F.when(s["a"].isNull() & s["b"].isNull(), True)
-               .when(s["a"].isNull() | s["b"].isNull(), False)
-               .when(s["na"].isNull() | s["nb"].isNull(), s["a"] == s["b"]).otherwise(s["na"] == s["nb"]))
+    def compare(p, q):
+        return let_each(normalize_math, p, q, lambda np, nq: F.when(p.isNull() & q.isNull(), True)
+                        .when(p.isNull() | q.isNull(), False)
+                        .when(np.isNull() | nq.isNull(), p == q).otherwise(np == nq))
+    return let_each(lambda x: x, a, b, compare)
 
 
 def score_math(text: Column, truth: Column) -> Column:
@@ -457,14 +463,13 @@ def normalize_number(x: Column, pi: Column | None = None) -> Column:
 
 def numeric_equal(prediction: Column, reference: Column, pi: Column | None = None, percentage: bool = True) -> Column:
     """Both numbers and close to each other, allowing a factor of 100 either way; null when one is no number."""
-    pair = F.struct(digit_value(normalize_number(prediction, pi)).alias("p"), digit_value(normalize_number(reference, pi)).alias("r"))
+    return let_each(lambda x: digit_value(normalize_number(x, pi)), prediction, reference,
+                    lambda p, r: _close_numbers(p, r, percentage))
 
-    def check(s):
-        out = close(s["r"], s["p"])
-        if percentage:
-            out = out | close(s["r"] / 100, s["p"]) | close(s["r"] * 100, s["p"])
-        return F.when(s["p"].isNotNull() & s["r"].isNotNull(), out)
-    return let(pair, check)
+
+def _close_numbers(p: Column, r: Column, percentage: bool = True) -> Column:
+    scales = F.array(*[F.lit(k) for k in ((1.0, 0.01, 100.0) if percentage else (1.0,))])
+    return F.when(p.isNotNull() & r.isNotNull(), F.exists(scales, lambda k: close(F.when(k == 0.01, r / 100).otherwise(r * k), p)))
 
 
 def format_interval(x: Column) -> Column:
@@ -485,15 +490,13 @@ def math_equal(prediction: Column, reference: Column, pi: Column | None = None,
 
     Null when a number normalisation fails. ``depth`` bounds the nesting of element-wise comparison.
     """
-    pair = F.struct(normalize_number(prediction, pi).alias("p"), normalize_number(reference, pi).alias("r"))
-    return let(pair, lambda s: _rungs(F.substr(s["p"], F.lit(1), F.lit(1000)), s["r"], depth, symbolic))
+    return let_each(lambda x: normalize_number(x, pi), prediction, reference,
+                    lambda p, r: let(F.substr(p, F.lit(1), F.lit(1000)), lambda cut: _rungs(cut, r, depth, symbolic)))
 
 
 def _rungs(p, r, depth, symbolic):
     text = (F.lower(strip(p)) == F.lower(strip(r))) | (drop(p, " ") == drop(r, " "))
-    numeric = let(F.struct(digit_value(p).alias("p"), digit_value(r).alias("r")), lambda s: F.when(
-        s["p"].isNotNull() & s["r"].isNotNull(),
-        close(s["r"], s["p"]) | close(s["r"] / 100, s["p"]) | close(s["r"] * 100, s["p"])))
+    numeric = let_each(digit_value, p, r, _close_numbers)
     shape = F.struct(format_interval(strip(p)).alias("p"), strip(r).alias("r"))
     structural = let(shape, lambda s: _structure(s["p"], s["r"], depth, symbolic))
     return F.when(p.isNull() | r.isNull(), F.lit(None)).when(text, True).otherwise(
@@ -556,26 +559,23 @@ def grade_answer(given: Column, truth: Column, symbolic: Callable[[Column, Colum
     Without a ``symbolic`` plug-in the last rung accepts equal text and equal plain arithmetic.
     """
     def element(t, g):
-        both = F.struct(plain_arithmetic(t).alias("t"), plain_arithmetic(g).alias("g"))
-        equal = (t == g) | F.coalesce(let(both, lambda s: s["t"] == s["g"]), F.lit(False))
+        equal = (t == g) | F.coalesce(let_each(plain_arithmetic, t, g, lambda x, y: x == y), F.lit(False))
         if symbolic is not None:
             equal = equal | symbolic(t, g)
         guard = symbolic_guard(F.concat(F.lit("("), t, F.lit(")-("), g, F.lit(")")))
         return (F.when(is_fraction(t) & is_fraction(g), t == g)
-                .when(is_int_text(t) != is_int_text(g), False).otherwise(guard & equal))
+                .when(let_each(is_int_text, t, g, lambda x, y: x != y), False).otherwise(guard & equal))
 
     def by_elements(t, g):
-        pair = F.struct(split_tuple(t).alias("t"), split_tuple(g).alias("g"))
-
-        def check(s):
+        def check(ts, gs):
             edges = (char(t, 1) != char(g, 1)) | (F.right(t, F.lit(1)) != F.right(g, F.lit(1)))
-            return (F.when((F.size(s["t"]) > 1) & edges, False).when(F.size(s["t"]) != F.size(s["g"]), False)
-                    .otherwise(F.forall(F.zip_with(s["t"], s["g"], element), lambda v: v)))
-        return let(pair, check)
+            return (F.when((F.size(ts) > 1) & edges, False).when(F.size(ts) != F.size(gs), False)
+                    .otherwise(F.forall(F.zip_with(ts, gs, element), lambda v: v)))
+        return let_each(split_tuple, t, g, check)
 
-    simple = normalize_answer(truth) == normalize_answer(given)
-    worded = F.struct(normalize_text_answer(truth).alias("t"), normalize_text_answer(given).alias("g"))
-    full = let(worded, lambda s: F.when(s["t"] == s["g"], True).when(s["g"] == "", False).otherwise(by_elements(s["t"], s["g"])))
+    simple = let_each(normalize_answer, truth, given, lambda t, g: t == g)
+    full = let_each(normalize_text_answer, truth, given, lambda t, g: F.when(t == g, True).when(g == "", False)
+                    .otherwise(by_elements(t, g)))
     return F.coalesce(F.when(given.isNull(), False).when(simple, True).otherwise(full), F.lit(False))
 
 
