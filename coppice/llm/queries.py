@@ -1,0 +1,51 @@
+"""The bound queries of the corpus operators and, where SQL can express them, the SQL they must agree with."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import licences, mixing, outliers, sharding
+from .common import fold, only, table, whole_text
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+SHARDS = 40
+
+
+def query(name: str, sql: str | None = None):
+    def register(fn):
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLES[name] = sql
+        return fn
+    return register
+
+
+@query("op1_mix_sources")
+def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = only(table(spark, sf_dir, "documents"), "doc_id", "text", "source", "lang")
+    topical = docs.withColumn("topic", mixing.topic_of(whole_text()))
+    return mixing.mix(topical, "doc_id", "text", ["source", "lang", "topic"]).select(
+        "doc_id", "source", "lang", "topic", "tokens", F.round("probability", 6).alias("probability"), "sampled")
+
+
+@query("op2_scan_licences")
+def scan_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op4_shard")
+def shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = only(table(spark, sf_dir, "documents"), "doc_id", "text")
+    narrow = sharding.assign_shards(docs, "doc_id", [1.0] * SHARDS).select(
+        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
+        F.crc32(whole_text().cast("binary")).alias("text_crc32"), "shard", "grown_shard")
+    return sharding.number_slots(narrow, "shard", ["doc_id", "size", "text_crc32", "grown_shard"]).withColumn("law", F.lit("key"))
+
+
+@query("op8_quality_rules")
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.judge(table(spark, sf_dir, "documents"))
