@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licences, mixing, outliers, sharding
+from . import decontaminate, html_text, licences, mixing, outliers, quality, secrets, sharding, toxicity
 from .common import fold, only, table, whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,50 @@ def shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_quality_rules")
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.judge(table(spark, sf_dir, "documents"))
+
+
+@query("op3_quality_classifier")
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = only(table(spark, sf_dir, "documents"), "doc_id", "text")
+    held_out = fold() == 2
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), held_out)
+    return quality.score(docs.withColumn("held_out", held_out), model, out="score").select(
+        "doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+@query("op5_extract_html")
+def extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def joined_spans(spans: Column) -> Column:
+    """kind:start:end, comma-joined, by start and then kind."""
+    names = F.array(*[F.lit(k) for k in secrets.KINDS])
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"))))
+    return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["stop"])), ",")
+
+
+@query("op6_scan_secrets")
+def scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [F.size(F.array_remove(F.array_remove(kinds, a), b)).cast("long").alias(f"n_{secrets.KINDS[3 - a - b]}") for a, b in ((1, 2), (0, 2), (0, 1))]
+    return found.select("doc_id", *counts, F.sha2(joined_spans(F.col("base")), 256).alias("base_sha256"),
+                        joined_spans(F.concat("base", "inferred")).alias("spans"))
+
+
+@query("op7_decontaminate")
+def decontaminate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = only(table(spark, sf_dir, "documents"), "doc_id", "text")
+    marked = decontaminate.mark_contamination(docs, table(spark, sf_dir, "benchmark"))
+    return marked.select("doc_id", "hits.n_words", "hits.n_hit", F.size("hits.items").cast("long").alias("n_items"),
+                         F.sha2(F.array_join("hits.items", ","), 256).alias("items_sha256"), (F.col("hits.n_hit") > 0).alias("contaminated"))
+
+
+@query("op10_toxicity")
+def toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = only(table(spark, sf_dir, "documents"), "doc_id", "text")
+    held_out = fold() == 2
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), held_out)
+    return toxicity.score(docs.withColumn("held_out", held_out), model, out="score").select(
+        "doc_id", "held_out", "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
