@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, licences, mixing, outliers, quality, secrets, sharding, toxicity
-from .common import fold, only, table, whole_text
+from . import decontaminate, html_text, licences, mixing, neardup, outliers, quality, secrets, sharding, toxicity
+from .common import fold, only, table, whole_text, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +96,12 @@ def toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), held_out)
     return toxicity.score(docs.withColumn("held_out", held_out), model, out="score").select(
         "doc_id", "held_out", "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+@query("op9_near_duplicates")
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = neardup.classes(docs).select(F.col("id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "class")
+    found = written(found, "near-duplicates")
+    named = found.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    return found.join(named, "class").select("doc_id", "class_id", "class_size")
