@@ -39,7 +39,7 @@ def word_frequencies(texts: DataFrame, vocabulary: set[bytes]) -> Counter:
         for batch in batches:
             for text in batch.iloc[:, 0]:
                 found.update(shared.value.intersection(ascii_lower_words(text)))
-        yield pd.DataFrame({"word": [w.decode() for w in found], "n": list(found.values())}, columns=["word", "n"])
+        yield pd.DataFrame({"word": pd.Series([w.decode() for w in found], dtype=object), "n": pd.Series(list(found.values()), dtype="int64")})
 
     counted = texts.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return Counter({row.word.encode(): row.n for row in counted.collect()})

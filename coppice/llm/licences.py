@@ -111,7 +111,9 @@ def fit(df: DataFrame, text: str = "text", templates: Mapping[str, Sequence[str]
     # a template also stands in a longer paragraph
     joined = known.unionByName(known.withColumn("paragraph", F.concat(F.lit("This document and its parts are (c) the authors. "), "paragraph")))
     share = confirmation(F.col("words"), templates)
-    drawn = (paragraphs_of(df.select(F.col(text)), text).select("paragraph").where(F.length("paragraph") > 0)
+    share_of_rows = max(1, df.count() // sample)  # about ``sample`` texts, so that sorting does not grow with the table
+    texts = df.select(F.col(text)).where(F.pmod(F.xxhash64(text), F.lit(share_of_rows)) == 0)
+    drawn = (paragraphs_of(texts, text).select("paragraph").where(F.length("paragraph") > 0)
              .withColumn("h", F.xxhash64("paragraph")).where(F.length("paragraph") <= 4000)
              .orderBy("h", "paragraph").limit(sample).withColumn("words", terms(F.col("paragraph"))))
     other = drawn.where(F.greatest(F.lit(0.0), *share.values()) < 0.3).select(F.lit(len(families)).alias("label"), "paragraph", F.lit(1.0).alias("weight"))
@@ -153,20 +155,42 @@ def classify(df: DataFrame, model: LicenceModel, text: str = "text", templates:
         *rows.columns[:-1], "family", "probability", "template_share")
 
 
-def scan(df: DataFrame, key: str = "doc_id", text: str = "text", model: LicenceModel | None = None) -> DataFrame:
+def anchors(templates: Mapping[str, Sequence[str]], confirm: float) -> list[str]:
+    """Words of which a text must hold at least one before any template can reach the ``confirm`` share.
+
+    A confirmed paragraph misses at most ``1 - confirm`` of a template's pairs, so it holds one of any larger number of
+    them, and with it the pair's longer word.
+    """
+    found = set()
+    for _, listed in template_pairs(templates):
+        longest = sorted((max(p.split(), key=lambda w: (len(w), w)) for p in listed), key=lambda w: (-len(w), w))
+        found.update(longest[: int((1 - confirm) * len(listed)) + 1])
+    return sorted(found)
+
+
+def scan(df: DataFrame, key: str = "doc_id", text: str = "text", model: LicenceModel | None = None,
+         templates: Mapping[str, Sequence[str]] = TEMPLATES, confirm: float = CONFIRM) -> DataFrame:
     """Per row: key, n_paragraphs, n_licence, licences (distinct families, sorted, comma-joined) and the best probability.
 
     Null text is one empty paragraph. Rows equal in key and text are scanned as one and returned as often as they
     occur. Other columns are ignored. An empty table gives no rows (the model is then trained on templates alone).
+    A text without any of the ``anchors`` cannot be confirmed for any family, so its paragraphs are not scored.
     """
     named = only(df, key, text).toDF("id", "text")
-    fitted = model or fit(named)
-    rows = named.withColumn("h", F.xxhash64("text", F.reverse("text"))).withColumn("size", F.length("text"))
-    found = classify(rows, fitted).groupBy("id", "h", "size").agg(
-        F.count_if(F.col("pos") == 0).alias("copies"), (F.max("pos") + 1).cast("long").alias("n_paragraphs"),
-        F.collect_set(F.when(F.col("family") != UNKNOWN, F.struct("pos", "family"))).alias("hits"),
-        F.round(F.max(F.when(F.col("family") != UNKNOWN, F.col("probability"))), 4).alias("probability"))
+    fitted = model or fit(named, templates=templates)
+    lowered = F.lower(whole_text())
+    possible = F.lit(False)
+    for word in anchors(templates, confirm):
+        possible = possible | F.contains(lowered, F.lit(word))
+    rows = named.withColumn("n_paragraphs", F.size(F.split(whole_text(), "\n")).cast("long")).withColumn("possible", possible)
+    plain = rows.where(~F.col("possible")).select(F.col("id").alias(key), "n_paragraphs", F.lit(0).cast("long").alias("n_licence"),
+                                                  F.lit("").alias("licences"), F.lit(None).cast("double").alias("probability"))
+    candidates = rows.where("possible").drop("possible").withColumn("h", F.xxhash64("text", F.reverse("text")))
+    hit = F.col("family") != UNKNOWN
+    found = classify(candidates, fitted, templates=templates, confirm=confirm).groupBy("id", "h", "n_paragraphs").agg(
+        F.count_if(F.col("pos") == 0).alias("copies"), F.collect_set(F.when(hit, F.struct("pos", "family"))).alias("hits"),
+        F.round(F.max(F.when(hit, F.col("probability"))), 4).alias("probability"))
     names = F.array_sort(F.array_distinct(F.transform("hits", lambda x: x["family"])))
-    return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
-        F.col("id").alias(key), "n_paragraphs", F.size("hits").cast("long").alias("n_licence"),
-        F.array_join(names, ",").alias("licences"), "probability")
+    scored = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
+        F.col("id").alias(key), "n_paragraphs", F.size("hits").cast("long").alias("n_licence"), F.array_join(names, ",").alias("licences"), "probability")
+    return plain.unionByName(scored)

@@ -9,6 +9,7 @@ sample without repeats whose expected marginals are the targets.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,7 +55,7 @@ def fit_factors(cells: DataFrame, targets: Mapping[str, DataFrame], tolerance: f
     dims = list(targets)
     factors = {d: written(targets[d].select(d, "target", F.lit(1.0).alias("factor")), "mix-factor") for d in dims}
     for _ in range(max_rounds):
-        change = 0.0
+        moves = []
         for dim in dims:
             others = cells.withColumn("__w", F.col("tokens").cast("double"))
             for d in dims:
@@ -64,9 +65,9 @@ def fit_factors(cells: DataFrame, targets: Mapping[str, DataFrame], tolerance: f
             new = (factors[dim].join(sums, dim)
                    .select(dim, "target", (F.col("target") / F.col("__sum")).alias("factor"), F.col("factor").alias("__old")))
             new = written(new, "mix-factor")
-            moved = new.agg(F.max(F.abs(F.col("factor") / F.col("__old") - 1))).first()[0]
-            change = max(change, moved or 0.0)
+            moves.append(new.select(F.abs(F.col("factor") / F.col("__old") - 1).alias("move")))
             factors[dim] = new.drop("__old")
+        change = reduce(DataFrame.unionAll, moves).agg(F.max("move")).first()[0]
         if change <= tolerance:
             return factors
     raise ValueError(f"the targets cannot be met: factors still move by {change}")
