@@ -54,7 +54,7 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
         used = np.flatnonzero(table)
         yield pd.DataFrame({"bucket": used.astype(np.int32), "n": table[used]})
 
-    counted = texts.mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    counted = texts.mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     table = np.zeros(BUCKETS, dtype=np.int64)
     table[counted["bucket"]] = counted["n"]
     return table

@@ -133,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, text: str = "text", key: s
 
     Rows with a null key or label are not used; without both labels every text scores the larger class.
     """
-    rows = sampled_keys(docs.where(~held_out).select(key, text), labels, label, sample, key).select(text, "label").toPandas()
+    rows = sampled_keys(docs.where(~held_out).select(key, text), labels, label, sample, key).select(text, "label").toArrow().to_pandas()
     y = rows["label"].to_numpy(dtype=np.int64)
     if len(set(y)) < 2:
         sure = 4.0 if not len(y) or y[0] else -4.0

@@ -44,7 +44,7 @@ def context_counts(rows: DataFrame, text: str) -> pd.DataFrame:
 
     seen = rows.select(text, "label").mapInPandas(pairs, "pair long, label byte").distinct()
     bucket = F.shiftright("pair", 32).cast("int")
-    return (seen.groupBy(bucket.alias("bucket")).agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("ordinary"))).toPandas()
+    return (seen.groupBy(bucket.alias("bucket")).agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("ordinary"))).toArrow().to_pandas()
 
 
 def likelihood_gaps(counts: pd.DataFrame, discount: float = DISCOUNT) -> np.ndarray:
@@ -99,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, text: str = "text", key: s
     calibrates = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(4)) == 0
     counted = with_label(open_rows.where(~calibrates), labels, label, key)
     gaps = likelihood_gaps(context_counts(counted, text))
-    sample = sampled_keys(open_rows.where(calibrates), labels, label, CALIBRATION, key).select(text, "label").toPandas()
+    sample = sampled_keys(open_rows.where(calibrates), labels, label, CALIBRATION, key).select(text, "label").toArrow().to_pandas()
     if sample["label"].nunique() < 2:
         return ToxicityModel(gaps, np.array([10.0, 20.0, 40.0, 0.0, -10.0, -5.0]))
     x = np.array([features(h, gaps) for h in word_hashes(sample[text])])

@@ -48,7 +48,7 @@ def test_decontamination_matches_brute_force(spark):
 
 def test_short_items_and_blocks(spark, odd_rows, no_rows):
     docs = spark.createDataFrame([(1, "A b c d é b c"), (2, "x"), (3, None)], "doc_id long, text string")
-    items = spark.createDataFrame([(10, "B, c"), (11, None), (None, "É"), (12, "c d é b c d e f g h i")], "item_id long, text string")
+    items = spark.createDataFrame([(10, "B, c"), (11, None), (None, "é"), (12, "c d é b c d e f g h i")], "item_id long, text string")
     for size in (1 << 20, 4):
         got = {r.doc_id: (r.hits.n_hit, r.hits["items"]) for r in decontaminate.mark_contamination(docs, items, block_bytes=size).collect()}
         assert got == {1: (5, ["", "10"]), 2: (0, []), 3: (0, [])}
