@@ -333,7 +333,9 @@ def _near_int(x: Column) -> Column:
 
 
 def _int_text(x: Column) -> Column:
-    return x.try_cast("decimal(38,0)").cast("string")
+    """Whole number as text; beyond 38 digits the shortest digits of the double, filled up with zeros."""
+    wide = F.when(F.abs(x) < F.lit(float("inf")), F.format_string("%.0f", x))
+    return F.coalesce(x.try_cast("decimal(38,0)").cast("string"), wide)
 
 
 def strip_commas(x: Column) -> Column:
@@ -404,7 +406,8 @@ def normalize_text_answer(x: Column, latex_to_text: Callable[[Column], Column] =
 
 
 def _truncate(x: Column) -> Column:
-    return F.when(x < 0, F.ceil(x).cast("double")).otherwise(F.floor(x).cast("double"))
+    whole = F.when(x < 0, F.ceil(x).cast("double")).otherwise(F.floor(x).cast("double"))
+    return F.when(F.abs(x) < F.lit(2.0**53), whole).otherwise(x)  # larger doubles are whole, and past 2^63 a long is not
 
 
 def split_tuple(x: Column) -> Column:
@@ -484,14 +487,15 @@ def format_interval(x: Column) -> Column:
     return out.otherwise(x)
 
 
-def math_equal(prediction: Column, reference: Column, pi: Column | None = None, depth: int = 2,
+def math_equal(prediction: Column, reference: Column, pi: Column | None = None, depth: int = 1,
                symbolic: Callable[[Column, Column], Column] | None = None) -> Column:
     """Text, numeric and structural equality; ``symbolic`` may decide the rest (default: not equal).
 
-    Null when a number normalisation fails. ``depth`` bounds the nesting of element-wise comparison.
+    Null when a number normalisation fails. Elements hold no commas after one split, so what nesting is left is layers of
+    equal brackets, which are taken off together however many there are.
     """
     return let_each(lambda x: normalize_number(x, pi), prediction, reference,
-                    lambda p, r: let(F.substr(p, F.lit(1), F.lit(1000)), lambda cut: _rungs(cut, r, depth, symbolic)))
+                    lambda p, r: _rungs(p, r, depth, symbolic))
 
 
 def _rungs(p, r, depth, symbolic):
@@ -519,7 +523,8 @@ def _structure(p, r, depth, symbolic):
     unbracket = (starts(p, "[") & ends(p, "]") & ~starts(r, "(")) | (starts(p, "(") & ends(p, ")") & ~starts(r, "["))
     same = F.when(unbracket, bare(trimmed(p)) == bare(trimmed(r))).otherwise(bare(p) == bare(r))
     if depth == 0:
-        return same if symbolic is None else same | symbolic(p, r)
+        leaf = same | F.coalesce(_layers_equal(p, r), F.lit(False))
+        return leaf if symbolic is None else leaf | symbolic(p, r)
 
     def inner(x):
         return F.split(F.substr(x, F.lit(2), F.length(x) - 2), ",", -1)
@@ -545,6 +550,17 @@ def _structure(p, r, depth, symbolic):
         .when(F.get(v, F.lit(2)), True).otherwise(last))))
 
 
+def _layers_equal(p: Column, r: Column) -> Column:
+    """Numbers inside the same layers of brackets are close."""
+    def layers(x):
+        text = drop(x, " ")
+        return F.struct(F.regexp_extract(text, r"^[(\[]*", 0).alias("a"), F.regexp_extract(text, r"[)\]]*$", 0).alias("z"),
+                        F.btrim(text, F.lit("()[]")).alias("core"))
+
+    return let_each(layers, p, r, lambda x, y: F.when((x["a"] == y["a"]) & (x["z"] == y["z"]) & (F.length(x["a"]) == F.length(x["z"])),
+                                                      let_each(digit_value, x["core"], y["core"], _close_numbers)))
+
+
 # ---------------------------------------------------------------- grading ladder
 def symbolic_guard(x: Column) -> Column:
     """Whether an expression is simple enough for a symbolic check: at most two letters, no odd powers."""
@@ -596,5 +612,5 @@ def evaluate_math(text: Column, truth: Column, symbolic: Callable[[Column, Colum
     return {name: result[name] for name in ("correct", "format_ok", "answer")}
 
 
-def score_math_ladder(text: Column, truth: Column) -> Column:
-    return evaluate_math(text, truth)["correct"].cast("double")
+def score_math_ladder(text: Column, truth: Column, symbolic: Callable[[Column, Column], Column] | None = None) -> Column:
+    return evaluate_math(text, truth, symbolic)["correct"].cast("double")

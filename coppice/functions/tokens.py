@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-HASH_DIGITS = 4
+HASH_DIGITS = 15
 
 
 def word_tokens(text: Column) -> Column:
@@ -14,7 +14,8 @@ def word_tokens(text: Column) -> Column:
 
 
 def hashed_ids(words: Column, digits: int = HASH_DIGITS) -> Column:
-    """Default tokenizer: a word's id is the head of its md5 (16**digits ids), so no vocabulary is joined."""
+    """Default tokenizer: a word's id is the head of its md5, 60 bits of it, so no vocabulary is joined and distinct words
+    of any corpus practically never share an id. Ids are not negative, so -1 can pad and end tokens stay apart."""
     return F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, digits), 16, 10).cast("bigint"))
 
 
@@ -121,7 +122,8 @@ def shown(ids: Column) -> Column:
 
 # ---------------------------------------------------------------- content markers
 _MARKED = r"(?s)<<(.*?)(>>|\z)"
-_FLAG = "\uffff"  # a noncharacter: never part of interchanged text
+# Inside characters are followed by _FLAG; in the text itself _FLAG and _SAFE are written as _SAFE and a letter.
+_FLAG, _SAFE = "\ufdd1", "\ufdd0"
 
 
 def strip_markers(text: Column) -> Column:
@@ -148,9 +150,11 @@ def content_token_mask(text: Column) -> Column:
 
     Inside characters carry a flag through the split, which keeps the work linear in the text.
     """
-    outer, inner = _pieces(text, lambda p: F.regexp_replace(p, "(?s)(.)", "$1" + _FLAG))
+    safe = F.replace(F.replace(text, F.lit(_SAFE), F.lit(_SAFE + "s")), F.lit(_FLAG), F.lit(_SAFE + "f"))
+    outer, inner = _pieces(safe, lambda p: F.regexp_replace(p, f"(?s)({_SAFE}?.)", "$1" + _FLAG))
     flagged = F.array_join(F.zip_with(outer, inner, lambda o, i: F.concat(o, F.coalesce(i, F.lit("")))), "")
     words = F.filter(F.split(flagged, f"(?:[ \\t\\r\\n]{_FLAG}?)+", -1), lambda w: w != "")
     return F.element_at(F.transform(F.array(words), lambda ws: F.struct(
-        F.transform(ws, lambda w: F.replace(w, F.lit(_FLAG), F.lit(""))).alias("words"),
+        F.transform(ws, lambda w: F.replace(F.replace(F.replace(w, F.lit(_FLAG), F.lit("")), F.lit(_SAFE + "f"), F.lit(_FLAG)),
+                                            F.lit(_SAFE + "s"), F.lit(_SAFE))).alias("words"),
         F.transform(ws, lambda w: F.contains(w, F.lit(_FLAG))).alias("inside"))), 1)

@@ -242,10 +242,9 @@ EQUATIONS = """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber AS n, CAST(
  || ' - ' || (l_suppkey % 50) || ' + ' || (l_partkey % 30) || ') + ' || (l_orderkey % 9) AS equation FROM {lineitem}"""
 
 
-@query("simplify_steps", f"""SELECT equation, count(*) AS n_rows, min(n * (q - l_suppkey % 50 + l_partkey % 30) + l_orderkey % 9) AS value,
-CASE WHEN min(q - l_suppkey % 50) < 0 THEN 1 ELSE 0 END AS negative_partial FROM ({plain(EQUATIONS)}) GROUP BY equation""")
+@query("simplify_steps", f"""SELECT l_orderkey, equation, n * (q - l_suppkey % 50 + l_partkey % 30) + l_orderkey % 9 AS value,
+CASE WHEN q - l_suppkey % 50 < 0 THEN 1 ELSE 0 END AS negative_partial FROM ({plain(EQUATIONS)})""")
 def simplify_steps(spark, sf_dir):
-    df = bound(spark, sf_dir, EQUATIONS).groupBy("equation").agg(F.count(F.lit(1)).alias("n_rows"))
-    steps = df.withColumn("steps", arithmetic.simplify_steps(F.col("equation")))
-    return steps.select("equation", "n_rows", F.element_at("steps", -1).cast("bigint").alias("value"),
+    steps = bound(spark, sf_dir, EQUATIONS).withColumn("steps", arithmetic.simplify_steps(F.col("equation")))
+    return steps.select("l_orderkey", "equation", F.element_at("steps", -1).cast("bigint").alias("value"),
                         F.when(F.rlike(F.get("steps", F.lit(1)), F.lit(r"\(-")), 1).otherwise(0).alias("negative_partial"))
