@@ -3,8 +3,8 @@
 Node table: problem_id, node, ord, kind (instance | abstract), name, rng, rng_op, inner_op, necessary.
 Edge table: problem_id, child, pos, parent (the parents of a node in the order its equation uses them).
 
-A problem has at most 52 nodes (its variables are the letters), which is checked row by row before anything is
-grouped, so gathering a problem into one row is bounded and costs one shuffle; every later step is row-local.
+Gathering a problem into one row costs one shuffle; every later step is row-local. Texts name nodes by letters, so a
+problem that is rendered has at most 52 nodes, which is checked where letters are given out; solving has no limit.
 """
 
 from __future__ import annotations
@@ -62,11 +62,9 @@ def gather_problems(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Without a ``necessary`` column the last node in order is the question, and what it does not depend on is
     redundant: found with one backward pass over the row.
     """
-    bounded = F.when((F.col("node") >= 0) & (F.col("node") < len(LETTERS)), F.col("node").cast("int")).otherwise(
-        F.raise_error(F.lit("not enough variable names: a problem has at most 52 nodes")).cast("int"))
     marked = "necessary" in nodes.columns
     late = (1 - F.col("necessary")).cast("int") if marked else F.lit(0)
-    node = F.struct(late.alias("late"), F.col("ord").cast("int").alias("ord"), bounded.alias("node"),
+    node = F.struct(late.alias("late"), F.col("ord").cast("int").alias("ord"), F.col("node").cast("int").alias("node"),
                     "kind", "name", F.col("rng").cast("bigint").alias("rng"), "rng_op", "inner_op")
     edge = F.struct(F.col("child").cast("int").alias("child"), F.col("pos").cast("int").alias("pos"), F.col("parent").cast("int").alias("parent"))
     as_node = nodes.select("problem_id", node.alias("n"))
@@ -104,9 +102,12 @@ def node_values(solved: DataFrame) -> DataFrame:
         "problem_id", F.col("z.nodes.node").alias("node"), F.col("z.nodes.name").alias("name"), F.col("z.values").alias("value"))
 
 
-def variable_letters(problem: Column, seed: object) -> Column:
-    """The letters in a seeded order per problem."""
+def variable_letters(problem: Column, seed: object, size: Column | None = None) -> Column:
+    """The letters in a seeded order per problem; an error when it has more nodes (``size``) than there are letters."""
     letters = F.array(*[F.lit(c) for c in LETTERS])
+    if size is not None:
+        letters = F.when(size <= len(LETTERS), letters).otherwise(F.split(F.raise_error(
+            F.lit("not enough variable names: a problem has at most 52 nodes")).cast("string"), ","))
     keyed = F.transform(letters, lambda c: F.struct(seeded_key(seed, problem, c).alias("k"), c.alias("c")))
     return F.transform(F.array_sort(keyed), lambda x: x["c"])
 
@@ -127,7 +128,7 @@ _CONDITION = """concat('The number of ', n.name, ' equals', IF(n.rng IS NULL, ''
 
 def node_rows(solved: DataFrame, seed: object = 0, keep: Sequence[str] = ()) -> DataFrame:
     """One row per node with its variable, value, equations and condition text."""
-    lettered = solved.withColumn("letters", variable_letters(F.col("problem_id"), seed))
+    lettered = solved.withColumn("letters", variable_letters(F.col("problem_id"), seed, F.size("nodes")))
     rows = lettered.select("problem_id", "n_needed", "nodes", "values", "letters", *keep, F.posexplode_outer("nodes").alias("at", "n"))
     return _describe(rows)
 
@@ -217,7 +218,7 @@ def attempt_events(problems: DataFrame, reflection_prob: float, seed: object = 0
 def cot_lines(eventful: DataFrame, seed: object = 0, analysis_level: int = 2, detailed: bool = True,
               wrap: bool = False) -> DataFrame:
     """One line per event, worded by seeded choice."""
-    rows = (eventful.withColumn("letters", variable_letters(F.col("problem_id"), seed))
+    rows = (eventful.withColumn("letters", variable_letters(F.col("problem_id"), seed, F.size("nodes")))
             .select("problem_id", "n_needed", "nodes", "values", "letters", F.posexplode_outer("events").alias("line_no", "e"))
             .withColumn("at", F.col("e.node")).withColumn("n", F.expr("get(nodes, at)")))
     rows = _describe(rows).withColumn("unknown", F.expr("transform(e.unknown, p -> get(nodes, p).name)"))
@@ -332,8 +333,9 @@ def augment_dataset(problems: DataFrame, raw: DataFrame, row_id: str, question_a
     extra = answer_orders(problems, answer_aug - 1, seed)
     keyed = reorder_problem(extra).withColumn("base", F.col("problem_id")).withColumn(
         "problem_id", F.concat_ws("#", F.col("problem_id").cast("string"), F.col("copy").cast("string")))
+    written = ["response", "response_with_mask"] if render.get("wrap") else ["response"]
     answers = render_cot_answer(solve(keyed), seed, **render).select(
-        F.substring_index("problem_id", "#", 1).cast(raw.schema[row_id].dataType).alias(row_id),
-        F.substring_index("problem_id", "#", -1).cast("int").alias("copy"), "response")
-    others = raw.drop("response")
+        F.regexp_extract("problem_id", "(?s)^(.*)#", 1).cast(raw.schema[row_id].dataType).alias(row_id),
+        F.substring_index("problem_id", "#", -1).cast("int").alias("copy"), *written)
+    others = raw.drop(*written)
     return original.unionByName(answers.join(others, row_id).select(*original.columns))

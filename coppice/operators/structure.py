@@ -80,11 +80,17 @@ def abstract_equations(parents: DataFrame) -> DataFrame:
         F.when(F.col("products") == 1, pairs).otherwise(sums), " + ").alias("equation"))
 
 
-def hierarchy_rollup(edges: DataFrame, quantity: str, layers: int = 4) -> DataFrame:
+def hierarchy_rollup(edges: DataFrame, quantity: str, layers: int | None = None) -> DataFrame:
     """Value of every abstract parameter: quantities multiplied down the layers and summed up.
 
-    One join and one map-side-combined sum per level of difference, ``layers - 1`` at most.
+    One join and one map-side-combined sum per level of difference. The number of layers is the deepest edge's
+    (one small aggregate) unless given; edges above ``layers`` raise an error.
     """
+    if layers is None:
+        layers = (edges.agg(F.max("lj")).first()[0] or 0) + 1
+    else:
+        edges = edges.withColumn("lj", F.when(F.col("lj") < layers, F.col("lj")).otherwise(
+            F.raise_error(F.lit("an edge lies above the given number of layers")).cast(edges.schema["lj"].dataType)))
     totals = edges.groupBy("problem_id", "li", "lj", "nj").agg(F.sum(quantity).alias("total"))
     out = totals
     for _ in range(layers - 2):
@@ -135,8 +141,9 @@ def ancestor_closure(roots: DataFrame, parents: DataFrame, present: DataFrame |
                      max_depth: int | None = None) -> DataFrame:
     """(problem_id, root, node): each root with all its ancestors, not going through nodes already present.
 
-    With ``max_depth`` (a layered graph has at most layers - 1) the rounds are one lazy plan. Without it,
-    rounds run until the frontier is empty and the lineage is cut by a reliable checkpoint every round.
+    With ``max_depth`` (a layered graph has at most layers - 1) the rounds are one lazy plan, which fails when an ancestor
+    is left beyond it. Without it, rounds run until the frontier is empty and the lineage is cut by a reliable
+    checkpoint every round.
     """
     up = parents.select("problem_id", F.col("child").alias("node"), "parent").distinct()
     if present is not None:
@@ -155,7 +162,11 @@ def ancestor_closure(roots: DataFrame, parents: DataFrame, present: DataFrame |
                 break
         closure = closure.unionByName(step)
         frontier, depth = step, depth + 1
-    return closure if max_depth is None else closure.distinct()
+    if max_depth is None:
+        return closure
+    beyond = attach(frontier, up, ["problem_id", "node"]).select("problem_id", "root", F.raise_error(
+        F.lit("an ancestor lies beyond max_depth")).cast(dict(closure.dtypes)["node"]).alias("node"))
+    return closure.unionByName(beyond).distinct()
 
 
 def closure_budget(closure: DataFrame, in_degrees: DataFrame, used_ops: int, max_ops: int) -> DataFrame:
@@ -166,31 +177,28 @@ def closure_budget(closure: DataFrame, in_degrees: DataFrame, used_ops: int, max
         "accepted", (F.col("new_ops") + used_ops <= max_ops).cast("int"))
 
 
-def topo_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def topo_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(problem_id, node, level): level = longest path from a node without parents; null level = on or behind a cycle.
 
-    Walks the whole frontier of every problem one edge per round; a node's level is the last round that
-    reaches it. Rounds are checkpointed and stop when the frontier is empty.
+    Peels nodes by in-degree: a node leaves in the round in which its last parent has left, so every node and every
+    edge is visited once, and rounds end when nothing is free. What never leaves is on or behind a cycle.
     """
     keys = ["problem_id", "node"]
     down = cut_lineage(edges.select("problem_id", F.col("parent").alias("node"), "child").distinct())
-    has_parent = down.select("problem_id", F.col("child").alias("node"))
-    frontier = nodes.select(*keys).join(has_parent, keys, "left_anti").withColumn("level", F.lit(0))
-    seen = [cut_lineage(frontier)]
-    limit = nodes.groupBy("problem_id").count().agg(F.max("count")).first()[0] or 0
-    # a cycle keeps the frontier alive: any of its nodes shows up again between `limit` and twice `limit`
-    for level in range(1, min(2 * limit, max_rounds) + 1):
-        step = attach(seen[-1], down, keys).select("problem_id", F.col("child").alias("node"), F.lit(level).alias("level")).distinct()
-        step = cut_lineage(step)
-        if step.isEmpty():
-            break
-        seen.append(step)
-    walked = seen[0]
-    for step in seen[1:]:
-        walked = walked.unionByName(step)
-    levels = walked.groupBy(*keys).agg(F.max("level").alias("level"))
-    out = attach(nodes.select(*keys), levels, keys, "left")
-    return out.withColumn("level", F.when(F.col("level") < limit, F.col("level")))
+    waiting = cut_lineage(down.groupBy("problem_id", F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("open")))
+    free = cut_lineage(nodes.select(*keys).distinct().join(waiting, keys, "left_anti").withColumn("level", F.lit(0)))
+    done, level = [free], 0
+    while not free.isEmpty():
+        level += 1
+        reached = attach(free, down, keys).groupBy("problem_id", F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("closed"))
+        waiting = cut_lineage(attach(waiting, reached, keys, "left").select(*keys, (F.col("open") - F.coalesce("closed", F.lit(0))).alias("open")))
+        free = cut_lineage(waiting.where("open = 0").select(*keys, F.lit(level).alias("level")))
+        waiting = waiting.where("open > 0")
+        done.append(free)
+    levels = done[0]
+    for step in done[1:]:
+        levels = levels.unionByName(step)
+    return attach(nodes.select(*keys), levels, keys, "left")
 
 
 def necessary_nodes(questions: DataFrame, edges: DataFrame, nodes: DataFrame, max_depth: int | None = None) -> DataFrame:

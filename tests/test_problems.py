@@ -3,6 +3,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from coppice.functions.tokens import strip_markers
 from coppice.operators import problems as P
 from coppice.operators import structure as S
 
@@ -60,9 +61,12 @@ def test_redundant_nodes_are_found_in_the_row(spark):
 
 
 def test_too_many_nodes(spark):
-    df = spark.createDataFrame([(1, 52, 0, "instance", "a's b", 1, None, None)], NODE)
+    """Only texts need letters: a problem of more nodes, or of any ids, is solved."""
+    df = spark.createDataFrame([(1, 100 + i, i, "instance", "a's b", i, None, None) for i in range(60)], NODE)
+    solved = P.solve(P.gather_problems(df, spark.createDataFrame([(1, 159, 0, 101)], EDGE)))
+    assert {r.node: r.value for r in P.node_values(solved).collect()}[100] == 0
     with pytest.raises(Exception, match="variable names"):
-        P.gather_problems(df, spark.createDataFrame([], EDGE)).collect()
+        P.node_rows(solved).collect()
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -109,6 +113,9 @@ def test_reordered_answer_keeps_values(spark):
     raw = P.render_cot_answer(solved, seed=5).withColumn("query", F.lit("q"))
     out = P.augment_dataset(solved, raw, "problem_id", answer_aug=4, seed=5).collect()
     assert len(out) == 4 and all("boxed{24}" in r.response for r in out)
+    marked = raw.drop("response").join(P.render_cot_answer(solved, seed=5, wrap=True), "problem_id")
+    both = P.augment_dataset(solved, marked, "problem_id", answer_aug=3, seed=5, wrap=True)
+    assert all(r.response == r.clean for r in both.withColumn("clean", strip_markers(F.col("response_with_mask"))).collect())
     with pytest.raises(ValueError):
         P.augment_dataset(solved, raw, "problem_id", question_aug=2, answer_aug=2)
     with pytest.raises(ValueError):
@@ -123,6 +130,21 @@ def test_levels_and_cycles(spark):
     assert got[(2, 3)] == 0 and got[(2, 0)] is None and got[(2, 1)] is None
 
 
+def test_rollup_covers_every_layer(spark):
+    edges = spark.createDataFrame([(1, i, 0, i + 1, 0, 2) for i in range(5)], "problem_id bigint, li int, ni int, lj int, nj int, q int")
+    got = {(r.li, r.lj): r.total for r in S.hierarchy_rollup(edges, "q").collect()}
+    assert got == {(i, j): 2 ** (j - i) for j in range(1, 6) for i in range(j)}
+    with pytest.raises(Exception, match="number of layers"):
+        S.hierarchy_rollup(edges, "q", layers=4).collect()
+
+
+def test_closure_refuses_ancestors_beyond_its_depth(spark):
+    _, edges = worked(spark)
+    roots = spark.createDataFrame([(7, 8)], "problem_id bigint, node int")
+    with pytest.raises(Exception, match="max_depth"):
+        S.ancestor_closure(roots, edges, max_depth=1).collect()
+
+
 def test_closure_modes_agree_and_stop_at_present_nodes(spark):
     nodes, edges = worked(spark)
     roots = spark.createDataFrame([(7, 8)], "problem_id bigint, node int")
