@@ -42,11 +42,15 @@ def policy_loss(tokens: DataFrame, seq: Sequence[str], clip: float, kl_kind: str
 
 
 def mask_by_kl(per_seq: DataFrame, threshold: float, loss: str = "loss", kl: str = "kl_loss") -> DataFrame:
-    """Zero the loss of sequences at or over the KL threshold (only a positive threshold masks)."""
+    """Zero the loss of sequences at or over the KL threshold (only a positive threshold masks).
+
+    A sequence with an empty mask has neither loss nor KL: it counts as kept, with a loss of zero.
+    """
+    filled = per_seq.withColumn(loss, F.coalesce(F.col(loss), F.lit(0.0)))
     if threshold <= 0:
-        return per_seq.withColumn("kept", F.lit(1.0))
-    keep = F.when(F.col(kl) < threshold, 1.0).otherwise(0.0)
-    return per_seq.withColumn("kept", keep).withColumn(loss, F.col(loss) * F.col("kept"))
+        return filled.withColumn("kept", F.lit(1.0))
+    keep = F.when(F.col(kl) >= threshold, 0.0).otherwise(1.0)
+    return filled.withColumn("kept", keep).withColumn(loss, F.col(loss) * F.col("kept"))
 
 
 def policy_diagnostics(per_seq: DataFrame, entropy_coeff: float, kl_coef: float, kl_threshold: float = 0.0) -> DataFrame:

@@ -12,7 +12,7 @@ from .common import bound, plain, query, table
 from .statistics import LENGTHS, _mask_rows
 
 WORDS = "[w for w in regexp_split_to_array({}, '[ \\t\\r\\n]+') if w <> '']"
-IDS = "[('0x' || substr(md5(w), 1, 4))::BIGINT for w in regexp_split_to_array({}, '[ \\t\\r\\n]+') if w <> '']"
+IDS = "[('0x' || substr(md5(w), 1, 15))::BIGINT for w in regexp_split_to_array({}, '[ \\t\\r\\n]+') if w <> '']"
 
 
 def ids(column):
@@ -92,7 +92,7 @@ def strip_left_pad(spark, sf_dir):
 
 
 SFT = f"""WITH q AS (SELECT conv_id, min_by(text, turn) FILTER (role = 'user') AS p, min_by(text, turn) FILTER (role = 'assistant') AS r
- FROM conversations GROUP BY conv_id), t AS (SELECT conv_id, {ids('p')} AS p, list_append({ids('r')}, 99999) AS r FROM q WHERE p IS NOT NULL AND r IS NOT NULL),
+ FROM conversations GROUP BY conv_id), t AS (SELECT conv_id, {ids('p')} AS p, list_append({ids('r')}, -2) AS r FROM q WHERE p IS NOT NULL AND r IS NOT NULL),
  k AS (SELECT conv_id, list_concat(p, r) AS ids, len(p) AS np, len(p) + len(r) AS n FROM t)"""
 
 
@@ -103,7 +103,7 @@ def first_exchanges(spark, sf_dir):
                                  F.max((F.col("role") == "user").cast("int")).alias("u"),
                                  F.max((F.col("role") == "assistant").cast("int")).alias("a"))
     return q.where("u = 1 AND a = 1").select("conv_id", K.tokenize(F.col("p")).alias("p"), F.concat(
-        K.tokenize(F.col("r")), F.array(F.lit(99999).cast("bigint"))).alias("r"))
+        K.tokenize(F.col("r")), F.array(F.lit(-2).cast("bigint"))).alias("r"))
 
 
 @query("sft_example", SFT + f""" SELECT conv_id, {text_of(f"list_concat(ids[1:60], {repeat(-1, '60 - n')})")} AS input_ids,
@@ -141,14 +141,13 @@ def rl_batch_left_pad(spark, sf_dir):
 
 
 @query("assemble_rollout", SFT + f""", z AS (SELECT k.*, p, list_concat(r, {repeat(-1, 'greatest(max(len(r)) OVER (), 90) - len(r)')}) AS r
- FROM k JOIN t USING (conv_id)), e AS (SELECT *, coalesce(list_position([x % 1024 = 3 for x in r], true), 0) AS eos FROM z)
+ FROM k JOIN t USING (conv_id)), e AS (SELECT *, coalesce(list_position(r, -2), 0) AS eos FROM z)
 SELECT conv_id, {text_of(f"list_concat({repeat(-1, '60 - np')}, p[greatest(np - 59, 1):np], r)")} AS input_ids,
 {text_of(f"list_concat({repeat(0, '60 - np')}, {repeat(1, 'least(np, 60)')}, [CASE WHEN eos = 0 OR i < eos THEN 1 ELSE 0 END for i in range(len(r))])")} AS attention_mask FROM e""")
 def assemble_rollout(spark, sf_dir):
     t = first_exchanges(spark, sf_dir)
     prompts, mask = K.pad_and_truncate(F.col("p"), K.ones(F.col("p")), 60, -1, left_pad=True, truncation="left")
-    ends = list(range(3, 65536, 1024))
-    out = T.assemble_rollout(t.select("conv_id", prompts.alias("p"), mask.alias("m"), "r"), "p", "m", "r", ends, -1, 90)
+    out = T.assemble_rollout(t.select("conv_id", prompts.alias("p"), mask.alias("m"), "r"), "p", "m", "r", [-2], -1, 90)
     return out.select("conv_id", K.shown(F.col("input_ids")).alias("input_ids"), K.shown(F.col("attention_mask")).alias("attention_mask"))
 
 
@@ -197,7 +196,7 @@ def rescore_chat(spark, sf_dir):
 
 @query("preference_pairs", f"""WITH q AS (SELECT conv_id, min_by(text, turn) FILTER (role = 'user') AS p, arg_max(text, length(text) * 1000 - turn) FILTER (role = 'assistant') AS c,
  arg_min(text, length(text) * 1000 + turn) FILTER (role = 'assistant') AS r FROM conversations GROUP BY conv_id),
-t AS (SELECT conv_id, list_append(list_concat({ids('p')}, {ids('c')}), 99999) AS c, list_append(list_concat({ids('p')}, {ids('r')}), 99999) AS r
+t AS (SELECT conv_id, list_append(list_concat({ids('p')}, {ids('c')}), -2) AS c, list_append(list_concat({ids('p')}, {ids('r')}), -2) AS r
  FROM q WHERE p IS NOT NULL AND c IS NOT NULL)
 SELECT conv_id, {text_of(f"list_concat(c[1:80], {repeat(0, '80 - len(c)')})")} AS chosen_ids, {text_of(f"list_concat(r[1:80], {repeat(0, '80 - len(r)')})")} AS rejected_ids,
 least(len(c), 80) AS chosen_valid, least(len(r), 80) AS rejected_valid FROM t""")
@@ -205,7 +204,7 @@ def preference_pairs(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     prompts = c.where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("prompt"))
     answers = T.best_and_worst(c.where("role = 'assistant'"), ["conv_id"], "text", F.length("text"), F.col("turn"))
-    out = T.preference_pairs(attach(prompts, answers, ["conv_id"]), "prompt", "chosen", "rejected", 80, 99999)
+    out = T.preference_pairs(attach(prompts, answers, ["conv_id"]), "prompt", "chosen", "rejected", 80, -2)
     return out.select("conv_id", K.shown(F.col("chosen_ids")).alias("chosen_ids"), K.shown(F.col("rejected_ids")).alias("rejected_ids"),
                       K.mask_total(F.col("chosen_mask")).alias("chosen_valid"), K.mask_total(F.col("rejected_mask")).alias("rejected_valid"))
 

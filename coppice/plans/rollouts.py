@@ -188,17 +188,16 @@ def policy_loss(spark, sf_dir):
 
 
 @query("mask_by_kl_threshold", TOK + POLICY_SQL + """ SELECT round(avg(CASE WHEN kl_loss < 0.05 THEN pg_loss ELSE 0 END), 6)
-AS policy_loss, round(1 - avg(CASE WHEN kl_loss < 0.05 THEN 1.0 ELSE 0 END), 6) AS kl_masked_out_ratio
-FROM pl WHERE kl_loss IS NOT NULL""")
+AS policy_loss, round(1 - avg(CASE WHEN kl_loss >= 0.05 THEN 0 ELSE 1.0 END), 6) AS kl_masked_out_ratio FROM pl""")
 def mask_by_kl_threshold(spark, sf_dir):
-    per_seq = _policy(spark, sf_dir).where(F.col("kl_loss").isNotNull())
+    per_seq = _policy(spark, sf_dir)
     kept = T.mask_by_kl(per_seq.withColumn("loss", F.col("pg_loss")), 0.05)
     return kept.agg(F.round(F.avg("loss"), 6).alias("policy_loss"),
                     F.round(1 - F.avg("kept"), 6).alias("kl_masked_out_ratio"))
 
 
-@query("policy_diagnostics", TOK + POLICY_SQL + """, f AS (SELECT *, CASE WHEN kl_loss < 0.05 THEN 1.0::DOUBLE ELSE 0 END AS keep,
- pg_loss - entropy_loss * 0.001::DOUBLE + kl_loss * 0.01::DOUBLE AS loss FROM pl WHERE kl_loss IS NOT NULL)
+@query("policy_diagnostics", TOK + POLICY_SQL + """, f AS (SELECT *, CASE WHEN kl_loss >= 0.05 THEN 0 ELSE 1.0::DOUBLE END AS keep,
+ coalesce(pg_loss - entropy_loss * 0.001::DOUBLE + kl_loss * 0.01::DOUBLE, 0) AS loss FROM pl)
 SELECT 'actor/policy_loss' AS metric, round(avg(loss * keep), 6) + 0.0 AS value FROM f UNION ALL
 SELECT 'actor/entropy_loss', round(avg(entropy_loss), 6) FROM f UNION ALL
 SELECT 'actor/pg_loss', round(avg(pg_loss), 6) + 0.0 FROM f UNION ALL
@@ -208,7 +207,7 @@ SELECT 'actor/kl_loss', round(avg(kl_loss), 6) FROM f UNION ALL
 SELECT 'actor/kl_coef', 0.01::DOUBLE UNION ALL
 SELECT 'actor/kl_masked_out_ratio', round(1 - avg(keep), 6) FROM f""")
 def policy_diagnostics(spark, sf_dir):
-    per_seq = _policy(spark, sf_dir).where(F.col("kl_loss").isNotNull())
+    per_seq = _policy(spark, sf_dir)
     out = T.policy_diagnostics(per_seq, entropy_coeff=0.001, kl_coef=0.01, kl_threshold=0.05)
     return out.select("metric", r6("value"))
 

@@ -33,7 +33,7 @@ def read_splits(spark: SparkSession, splits: dict[str, str | Sequence[str]], sch
 def read_named_sets(spark: SparkSession, paths: Sequence[str], schema: T.StructType | str) -> DataFrame:
     """Many ``<name>.parquet`` paths in one scan, with the name of each row's set in ``set_name``."""
     return read_tables(spark, paths, schema).withColumn(
-        "set_name", F.regexp_extract(F.col("_metadata.file_path"), _SET_NAME, 1))
+        "set_name", F.url_decode(F.replace(F.regexp_extract(F.col("_metadata.file_path"), _SET_NAME, 1), F.lit("+"), F.lit("%2B"))))
 
 
 def read_raw_problems(spark: SparkSession, path: str) -> DataFrame:
