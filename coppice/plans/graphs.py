@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.tokens import strip_markers
 from ..operators import problems as P
+from ..operators import reading
 from ..operators import structure as S
 from .common import bound, plain, query, table
 
@@ -299,9 +301,11 @@ def render_answer_cot(spark, sf_dir):
     return P.render_cot_answer(with_redundant(spark, sf_dir), seed=5, reflection_prob=0.3, detailed=False)
 
 
-@query("render_answer_cot_marked")
+@query("render_answer_cot_marked", COT)
 def render_answer_cot_marked(spark, sf_dir):
-    return P.render_cot_answer(with_redundant(spark, sf_dir), seed=5, reflection_prob=0.3, wrap=True)
+    """The marked text without its marks is the plain answer."""
+    marked = P.render_cot_answer(with_redundant(spark, sf_dir), seed=5, reflection_prob=0.3, detailed=False, wrap=True)
+    return marked.select("problem_id", strip_markers(F.col("response_with_mask")).alias("response"))
 
 
 @query("inject_reflection", EVENTS + """ SELECT problem_id, line_no, node, CASE WHEN correct THEN 1 ELSE 0 END AS correct, CASE WHEN was_denoted THEN 1 ELSE 0 END AS denoted,
@@ -314,6 +318,40 @@ def inject_reflection(spark, sf_dir):
                         F.expr("array_join(transform(e.unknown, p -> get(nodes, p).name), ',')").alias("unknown"))
 
 
+# ---------------------------------------------------------------- reading texts back
+@query("parse_conditions", NAMED + """ SELECT problem_id, name, rng, CASE WHEN rng IS NOT NULL AND len(ps) > 0 THEN rng_op END AS rng_op,
+ CASE WHEN len(ps) = 2 THEN inner_op WHEN len(ps) > 2 THEN '+' END AS inner_op, array_to_string(pn, ';') AS parents, 0 AS is_question FROM w
+UNION ALL SELECT problem_id, name, NULL, NULL, NULL, '', 1 FROM w WHERE (problem_id, node) IN (SELECT (problem_id, node) FROM q)""")
+def parse_conditions(spark, sf_dir):
+    read = reading.parse_conditions(P.render_problem(P.node_rows(all_needed(spark, sf_dir)), seed=5))
+    return read.select("problem_id", "name", "rng", "rng_op", "inner_op", F.array_join("parents", ";").alias("parents"), "is_question")
+
+
+@query("trace_steps", LETTERED + f""" SELECT problem_id, CAST(node AS INT) AS line_no, name, v AS var, CAST(value AS VARCHAR) AS value,
+ 1 + CASE WHEN len(ps) > 0 THEN 1 + CASE WHEN regexp_matches({_inner('px')}, '[-+*]') THEN 1 ELSE 0 END ELSE 0 END AS n_parts FROM eq""")
+def trace_steps(spark, sf_dir):
+    steps = reading.trace_steps(P.render_plain_answer(P.node_rows(all_needed(spark, sf_dir), seed=5)))
+    return steps.select("problem_id", "line_no", "name", "var", F.element_at("parts", -1).alias("value"), F.size("parts").alias("n_parts"))
+
+
+@query("trace_audit", DSQL + """ SELECT problem_id, CAST(count(*) - CASE WHEN problem_id % 7 = 0 THEN 1 ELSE 0 END AS INT) AS n_steps, 0 AS n_broken,
+ CAST(CASE WHEN problem_id % 7 = 0 THEN (SELECT count(DISTINCT child) FROM de WHERE de.problem_id = dn.problem_id AND parent = 0) ELSE 0 END AS INT) AS n_undefined,
+ CASE WHEN problem_id % 5 = 0 THEN 0 ELSE 1 END AS final_ok FROM dn GROUP BY problem_id""")
+def trace_audit(spark, sf_dir):
+    """Every seventh answer lacks its first step, every fifth boxes another number."""
+    answers = P.render_plain_answer(P.node_rows(all_needed(spark, sf_dir), seed=5))
+    shorter = F.when(F.col("problem_id") % 7 == 0, F.regexp_replace("response", r"step\.\nDefine .*\n", "step.\n")).otherwise(F.col("response"))
+    changed = F.when(F.col("problem_id") % 5 == 0, F.replace(shorter, F.lit("boxed{"), F.lit("boxed{1"))).otherwise(shorter)
+    return reading.trace_audit(answers.withColumn("response", changed))
+
+
+@query("behaviour_counts", COT[: COT.index(",\ntx AS")] + f""" SELECT problem_id, CAST(count(*) AS INT) AS n_goals, CAST(count(*) FILTER (NOT correct AND len(ps) > 0) AS INT) AS n_reflections,
+ CAST(count(*) FILTER (len(ps) > 0 AND {unit('problem_id', 'line_no', "'analysis'")} < [0, 0.1, 0.4, 0.8, 1, 1][1 + len(ps) + CASE WHEN rng IS NULL THEN 0 ELSE 1 END]) AS INT) AS n_analyses,
+ CAST(count(*) FILTER (was_denoted AND len(ps) > 0) AS INT) AS n_reminders FROM ln GROUP BY problem_id""")
+def behaviour_counts(spark, sf_dir):
+    return reading.behaviour_counts(P.render_cot_answer(with_redundant(spark, sf_dir), seed=5, reflection_prob=0.3, detailed=False))
+
+
 QUESTIONS = NAMED + f""", rq AS (SELECT problem_id, list({CONDITION} ORDER BY md5('5|' || problem_id || '|' || node)) AS cs,
  max('How many ' || split_part(name, '''s ', 2) || ' does ' || split_part(name, '''s ', 1) || ' have?') FILTER (node = (SELECT node FROM q WHERE q.problem_id = w.problem_id)) AS ask FROM w GROUP BY problem_id)"""
 
