@@ -92,8 +92,15 @@ def _per_batch(batched: DataFrame, split, pos: str, length: str) -> DataFrame:
 
 def balance_partitions(batched: DataFrame, k: int, equal_size: bool = True, pos: str = "pos",
                        length: str = "length") -> DataFrame:
-    """(batch_id, pos, part) of the differencing split of every batch."""
-    return _per_batch(batched, lambda lengths: differencing_split(lengths, k, equal_size), pos, length)
+    """(batch_id, pos, part) of the differencing split of every batch.
+
+    A last batch of fewer than ``k`` rows gets a part per row; one whose size ``k`` does not divide is balanced by length
+    alone.
+    """
+    def split(lengths):
+        return differencing_split(lengths, min(k, len(lengths)), equal_size and len(lengths) % k == 0)
+
+    return _per_batch(batched, split, pos, length)
 
 
 def balance_greedy(batched: DataFrame, k: int, equal_size: bool = False, pos: str = "pos",
@@ -102,13 +109,20 @@ def balance_greedy(batched: DataFrame, k: int, equal_size: bool = False, pos: st
 
 
 def micro_batches(batched: DataFrame, max_tokens: int, padded_length: int, pos: str = "pos",
-                  length: str = "length") -> DataFrame:
-    """Token-budget micro-batches: as many as the budget asks for, balanced by differencing."""
+                  length: str = "length", least: int = 1) -> DataFrame:
+    """Token-budget micro-batches: as many as the budget asks for, balanced by differencing.
+
+    ``least`` is the largest number that another rank needs, as all ranks take equally many; a batch with fewer rows
+    than that is an error.
+    """
     if max_tokens < padded_length:
         raise ValueError("the token budget is smaller than the padded sequence length")
 
     def split(lengths):
-        return differencing_split(lengths, max(1, -(-sum(lengths) // max_tokens)), equal_size=False)
+        wanted = max(least, -(-sum(lengths) // max_tokens))
+        if wanted > len(lengths):
+            raise ValueError(f"{len(lengths)} rows cannot fill {wanted} micro-batches")
+        return differencing_split(lengths, wanted, equal_size=False)
 
     return _per_batch(batched, split, pos, length)
 

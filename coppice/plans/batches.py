@@ -385,17 +385,31 @@ def batch_size_check(spark, sf_dir):
 
 # ---------------------------------------------------------------- balancing
 def batched_docs(spark, sf_dir, size=200):
-    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 2048 + 1).alias("length"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.size(K.word_tokens(F.col("text"))) + 1).cast("bigint").alias("length"))
     placed = with_position(docs, [F.col("doc_id")], id_bucket(F.col("doc_id")), total=batch.TOTAL)
     return batch.make_batches(placed, size, drop_last=False)
 
 
-@query("balance_partitions")
+TOKENS = "len([w for w in regexp_split_to_array(text, '[ \\t\\r\\n]+') if w <> '']) + 1"
+DOC_LENGTHS = f"SELECT doc_id AS pos, doc_id // 200 AS batch_id, {TOKENS} AS length FROM documents"
+
+
+def part_facts(batched, assigned):
+    """Per batch: rows placed once, parts, rows of the smallest and the largest part, and all tokens."""
+    placed = batched.select("batch_id", "pos", "length").join(assigned.dropDuplicates(["batch_id", "pos"]), ["batch_id", "pos"])
+    parts = placed.groupBy("batch_id", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("t"))
+    return parts.groupBy("batch_id").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_parts"), F.min("n").alias("min_rows"),
+                                         F.max("n").alias("max_rows"), F.sum("t").alias("tokens"))
+
+
+@query("balance_partitions", f"""SELECT batch_id, count(*) AS n_rows, 8::BIGINT AS n_parts, count(*) // 8 AS min_rows, count(*) // 8 AS max_rows,
+CAST(sum(length) AS BIGINT) AS tokens FROM ({DOC_LENGTHS}) GROUP BY batch_id""")
 def balance_partitions(spark, sf_dir):
-    return balance.balance_partitions(batched_docs(spark, sf_dir), 8, equal_size=True)
+    batched = batched_docs(spark, sf_dir)
+    return part_facts(batched, balance.balance_partitions(batched, 8, equal_size=True))
 
 
-@query("balance_greedy", """WITH RECURSIVE d AS (SELECT doc_id AS pos, doc_id // 200 AS batch_id, n_chars % 2048 + 1 AS length FROM documents),
+@query("balance_greedy", f"""WITH RECURSIVE d AS ({DOC_LENGTHS}),
 g AS (SELECT batch_id, min(pos) - 1 AS pos, CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[]) AS sums, CAST(-1 AS INT) AS part FROM d GROUP BY batch_id
   UNION ALL SELECT g.batch_id, d.pos, [CASE WHEN i = list_position(sums, list_min(sums)) THEN sums[i] + length ELSE sums[i] END for i in range(1, 9)],
    CAST(list_position(sums, list_min(sums)) - 1 AS INT) FROM g JOIN d ON d.batch_id = g.batch_id AND d.pos = g.pos + 1)
@@ -404,9 +418,11 @@ def balance_greedy(spark, sf_dir):
     return balance.balance_greedy(batched_docs(spark, sf_dir), 8)
 
 
-@query("micro_batches_by_tokens")
+@query("micro_batches_by_tokens", f"""SELECT batch_id, count(*) AS n_rows, CAST(ceil(sum(length) / 32768) AS BIGINT) AS n_parts,
+CAST(sum(length) AS BIGINT) AS tokens FROM ({DOC_LENGTHS}) GROUP BY batch_id""")
 def micro_batches_by_tokens(spark, sf_dir):
-    return balance.micro_batches(batched_docs(spark, sf_dir), max_tokens=16384, padded_length=2048)
+    batched = batched_docs(spark, sf_dir)
+    return part_facts(batched, balance.micro_batches(batched, max_tokens=32768, padded_length=32768)).drop("min_rows", "max_rows")
 
 
 ASSIGNED = """SELECT doc_id FROM documents WHERE doc_id % 97 <> 5 UNION ALL SELECT doc_id FROM documents WHERE doc_id % 89 = 3"""

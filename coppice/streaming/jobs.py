@@ -59,13 +59,17 @@ def _group_normalised(scores: np.ndarray, eps: float) -> np.ndarray:
 
 def group_advantage_stream(stream: DataFrame, group: str, row_id: str, score: str, ts: str, group_size: int,
                            delay: str = "1 hour", timeout_ms: int = 3_600_000, eps: float = 1e-6) -> DataFrame:
-    """Group-normalised advantages, emitted when a group has all its responses or its time is up."""
+    """Group-normalised advantages, emitted when a group has all its responses or its time is up.
+
+    A group is normalised as a whole, so a response beyond ``group_size``, or one that comes after its complete group
+    was emitted, is an error. That a group is done is remembered until its time is up, which bounds the state.
+    """
     def finish(key, ids, scores):
         adv = _group_normalised(np.asarray(scores, dtype="float64"), eps)
         return pd.DataFrame({"group_id": key[0], "row_id": ids, "advantage": adv, "n": len(ids)})
 
     def update(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ids, scores = (list(x) for x in state.get) if state.exists else ([], [])
+        ids, scores, done = (list(state.get[0]), list(state.get[1]), state.get[2]) if state.exists else ([], [], False)
         if state.hasTimedOut:
             state.remove()
             if ids:
@@ -76,37 +80,39 @@ def group_advantage_stream(stream: DataFrame, group: str, row_id: str, score: st
             ids += frame["row_id"].tolist()
             scores += frame["score"].tolist()
             latest = max(latest, int(frame["ts_ms"].max()))
-            while len(ids) >= group_size:
-                yield finish(key, ids[:group_size], scores[:group_size])
-                ids, scores = ids[group_size:], scores[group_size:]
-        if ids:
-            state.update((ids, scores))
-            state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + timeout_ms)
-        elif state.exists:
-            state.remove()
+        if len(ids) > (0 if done else group_size):
+            raise ValueError(f"group {key[0]} has more than {group_size} responses")
+        if len(ids) == group_size:
+            yield finish(key, ids, scores)
+            ids, scores, done = [], [], True
+        state.update((ids, scores, done))
+        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + timeout_ms)
 
     slim = stream.withWatermark(ts, delay).select(
         F.col(group).cast("bigint").alias("group_id"), F.col(row_id).cast("bigint").alias("row_id"),
         F.col(score).cast("double").alias("score"), F.col(ts), F.unix_millis(ts).alias("ts_ms"))
     return slim.groupBy("group_id").applyInPandasWithState(
-        update, "group_id bigint, row_id bigint, advantage double, n bigint", "ids array<bigint>, scores array<double>",
+        update, "group_id bigint, row_id bigint, advantage double, n bigint", "ids array<bigint>, scores array<double>, done boolean",
         "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def kl_controller_stream(steps: DataFrame, init: float, target: float, horizon: float) -> DataFrame:
     """Adaptive KL coefficient per run, carried from step to step in keyed state.
 
-    Steps of one trigger are taken in order; ``steps`` has run, step, kl, n_steps.
+    Steps of one trigger are taken in order; a step that comes after a later one was applied is an error. ``steps`` has
+    run, step, kl, n_steps.
     """
     def update(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        beta = state.get[0] if state.exists else init
+        beta, last = state.get if state.exists else (init, None)
         rows = pd.concat(list(frames)).sort_values("step")
+        if last is not None and int(rows["step"].iloc[0]) <= last:
+            raise ValueError(f"step {rows['step'].iloc[0]} of run {key[0]} came after step {last}")
         error = np.clip(rows["kl"].to_numpy() / target - 1, -0.2, 0.2)
         after = beta * np.cumprod(1 + error * rows["n_steps"].to_numpy() / horizon)
-        state.update((float(after[-1]),))
+        state.update((float(after[-1]), int(rows["step"].iloc[-1])))
         yield pd.DataFrame({"run": key[0], "step": rows["step"].to_numpy(), "beta": np.concatenate([[beta], after[:-1]]), "beta_next": after})
 
     slim = steps.select("run", F.col("step").cast("bigint").alias("step"), F.col("kl").cast("double").alias("kl"),
                         F.col("n_steps").cast("bigint").alias("n_steps"))
     return slim.groupBy("run").applyInPandasWithState(
-        update, "run string, step bigint, beta double, beta_next double", "beta double", "append", GroupStateTimeout.NoTimeout)
+        update, "run string, step bigint, beta double, beta_next double", "beta double, last bigint", "append", GroupStateTimeout.NoTimeout)

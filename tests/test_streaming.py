@@ -35,6 +35,15 @@ def test_groups_wait_for_all_responses_across_restarts_and_time_out(spark):
     assert late[20].n == 1 and late[20].advantage == pytest.approx(5.0, abs=1e-4)
 
 
+def test_surplus_responses_are_refused(spark):
+    base = scratch_path(spark, "test-surplus")
+    at = dt.datetime(2024, 1, 1)
+    write(spark, f"{base}/in", [(1, i, float(i), at) for i in range(4)])
+    stream = spark.readStream.schema(SCHEMA).parquet(f"{base}/in")
+    with pytest.raises(Exception, match="more than 3 responses"):
+        jobs.run_available(jobs.group_advantage_stream(stream, "uid", "rid", "score", "ts", group_size=3), "surplus")
+
+
 def test_controller_state_survives_a_restart(spark):
     base = scratch_path(spark, "test-kl")
     schema = "run string, step bigint, kl double, n_steps bigint"
