@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions import arithmetic
 from ..functions import rewards as R
-from .common import bound, plain, query
+from ..functions import tokens as K
+from ..operators import scoring
+from .common import bound, plain, query, table
 
 VALUE = "CAST(p_size % 9 + 1 AS STRING)"
 
@@ -79,6 +81,49 @@ def score_boxed(spark, sf_dir):
     return bound(spark, sf_dir, DOC).select("doc_id", R.score_boxed(c, t, 0.25).alias("score"), R.score_boxed(c, t).alias("plain"))
 
 
+REWARDED = f"""WITH r AS (SELECT d.doc_id, d.source, CASE WHEN {BOXED} = truth THEN 1.0::DOUBLE ELSE 0 END + 0.25::DOUBLE * {LAYOUT} AS rule FROM ({plain(DOC)}) c JOIN documents d ON d.doc_id = c.doc_id),
+n AS (SELECT doc_id, len([w for w in regexp_split_to_array(text, '[ \\t\\r\\n]+') if w <> '']) AS n FROM documents)"""
+
+
+def rewarded(spark, sf_dir, show=0):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "source", K.ones(K.word_tokens(F.col("text"))).alias("mask"))
+    model = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("labelled"), F.col("quality").alias("model"))
+    rows = bound(spark, sf_dir, DOC).join(docs, F.col("doc_id") == F.col("key")).join(model, F.col("doc_id") == F.col("labelled"), "left")
+    scorers = {f"src{i}": lambda text, truth, extra: R.score_boxed(text, truth, 0.25) + F.when(extra == "none", 0.5).otherwise(0.0) for i in range(20)}
+    return scoring.manage_rewards(rows.withColumn("extra", F.lit("some")), "source", "completion", "truth", "mask", show, "doc_id",
+                                  model_score="model", extra="extra", scorers=scorers)
+
+
+@query("reward_manager", REWARDED + """ SELECT doc_id, CAST(coalesce(quality, rule) AS DOUBLE) AS score, CASE WHEN n > 0 THEN CAST(n - 1 AS INT) END AS at,
+CAST(CASE WHEN n > 0 THEN coalesce(quality, rule) ELSE 0 END AS DOUBLE) AS placed FROM r JOIN n USING (doc_id) LEFT JOIN labels USING (doc_id)""")
+def reward_manager(spark, sf_dir):
+    scored, _ = rewarded(spark, sf_dir)
+    placed = F.aggregate("token_rewards", F.lit(0.0), lambda s, x: s + x)
+    return scored.select("doc_id", "score", scoring.reward_position(F.col("mask")).alias("at"), placed.alias("placed"))
+
+
+@query("reward_manager_examples", REWARDED + """ SELECT source, doc_id, score FROM (SELECT source, doc_id, CAST(coalesce(quality, rule) AS DOUBLE) AS score,
+row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM r LEFT JOIN labels USING (doc_id)) WHERE k <= 2""")
+def reward_manager_examples(spark, sf_dir):
+    return rewarded(spark, sf_dir, show=2)[1].select("source", "doc_id", "score")
+
+
+EVALUATED = """SELECT p_partkey, p_brand AS set_name, p_name AS query, CAST(p_size % 7 AS VARCHAR) AS ground_truth FROM part"""
+
+
+@query("evaluate_named_sets", f"""WITH e AS (SELECT set_name, CASE WHEN (p_partkey + s) % 7 = CAST(ground_truth AS INT) THEN 1.0 ELSE 0 END AS reward,
+ length('<think>' || query || '</think> \\boxed' || chr(123) || ((p_partkey + s) % 7) || chr(125)) AS n FROM ({EVALUATED}), range(3) z(s))
+SELECT set_name, round(sum(reward), 6)::DOUBLE AS correct, count(*) AS total, round(avg(reward), 6)::DOUBLE AS accuracy, round(avg(n), 6) AS mean_length FROM e GROUP BY set_name""")
+def evaluate_named_sets(spark, sf_dir):
+    parts = table(spark, sf_dir, "part")
+    prompts = parts.select("p_partkey", F.col("p_brand").alias("set_name"), F.col("p_name").alias("query"), (F.col("p_size") % 7).cast("string").alias("ground_truth"))
+    said = parts.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    answer = F.concat(F.lit("<think>"), "p_name", F.lit("</think> \\boxed{"), ((F.col("p_partkey") + F.col("sample")) % 7).cast("string"), F.lit("}"))
+    scored = scoring.evaluate_sets(prompts, said.select("p_partkey", "sample", answer.alias("completion")), "p_partkey", 3, R.score_boxed)
+    table_of = scoring.accuracy_by(scored, ["set_name"], "reward", "response_length")
+    return table_of.select("set_name", *[F.round(c, 6).alias(c) for c in ("correct", "accuracy", "mean_length")], "total")
+
+
 # ---------------------------------------------------------------- final numbers
 GSM = """SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'so #### 1,' || (c_custkey % 900 + 100) || ' dollars'
  WHEN 1 THEN 'we get #### -' || c_custkey || '. Done 5.' WHEN 2 THEN 'no mark, only 3 and 4,' WHEN 3 THEN 'words only ' || c_mktsegment

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import balance, batch
+from ..operators import scoring
 from ..operators import metrics as M
 from ..operators.records import zero_answer_ratio as zero_ratio
 from .bindings import TOKENS_SQL, rollout_tokens
@@ -57,25 +58,22 @@ EVAL = "SELECT p_brand AS name, CASE WHEN p_size % 3 = 0 THEN 1.0E0 ELSE 0.0E0 E
 @query("accuracy_eval", f"""SELECT name, round(sum(reward), 6) AS correct, count(*) AS total, round(avg(reward), 6) AS accuracy,
 round(avg(n), 6) AS mean_length FROM ({plain(EVAL)}) GROUP BY name""")
 def accuracy_eval(spark, sf_dir):
-    rows = bound(spark, sf_dir, EVAL)
-    return rows.groupBy("name").agg(r6(F.sum("reward"), "correct"), F.count(F.lit(1)).alias("total"),
-                                    r6(F.avg("reward"), "accuracy"), r6(F.avg("n"), "mean_length"))
+    table = scoring.accuracy_by(bound(spark, sf_dir, EVAL), ["name"], "reward", "n")
+    return table.select("name", r6("correct", "correct"), "total", r6("accuracy", "accuracy"), r6("mean_length", "mean_length"))
 
 
 @query("val_score", TOK + ", s AS (SELECT sum(score) AS s FROM tok GROUP BY uid, sample) SELECT round(avg(s), 6) AS val_score FROM s")
 def val_score(spark, sf_dir):
-    per = rollout_tokens(spark, sf_dir).groupBy("uid", "sample").agg(F.sum("score").alias("s"))
-    return per.agg(r6(F.avg("s"), "val_score"))
+    per = scoring.sequence_scores(rollout_tokens(spark, sf_dir), ["uid", "sample"])
+    return scoring.mean_score(per).select(r6("val_score", "val_score"))
 
 
 @query("val_score_by_source", TOK + """, s AS (SELECT uid % 5 AS src, sum(score) AS s FROM tok GROUP BY uid, sample)
 SELECT CASE WHEN src IS NULL THEN 'all' ELSE CAST(src AS VARCHAR) END AS data_source, round(avg(s), 6) AS val_score
 FROM s GROUP BY ROLLUP (src)""")
 def val_score_by_source(spark, sf_dir):
-    per = rollout_tokens(spark, sf_dir).groupBy("uid", "sample").agg(F.sum("score").alias("s"))
-    per = per.withColumn("src", (F.col("uid") % 5).cast("string"))
-    return per.rollup("src").agg(r6(F.avg("s"), "val_score")).select(
-        F.coalesce("src", F.lit("all")).alias("data_source"), "val_score")
+    per = scoring.sequence_scores(rollout_tokens(spark, sf_dir), ["uid", "sample"]).withColumn("src", (F.col("uid") % 5).cast("string"))
+    return scoring.mean_score(per, "src").select("data_source", r6("val_score", "val_score"))
 
 
 def _mask_rows(spark, sf_dir):
