@@ -178,10 +178,9 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", model: LicenceM
     """
     named = only(df, key, text).toDF("id", "text")
     fitted = model or fit(named, templates=templates)
-    lowered = F.lower(whole_text())
-    possible = F.lit(False)
-    for word in anchors(templates, confirm):
-        possible = possible | F.contains(lowered, F.lit(word))
+    needed = F.array(*[F.lit(word) for word in anchors(templates, confirm)])
+    # bound once: written out, the lower-cased text would be made anew for every word
+    possible = F.element_at(F.transform(F.array(F.lower(whole_text())), lambda low: F.exists(needed, lambda word: F.contains(low, word))), 1)
     rows = named.withColumn("n_paragraphs", F.size(F.split(whole_text(), "\n")).cast("long")).withColumn("possible", possible)
     plain = rows.where(~F.col("possible")).select(F.col("id").alias(key), "n_paragraphs", F.lit(0).cast("long").alias("n_licence"),
                                                   F.lit("").alias("licences"), F.lit(None).cast("double").alias("probability"))
