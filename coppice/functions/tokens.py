@@ -122,7 +122,7 @@ def shown(ids: Column) -> Column:
 
 # ---------------------------------------------------------------- content markers
 _MARKED = r"(?s)<<(.*?)(>>|\z)"
-# Inside characters are followed by _FLAG; in the text itself _FLAG and _SAFE are written as _SAFE and a letter.
+# The parts of words inside a marker are followed by _FLAG; in the text itself _FLAG and _SAFE are written as _SAFE and a letter.
 _FLAG, _SAFE = "\ufdd1", "\ufdd0"
 
 
@@ -148,12 +148,12 @@ def marker_mask(text: Column) -> Column:
 def content_token_mask(text: Column) -> Column:
     """{words, inside}: words of the cleaned text, and whether any character of a word was inside a marker.
 
-    Inside characters carry a flag through the split, which keeps the work linear in the text.
+    The parts of words inside carry a flag through the split, which keeps the work linear in the text.
     """
     safe = F.replace(F.replace(text, F.lit(_SAFE), F.lit(_SAFE + "s")), F.lit(_FLAG), F.lit(_SAFE + "f"))
-    outer, inner = _pieces(safe, lambda p: F.regexp_replace(p, f"(?s)({_SAFE}?.)", "$1" + _FLAG))
+    outer, inner = _pieces(safe, lambda p: F.regexp_replace(p, "([^ \\t\\r\\n]+)", "$1" + _FLAG))
     flagged = F.array_join(F.zip_with(outer, inner, lambda o, i: F.concat(o, F.coalesce(i, F.lit("")))), "")
-    words = F.filter(F.split(flagged, f"(?:[ \\t\\r\\n]{_FLAG}?)+", -1), lambda w: w != "")
+    words = F.filter(F.split(flagged, "[ \\t\\r\\n]+", -1), lambda w: w != "")
     return F.element_at(F.transform(F.array(words), lambda ws: F.struct(
         F.transform(ws, lambda w: F.replace(F.replace(F.replace(w, F.lit(_FLAG), F.lit("")), F.lit(_SAFE + "f"), F.lit(_FLAG)),
                                             F.lit(_SAFE + "s"), F.lit(_SAFE))).alias("words"),
