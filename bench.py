@@ -7,7 +7,7 @@ import os
 import time
 
 from coppice.plans import catalog
-from coppice.session import build_session
+from coppice.session import build_session, clear_scratch
 
 HEADLINE = [
     "adv_grpo", "adv_rloo", "adv_gae", "adv_reinforce_pp", "adv_remax", "apply_kl_penalty", "kl_controller", "policy_loss",
@@ -39,6 +39,7 @@ def main() -> None:
     total = sum(s for name, s in seconds.items() if name not in ITERATIVE)
     print(json.dumps({"metric": "headline_queries_total", "value": round(total, 3), "unit": "sec",
                       "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
+    clear_scratch(spark)
     spark.stop()
 
 

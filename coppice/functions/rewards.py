@@ -430,17 +430,24 @@ def close(a: Column, b: Column, rel_tol: float = 1e-4) -> Column:
                        & (F.abs(a - b) < F.lit(float("inf"))))
 
 
-def plain_arithmetic(x: Column) -> Column:
-    """Value of sums of products and quotients of plain numbers; null for anything else."""
-    number = r"\d+(?:\.\d*)?|\.\d+"
-    shape = rf"^\s*-?\s*(?:{number})(?:\s*[*/+-]\s*(?:{number}))*\s*\z"
-    factors = rf"([*/]?)\s*({number})"
+_PLAIN_NUMBER = r"~?(?:\d+(?:\.\d*)?|\.\d+)"
+
+
+def _flat_arithmetic(x: Column) -> Column:
+    """Value of sums of products, quotients and powers of numbers without parentheses; ``~`` is a number's own minus."""
+    power = rf"(?:{_PLAIN_NUMBER})(?:\s*\^\s*(?:{_PLAIN_NUMBER}))?"
+    shape = rf"^\s*-?\s*{power}(?:\s*[*/+-]\s*{power})*\s*\z"
+    factors = rf"([*/]?)\s*({_PLAIN_NUMBER})(?:\s*\^\s*({_PLAIN_NUMBER}))?"
+
+    def number(v):
+        return F.replace(v, F.lit("~"), F.lit("-")).cast("double")
 
     def term(t):
         body = F.regexp_replace(t, r"^\s*[+-]", "")
         sign = F.when(F.rlike(t, F.lit(r"^\s*-")), -1.0).otherwise(1.0)
-        ops, values = (F.regexp_extract_all(body, F.lit(factors), F.lit(g)) for g in (1, 2))
-        steps = F.zip_with(ops, values, lambda o, v: F.struct(o.alias("o"), v.cast("double").alias("v")))
+        parts = F.arrays_zip(*[F.regexp_extract_all(body, F.lit(factors), F.lit(g)).alias(n) for g, n in ((1, "o"), (2, "v"), (3, "e"))])
+        steps = F.transform(parts, lambda f: F.struct(f["o"].alias("o"), F.when(f["e"] == "", number(f["v"])).otherwise(
+            F.pow(number(f["v"]), number(f["e"]))).alias("v")))
         product = F.aggregate(steps, F.lit(1.0), lambda s, f: F.when(f["o"] == "/", F.try_divide(s, f["v"])).otherwise(s * f["v"]))
         return sign * product
 
@@ -448,6 +455,25 @@ def plain_arithmetic(x: Column) -> Column:
     return F.when(F.rlike(x, F.lit(shape)), F.aggregate(terms, F.lit(0.0), lambda s, v: s + v))
 
 
+def plain_arithmetic(x: Column) -> Column:
+    """Value of an expression of plain numbers with + - * / ^ and parentheses; null for anything else.
+
+    Parentheses are replaced by their values from the innermost out, one a pass.
+    """
+    def fold(s, _):
+        parts = F.split(F.regexp_replace(s, r"(?s)^(.*)\(([^()]*)\)(.*)$", "$1\u0001$2\u0001$3"), "\u0001", -1)
+
+        def put(p):
+            value = _flat_arithmetic(F.get(p, F.lit(1)))
+            text = F.concat(F.when(value < 0, "~").otherwise(""), F.format_string("%.15f", F.abs(value)))
+            return F.when(F.size(p) == 3, F.coalesce(F.concat(F.get(p, F.lit(0)), text, F.get(p, F.lit(2))), F.lit("?"))).otherwise(F.get(p, F.lit(0)))
+
+        return F.when(has(s, "("), let(parts, put)).otherwise(s)
+
+    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(occurrences(x, "(").cast("int"), F.lit(1))), x, fold)
+    return F.when(~has(x, "~") & ~has(x, "\u0001"), let(F.when(has(x, "("), folded).otherwise(x), _flat_arithmetic))
+
+
 def _with_pi(x: Column, pi: Column) -> Column:
     """\\pi as a factor: after a digit it multiplies, elsewhere it stands for 1 times pi."""
     written = F.regexp_replace(F.regexp_replace(x, F.lit(r"(?U)(?<=\d)\\pi"), F.concat(F.lit("*"), pi)),

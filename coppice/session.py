@@ -50,6 +50,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_scratch: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder next to the checkpoints, so on shared storage."""
-    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder next to the checkpoints, so on shared storage; ``clear_scratch`` removes it."""
+    _scratch.append(f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _scratch[-1]
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove the folders that ``scratch_path`` gave out in this process. Frames that still read them end here."""
+    context = spark.sparkContext
+    while _scratch:
+        path = context._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

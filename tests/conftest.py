@@ -9,8 +9,9 @@ sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
 @pytest.fixture(scope="session")
 def spark():
-    from coppice.session import build_session
+    from coppice.session import build_session, clear_scratch
     session = build_session("tests", "local[8]", 8, **{
         "spark.ui.enabled": "false", "spark.driver.memory": "10g", "spark.ui.showConsoleProgress": "false"})
     yield session
+    clear_scratch(session)
     session.stop()

@@ -17,6 +17,19 @@ def test_math_equal_is_not_cut(spark, a, b, equal):
     assert bool(got) is equal
 
 
+@pytest.mark.parametrize("text,value", [
+    ("2*(3+4)", 14.0), ("2*(3-5)^2", 8.0), ("-(1+2)*3", -9.0), ("((1+1)*(2+2))/4", 2.0), ("2^3+1", 9.0), ("1/0", None), ("2*(x+1)", None), ("(1", None),
+    ("3 - 1 * 2", 1.0), ("~2", None)])
+def test_arithmetic_with_parentheses(spark, text, value):
+    assert spark.createDataFrame([(text,)], "t string").select(R.plain_arithmetic(F.col("t")).alias("v")).first().v == value
+
+
+def test_expressions_of_pi(spark):
+    rows = spark.createDataFrame([("2*(3+\\pi)", "12.283185307179586"), ("\\pi^2", "9.8696")], "a string, b string")
+    got = [bool(r.e) for r in rows.select(R.math_equal(F.col("a"), F.col("b"), pi=F.lit("3.141592653589793")).alias("e")).collect()]
+    assert got == [True, True]
+
+
 def test_large_integers_are_graded(spark):
     rows = spark.createDataFrame([("1E40", "1e40"), ("1E30", "1e30"), ("1E40", "1e41")], "a string, b string")
     assert [r.g for r in rows.select(R.grade_answer(F.col("a"), F.col("b")).alias("g")).collect()] == [True, True, False]
