@@ -5,9 +5,11 @@
 2. Each node gets ``SAMPLES`` consistent weighted samples; ``ROWS`` of them make a band.
 3. In every band bucket the members are candidates of its smallest member only. A node's most frequent such candidate
    is verified by weighted Jaccard similarity on the whole shingle sets; the links are merged to components.
-4. Where a bucket still holds several components, the smallest member of each is compared with the members of the
-   others, and after merging again, the members left in different components with each other. Pairs are never made
-   inside a component, and pairs with too different lengths never at all.
+4. Where a bucket still holds several components, its members are compared with one of its members, another one each
+   turn, until ``IDLE_TURNS`` turns in a row link nothing; buckets of at most ``SMALL_BUCKET`` members are then compared in full.
+   Pairs are never made inside a component, nor between texts of too different lengths, and no step makes more of them
+   than a fixed multiple of the memberships. In larger buckets every member meets a new member of each of its buckets
+   each turn, so a link between components can only be missed there if none of these is similar to it.
 
 A pair is a link if its weighted or its plain Jaccard similarity reaches the threshold: in a group of thousands of near
 copies all that is shared is frequent, so its weight alone would understate how alike they are.
@@ -31,6 +33,10 @@ SAMPLES, ROWS, BUCKETS, DRAWS, CHUNK = 42, 3, 1 << 20, 1 << 14, 4096
 BANDS = SAMPLES // ROWS
 #: Narrow rows that are sent to every task rather than shuffled against whole texts.
 SMALL_SIDE = 4_000_000
+#: Buckets up to this size are compared in full, so the pairs made stay in proportion to the members.
+SMALL_BUCKET = 24
+#: Turns in a row without a new link after which large buckets count as settled.
+IDLE_TURNS = 2
 
 
 def distinct_shingles(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,39 +208,46 @@ def link_buckets(crowded: DataFrame, sets: DataFrame, sampler, threshold: float)
     stars = own.join(heads, "band").where((F.col("mid") != F.col("hid")) & comparable("m", "h", threshold))
     shared = stars.groupBy("mid", "hid").agg(F.count(F.lit(1)).alias("bands"))
     best = shared.groupBy("mid").agg(F.min(F.struct((-F.col("bands")).alias("b"), F.col("hid"))).alias("m"))
-    tried = written(best.select(F.col("mid").alias("a"), F.col("m.hid").alias("b")), "dup-tried")
-    links = written(verified(tried, sets, sampler, threshold), "dup-links")
-    labels = components(links)
-    for rivals in (head_pairs, member_pairs):
-        placed = crowded.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        split = written(placed, "dup-placed")
-        open_bands = split.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
-        members = written(split.join(open_bands, "band"), "dup-members")
-        fresh = written(rivals(members, threshold).join(tried, ["a", "b"], "left_anti"), "dup-pairs")
-        links = written(links.unionByName(verified(fresh, sets, sampler, threshold)), "dup-links")
-        tried = written(tried.unionByName(fresh), "dup-tried")
-        labels = components(links)
-    return labels
+    links = written(verified(best.select(F.col("mid").alias("a"), F.col("m.hid").alias("b")), sets, sampler, threshold), "dup-links")
+    split, turn, idle = split_bands(crowded, components(links)), 0, 0
+    while idle < IDLE_TURNS:
+        found = written(verified(turn_pairs(split, turn, threshold), sets, sampler, threshold), "dup-links")
+        turn += 1
+        if found.isEmpty():
+            idle += 1
+            continue
+        links, idle = links.unionByName(found), 0
+        split = split_bands(crowded, components(links))
+    found = verified(small_bucket_pairs(split, threshold), sets, sampler, threshold)
+    return components(links.unionByName(found))
+
+
+def split_bands(crowded: DataFrame, labels: DataFrame) -> DataFrame:
+    """(band, id, n, w, label) of the buckets whose members are in several components."""
+    placed = written(crowded.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "dup-placed")
+    still = placed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
+    return written(placed.join(still, "band"), "dup-split")
 
 
 def rivals_of(members: DataFrame, others: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) with a > b: members against ``others`` of the same band and another component, each pair once."""
+    """(a, b) with a > b: members and ``others`` of the same band in different components, each pair once."""
     left = members.select("band", F.col("label").alias("mlabel"), F.col("id").alias("mid"), F.col("n").alias("mn"), F.col("w").alias("mw"))
-    joined = left.join(others, (F.col("band") == F.col("oband")) & (F.col("mlabel") != F.col("olabel")) & comparable("m", "o", threshold))
+    right = others.select(F.col("band").alias("oband"), F.col("label").alias("olabel"), F.col("id").alias("oid"), F.col("n").alias("on"), F.col("w").alias("ow"))
+    joined = left.join(right, (F.col("band") == F.col("oband")) & (F.col("mlabel") != F.col("olabel")) & comparable("m", "o", threshold))
     return joined.select(F.greatest("mid", "oid").alias("a"), F.least("mid", "oid").alias("b")).distinct()
 
 
-def head_pairs(members: DataFrame, threshold: float) -> DataFrame:
-    """The smallest member of every component of a band against the members of the others."""
-    heads = members.groupBy("band", "label").agg(F.min(F.struct("id", "n", "w")).alias("h"))
-    return rivals_of(members, heads.select(F.col("band").alias("oband"), F.col("label").alias("olabel"), F.col("h.id").alias("oid"),
-                                           F.col("h.n").alias("on"), F.col("h.w").alias("ow")), threshold)
+def turn_pairs(split: DataFrame, turn: int, threshold: float) -> DataFrame:
+    """Every member against one member of its bucket, another one each turn: as many pairs as members at most."""
+    chosen = split.groupBy("band").agg(F.min(F.struct(F.xxhash64("id", "band", F.lit(turn)).alias("r"), "id", "n", "w", "label")).alias("h"))
+    return rivals_of(split, chosen.select("band", "h.id", "h.n", "h.w", "h.label"), threshold)
 
 
-def member_pairs(members: DataFrame, threshold: float) -> DataFrame:
-    """What is left: members of components that share a band but have not met through their heads."""
-    return rivals_of(members, members.select(F.col("band").alias("oband"), F.col("label").alias("olabel"), F.col("id").alias("oid"),
-                                             F.col("n").alias("on"), F.col("w").alias("ow")), threshold)
+def small_bucket_pairs(split: DataFrame, threshold: float) -> DataFrame:
+    """All pairs of different components in buckets of at most ``SMALL_BUCKET`` members."""
+    few = split.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") <= SMALL_BUCKET).select("band")
+    members = split.join(few, "band")
+    return rivals_of(members, members, threshold)
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
