@@ -27,12 +27,10 @@ def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "i
 def with_group_stats(df: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFrame:
     """Every row plus the aggregates of its own group.
 
-    The keys go into one struct, which is never null and equal when all keys are (nulls included), so the aggregate's
-    own partitioning serves the join and only the rows are shuffled for it.
+    The aggregate is exchanged once more for the join. That is cheap, as it is one row a group, and it is what lets
+    adaptive execution split a hot group's rows: a join that reuses the aggregate's own partitioning cannot be split.
     """
-    keyed = df.withColumn("__key", F.struct(*keys))
-    stats = keyed.groupBy("__key").agg(*aggregates).withColumnRenamed("__key", "__of")
-    return keyed.join(stats, F.col("__key") == F.col("__of")).drop("__key", "__of")
+    return attach(df, df.groupBy(*keys).agg(*aggregates), keys)
 
 
 def one_row(df: DataFrame, *aggregates: Column) -> Column:
