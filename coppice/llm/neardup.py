@@ -6,10 +6,9 @@
 3. In every band bucket the members are candidates of its smallest member only. A node's most frequent such candidate
    is verified by weighted Jaccard similarity on the whole shingle sets; the links are merged to components.
 4. Where a bucket still holds several components, its members are compared with one of its members, another one each
-   turn, until ``IDLE_TURNS`` turns in a row link nothing; buckets of at most ``SMALL_BUCKET`` members are then compared in full.
-   Pairs are never made inside a component, nor between texts of too different lengths, and no step makes more of them
-   than a fixed multiple of the memberships. In larger buckets every member meets a new member of each of its buckets
-   each turn, so a link between components can only be missed there if none of these is similar to it.
+   turn, until ``IDLE_TURNS`` turns in a row link nothing. That only spares pairs: whatever is then left in different
+   components of a bucket, of any size, is compared in full. Pairs are never made inside a component, nor where the
+   bound of ``similar_enough`` excludes a link: shingles that no other open text has cannot be shared.
 
 A pair is a link if its weighted or its plain Jaccard similarity reaches the threshold: in a group of thousands of near
 copies all that is shared is frequent, so its weight alone would understate how alike they are.
@@ -33,9 +32,9 @@ SAMPLES, ROWS, BUCKETS, DRAWS, CHUNK = 42, 3, 1 << 20, 1 << 14, 4096
 BANDS = SAMPLES // ROWS
 #: Narrow rows that are sent to every task rather than shuffled against whole texts.
 SMALL_SIDE = 4_000_000
-#: Buckets up to this size are compared in full, so the pairs made stay in proportion to the members.
-SMALL_BUCKET = 24
-#: Turns in a row without a new link after which large buckets count as settled.
+#: Members of a block; larger buckets are compared block against block.
+BLOCK = 1024
+#: Turns in a row without a new link after which the rest is compared in full.
 IDLE_TURNS = 2
 
 
@@ -161,7 +160,9 @@ def verified(pairs: DataFrame, sets: DataFrame, sampler, threshold: float) -> Da
 
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"), F.col("counts").alias("ca"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"), F.col("counts").alias("cb"))
-    return pairs.join(left, "a").join(right, "b").mapInPandas(compare, "a long, b long")
+    pairs = written(pairs, "dup-pairs")
+    wanted = right.join(small(pairs.select("b").distinct()), "b", "left_semi")
+    return left.join(small(pairs), "a").join(wanted, "b").mapInPandas(compare, "a long, b long")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -209,7 +210,9 @@ def link_buckets(crowded: DataFrame, sets: DataFrame, sampler, threshold: float)
     shared = stars.groupBy("mid", "hid").agg(F.count(F.lit(1)).alias("bands"))
     best = shared.groupBy("mid").agg(F.min(F.struct((-F.col("bands")).alias("b"), F.col("hid"))).alias("m"))
     links = written(verified(best.select(F.col("mid").alias("a"), F.col("m.hid").alias("b")), sets, sampler, threshold), "dup-links")
-    split, turn, idle = split_bands(crowded, components(links)), 0, 0
+    labels = components(links)
+    members = open_members(split_bands(crowded, labels).drop("label"), sets, sampler, threshold)
+    split, turn, idle = split_bands(members, labels), 0, 0
     while idle < IDLE_TURNS:
         found = written(verified(turn_pairs(split, turn, threshold), sets, sampler, threshold), "dup-links")
         turn += 1
@@ -217,37 +220,74 @@ def link_buckets(crowded: DataFrame, sets: DataFrame, sampler, threshold: float)
             idle += 1
             continue
         links, idle = links.unionByName(found), 0
-        split = split_bands(crowded, components(links))
-    found = verified(small_bucket_pairs(split, threshold), sets, sampler, threshold)
+        split = split_bands(members, components(links))
+    found = verified(all_pairs(split, threshold), sets, sampler, threshold)
     return components(links.unionByName(found))
 
 
-def split_bands(crowded: DataFrame, labels: DataFrame) -> DataFrame:
-    """(band, id, n, w, label) of the buckets whose members are in several components."""
-    placed = written(crowded.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "dup-placed")
+def split_bands(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``members`` and their ``label``, of the buckets whose members are in several components."""
+    placed = written(members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "dup-placed")
     still = placed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
     return written(placed.join(still, "band"), "dup-split")
 
 
-def rivals_of(members: DataFrame, others: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) with a > b: members and ``others`` of the same band in different components, each pair once."""
-    left = members.select("band", F.col("label").alias("mlabel"), F.col("id").alias("mid"), F.col("n").alias("mn"), F.col("w").alias("mw"))
-    right = others.select(F.col("band").alias("oband"), F.col("label").alias("olabel"), F.col("id").alias("oid"), F.col("n").alias("on"), F.col("w").alias("ow"))
-    joined = left.join(right, (F.col("band") == F.col("oband")) & (F.col("mlabel") != F.col("olabel")) & comparable("m", "o", threshold))
+def open_members(split: DataFrame, sets: DataFrame, sampler, threshold: float) -> DataFrame:
+    """Adds ``fn`` and ``fw``, number and weight of the shingles that another text of ``split`` has too.
+
+    A text of which less than ``threshold`` is shared by both measures has no link and is left out.
+    """
+    def exploded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), 64):
+                part = batch.iloc[start : start + 64]
+                found = np.concatenate([np.asarray(x) for x in part["shingles"]])
+                weights = sampler.value.weights(found.view(np.uint64), np.concatenate([np.asarray(x) for x in part["counts"]]))
+                yield pd.DataFrame({"shingle": found, "of": np.repeat(part["id"].to_numpy(), [len(x) for x in part["shingles"]]), "weight": weights})
+
+    nodes = written(split.select("id").distinct(), "dup-open")
+    held = sets.join(small(nodes), "id", "left_semi").mapInPandas(exploded, "shingle long, of long, weight float")
+    lone = (held.groupBy("shingle").agg(F.min("of").alias("of"), F.max("of").alias("last"), F.min("weight").alias("weight")).where("of = last")
+            .groupBy("of").agg(F.count(F.lit(1)).alias("un"), F.sum(F.col("weight").cast("double")).alias("uw")))
+    bounded = split.join(lone, F.col("id") == F.col("of"), "left").select(
+        "band", "id", "n", "w", (F.col("n") - F.coalesce("un", F.lit(0))).alias("fn"), (F.col("w") - F.coalesce("uw", F.lit(0.0))).alias("fw"))
+    least = threshold * (1 - 1e-5)
+    return written(bounded.where((F.col("fn") >= F.col("n") * least) | (F.col("fw") >= F.col("w") * least)), "dup-bounded")
+
+
+def similar_enough(a: str, b: str, threshold: float) -> Column:
+    """Upper bound of both similarities: two texts share no more than either of them shares with any open text."""
+    def reached(shared_x: Column, shared_y: Column, x: Column, y: Column) -> Column:
+        return F.least(shared_x, shared_y) >= (x + y) * (threshold / (1 + threshold) * (1 - 1e-5))
+    return (reached(F.col(f"{a}fn"), F.col(f"{b}fn"), F.col(f"{a}n"), F.col(f"{b}n"))
+            | reached(F.col(f"{a}fw"), F.col(f"{b}fw"), F.col(f"{a}w"), F.col(f"{b}w")))
+
+
+def rivals_of(members: DataFrame, others: DataFrame, keys: list[str], threshold: float, also: Column | None = None) -> DataFrame:
+    """(a, b) with a > b: members and ``others`` of equal ``keys``, in different components and not excluded by the bound."""
+    left = members.select(*[F.col(c).alias(f"m{c}") for c in members.columns])
+    right = others.select(*[F.col(c).alias(f"o{c}") for c in others.columns])
+    on = (F.col("mlabel") != F.col("olabel")) & similar_enough("m", "o", threshold)
+    for key in keys:
+        on = on & (F.col(f"m{key}") == F.col(f"o{key}"))
+    joined = left.join(right, on if also is None else on & also)
     return joined.select(F.greatest("mid", "oid").alias("a"), F.least("mid", "oid").alias("b")).distinct()
 
 
 def turn_pairs(split: DataFrame, turn: int, threshold: float) -> DataFrame:
     """Every member against one member of its bucket, another one each turn: as many pairs as members at most."""
-    chosen = split.groupBy("band").agg(F.min(F.struct(F.xxhash64("id", "band", F.lit(turn)).alias("r"), "id", "n", "w", "label")).alias("h"))
-    return rivals_of(split, chosen.select("band", "h.id", "h.n", "h.w", "h.label"), threshold)
+    chosen = split.groupBy("band").agg(F.min(F.struct(F.xxhash64("id", "band", F.lit(turn)).alias("r"), "id", "n", "w", "fn", "fw", "label")).alias("h"))
+    return rivals_of(split, chosen.select("band", "h.id", "h.n", "h.w", "h.fn", "h.fw", "h.label"), ["band"], threshold)
 
 
-def small_bucket_pairs(split: DataFrame, threshold: float) -> DataFrame:
-    """All pairs of different components in buckets of at most ``SMALL_BUCKET`` members."""
-    few = split.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") <= SMALL_BUCKET).select("band")
-    members = split.join(few, "band")
-    return rivals_of(members, members, threshold)
+def all_pairs(split: DataFrame, threshold: float) -> DataFrame:
+    """All pairs of a bucket in different components; a bucket above ``BLOCK`` members is cut into cells of two blocks."""
+    blocks = split.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
+    placed = split.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = spread.select("band", "id", "n", "w", "fn", "fw", "label", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    once = (F.col("mid") > F.col("oid")) & ((F.col("mlow") == F.col("mhigh")) | (F.col("mblock") != F.col("oblock")))
+    return rivals_of(cells, cells, ["band", "low", "high"], threshold, once)
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -266,7 +306,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     chosen = signed.join(crowded.select(F.col("id").alias("of")).distinct(), F.col("same") == F.col("of"), "left_semi").groupBy("same").agg(F.min("rid").alias("one"))
     chosen = written(chosen, "dup-chosen")
     texts = rows.join(small(chosen), F.col("rid") == F.col("one")).select(F.col("same").alias("id"), "text")
-    sets = written(shingle_sets(texts), "dup-sets").dropDuplicates(["id"])
+    sets = written(shingle_sets(texts.dropDuplicates(["id"])), "dup-sets")
     labels = link_buckets(crowded, sets, sampler, threshold)
     placed = signed.join(labels.withColumnRenamed("id", "of"), F.col("same") == F.col("of"), "left")
     return placed.select("rid", "id", F.coalesce("label", "same", "rid").alias("class"))

@@ -206,6 +206,19 @@ def test_samples_agree_as_often_as_sets_are_similar():
     assert abs(np.mean(agree) - 0.8) < 0.03
 
 
+@pytest.mark.parametrize("block", [1024, 7])
+def test_large_buckets_lose_no_link(spark, monkeypatch, block):
+    """One bucket held mostly by one group; two other members are alike, two are alike only to the bound, one is alone."""
+    monkeypatch.setattr(neardup, "BLOCK", block, raising=False)
+    group, pair, less = list(range(100)), list(range(200, 300)), list(range(400, 500))
+    texts = {i: group for i in range(1, 81)} | {101: pair, 102: pair[:-8] + list(range(300, 308)), 103: less, 104: less[:-14] + list(range(500, 514)), 105: list(range(600, 700))}
+    sets = spark.createDataFrame([(i, sorted(x), [1] * len(x)) for i, x in texts.items()], "id long, shingles array<long>, counts array<int>")
+    crowded = spark.createDataFrame([(7, i, 100, 100.0) for i in texts], "band long, id long, n long, w double")
+    sampler = spark.sparkContext.broadcast(neardup.Sampler(np.ones(neardup.BUCKETS, dtype=np.float32)))
+    labels = {r.id: r.label for r in neardup.link_buckets(crowded, sets, sampler, 0.8).collect()}
+    assert labels == {i: 1 for i in range(1, 81)} | {101: 101, 102: 101}
+
+
 def test_one_of_each_group_stays(spark, odd_rows, no_rows):
     base = prose(11, 80)
     near = base.replace(base.split()[40], "changed", 1)
