@@ -74,14 +74,21 @@ def with_vector(df: DataFrame) -> DataFrame:
 
 
 def with_group(df: DataFrame, source: str, lang: str, min_rows: int) -> DataFrame:
-    """``__group``: language and source where they have ``min_rows`` rows, else the language, else everything."""
-    sizes = df.groupBy(lang, source).agg(F.count(F.lit(1)).alias("__n"))
+    """``__group``: language and source where they have ``min_rows`` sound rows, else the language, else everything.
+
+    ``__fits`` lists the groups whose estimate a row belongs to: its own, and its language's and everything's where some
+    group falls back on them, so that a fallback rests on all sound rows of its level.
+    """
+    sizes = df.groupBy(lang, source).agg(F.count_if(~F.col("base_failed")).alias("__n"))
     by_lang = Window.partitionBy(lang)
     name = lambda *cols: F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
-    chosen = sizes.withColumn("__m", F.sum("__n").over(by_lang)).select(
-        F.struct(F.col(lang).alias("a"), F.col(source).alias("b")).alias("__of"),
-        F.when(F.col("__n") >= min_rows, name(F.col(lang).alias("a"), F.col(source).alias("b")))
-        .when(F.col("__m") >= min_rows, name(F.col(lang).alias("a"))).otherwise(F.lit("all")).alias("__group"))
+    own, of_lang, of_all = name(F.col(lang).alias("a"), F.col(source).alias("b")), name(F.col(lang).alias("a")), F.lit("all")
+    sized = sizes.withColumn("__m", F.sum("__n").over(by_lang)).withColumn("__level", F.when(F.col("__n") >= min_rows, 0).when(F.col("__m") >= min_rows, 1).otherwise(2))
+    sized = written(sized.withColumn("__lends", F.max(F.col("__level") == 1).over(by_lang)), "quality-levels")
+    falls = sized.agg(F.max("__level")).first()[0] == 2
+    fits = F.array_compact(F.array(F.when(F.col("__level") == 0, own), F.when(F.col("__lends"), of_lang), F.lit("all" if falls else None).cast("string")))
+    chosen = sized.select(F.struct(F.col(lang).alias("a"), F.col(source).alias("b")).alias("__of"),
+                          F.when(F.col("__level") == 0, own).when(F.col("__level") == 1, of_lang).otherwise(of_all).alias("__group"), fits.alias("__fits"))
     chosen = written(chosen, "quality-groups")
     keyed = df.withColumn("__key", F.struct(F.col(lang).alias("a"), F.col(source).alias("b")))
     return keyed.join(chosen, F.col("__key") == F.col("__of")).drop("__key", "__of")
@@ -176,17 +183,17 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
           support: float = SUPPORT, steps: int = STEPS, min_rows: int = MIN_ROWS, cut: float = CUT) -> DataFrame:
     """Per row: key, the statistics, ``distance``, ``base_failed`` and ``kept``.
 
-    Null text is empty; null source or language is a group of its own; groups under ``min_rows`` rows use the
-    estimate of their language or of everything. Rows that fail a base rule stay out of the estimates and are
+    Null text is empty; null source or language is a group of its own; groups under ``min_rows`` sound
+    rows use the estimate of all sound rows of their language or of everything. Rows that fail a base rule stay out of the estimates and are
     never kept. Repeated rows count as often as they occur. Other columns are ignored. An empty table gives none.
     """
     named = only(df, key, text, source, lang).toDF("__id", "__body", "__source", "__lang")
     stats = written(with_text_stats(named, "__body").drop("__body").withColumn("base_failed", base_failed()), "quality-stats")
     rows = with_vector(with_group(stats, "__source", "__lang", min_rows))
     names = list(STATS)
-    sound = rows.where(~F.col("base_failed")).select("__group", *names)
+    sound = rows.where(~F.col("base_failed")).select(F.explode("__fits").alias("__group"), *names)
     scatter = fit_scatter(sound, STATS, support, steps)
-    scored = with_distance(rows, scatter, names, "__d2", "left", "scale").withColumn("distance", F.col("__d2") * F.col("scale"))
+    scored = with_distance(rows.drop("__fits"), scatter, names, "__d2", "left", "scale").withColumn("distance", F.col("__d2") * F.col("scale"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cut, F.lit(True))
     return scored.withColumn("kept", kept).select(F.col("__id").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines",
                                                   "n_repeat_words", "n_lines", "distance", "base_failed", "kept")

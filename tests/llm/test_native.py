@@ -148,6 +148,19 @@ def test_scatter_is_robust(spark):
     assert abs(m.m_0 - 1) < 0.1 and abs(m.m_1 - 2) < 0.1
 
 
+def test_small_sources_are_judged_by_their_language(spark):
+    """A source of junk alone, and one of many rows of which few are sound, do not make their own centre."""
+    from conftest import prose
+    junk = lambda i: " ".join(f"{w}#$%&|<>*#$%&" for w in prose(i, 40).split())
+    rows = [(i, prose(i, 60 + i % 40), "en", "large") for i in range(260)]
+    rows += [(1000 + i, junk(i), "en", "small") for i in range(5)] + [(2000, prose(2000, 70), "en", "lone")]
+    rows += [(3000 + i, "too short", "en", "failing") for i in range(220)] + [(4000 + i, junk(90 + i), "en", "failing") for i in range(3)]
+    rows += [(5000, junk(99), "de", "other")]
+    kept = {r.doc_id: r.kept for r in outliers.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(kept[i] for i in (*range(1000, 1005), *range(4000, 4003), 5000))
+    assert kept[2000] and sum(kept[i] for i in range(260)) >= 255
+
+
 def test_odd_rows_are_judged(odd_rows, no_rows):
     got = outliers.judge(odd_rows).collect()
     assert len(got) == odd_rows.count() and all(r.kept is not None for r in got)
