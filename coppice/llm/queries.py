@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, licences, mixing, neardup, outliers, quality, secrets, sharding, toxicity
+from . import (byte_pairs, decontaminate, filter_audit, html_text, licences, mixing, neardup, outliers, quality, secrets, sharding,
+               source_audit, toxicity)
 from .common import fold, only, table, whole_text, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +107,21 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = written(found, "near-duplicates")
     named = found.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return found.join(named, "class").select("doc_id", "class_id", "class_size")
+
+
+@query("op11_source_divergence", source_audit.AUDIT_SQL)
+def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op12_filter_interaction", filter_audit.AUDIT_SQL)
+def filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_byte_pairs")
+def byte_pair_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coder = byte_pairs.Coder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    encoded = coder.encode(table(spark, sf_dir, "documents"))
+    return coder.decode(encoded).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+                                        F.sha2("decoded", 256).alias("decoded_sha256"))
