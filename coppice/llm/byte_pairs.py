@@ -3,8 +3,8 @@
 Encoding: every match of the pattern is a word. A word that is a vocabulary entry is that one token. The others become
 token-position rows, one per byte, which a recursive query joins with the merge table (left token, right token, merged
 token; the merged token's id is its rank) until no neighbours merge any more. A round contracts each word's
-leftmost pair of least rank; further pairs of that rank in the word are contracted in the same round where no merge of
-the new token with anything could rank lower, for then they would be next in any case.
+leftmost pair of least rank. In long words further pairs of that rank are contracted in the same round where no merge
+of the new token with anything could rank lower, for then they would be next in any case.
 
 Decoding: token-position rows join the vocabulary, and an ordered aggregation puts each row's bytes together.
 
@@ -34,12 +34,28 @@ from .common import free_name, only
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Matches of a long text at a time, characters of texts at a time, words remembered, bytes a recursion, tokens a decoding query.
-MATCHES, CHARACTERS, REMEMBERED, WORD_BYTES, TOKENS = 500_000, 1_000_000, 300_000, 1 << 18, 500_000
+MATCHES, CHARACTERS, REMEMBERED, WORD_BYTES, TOKENS = 1_000_000, 4_000_000, 300_000, 1 << 20, 1_000_000
+#: Bytes from which a word is long.
+LONG_WORD = 64
 
-CONTRACT = """
+RECURSION = """
 WITH RECURSIVE step(word, pos, token, done) AS (
     SELECT word, pos, token, false FROM starts
     UNION ALL (
+{round}
+    )
+)
+SELECT word, token FROM step WHERE done ORDER BY word, pos
+"""
+
+CONTRACT = RECURSION.format(round="""
+        WITH rows AS (SELECT word, pos, token, lead(token) OVER along AS after, lag(pos) OVER along AS before
+                      FROM step WHERE NOT done WINDOW along AS (PARTITION BY word ORDER BY pos)),
+        least AS (SELECT word, min(merged::BIGINT << 32 | pos) AS low FROM rows JOIN merges ON token = l AND after = r GROUP BY word)
+        SELECT word, pos, CASE WHEN pos = (low & 4294967295) THEN (low >> 32)::INTEGER ELSE token END, low IS NULL
+        FROM rows LEFT JOIN least USING (word) WHERE coalesce(before <> (low & 4294967295), true)""")
+
+CONTRACT_LONG = RECURSION.format(round="""
         WITH rows AS (SELECT word, pos, token, lead(token) OVER along AS after, row_number() OVER along AS n
                       FROM step WHERE NOT done WINDOW along AS (PARTITION BY word ORDER BY pos)),
         found AS (SELECT word, n, merged, alone FROM rows JOIN merges ON token = l AND after = r),
@@ -49,11 +65,7 @@ WITH RECURSIVE step(word, pos, token, done) AS (
                   WHERE k = 1 OR (alone AND in_run % 2 = 1))
         SELECT rows.word, rows.pos, coalesce(here.merged, rows.token), least.word IS NULL
         FROM rows LEFT JOIN least ON least.word = rows.word LEFT JOIN taken here ON here.word = rows.word AND here.n = rows.n
-        WHERE NOT EXISTS (SELECT 1 FROM taken WHERE taken.word = rows.word AND taken.n = rows.n - 1)
-    )
-)
-SELECT word, token FROM step WHERE done ORDER BY word, pos
-"""
+        WHERE NOT EXISTS (SELECT 1 FROM taken WHERE taken.word = rows.word AND taken.n = rows.n - 1)""")
 
 JOIN_BYTES = """
 SELECT row, from_hex(string_agg(hex, '' ORDER BY pos)) AS bytes FROM tokens JOIN vocabulary USING (token) GROUP BY row ORDER BY row
@@ -92,8 +104,8 @@ class Encoder:
     def forget(self) -> None:
         self.words, self.tokens, self.starts, self.sizes = Words(), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def contracted(self, words: list[bytes]) -> list[np.ndarray]:
-        """Token ids of the words, by the recursive query."""
+    def contracted(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of the words one after the other, and how many each has, by the recursive query."""
         lengths = np.array([len(w) for w in words])
         values = self.byte_tokens[np.frombuffer(b"".join(words), dtype=np.uint8)]
         if (values < 0).any():
@@ -102,39 +114,37 @@ class Encoder:
         starts = pa.table({"word": np.repeat(np.arange(len(words), dtype=np.int32), lengths),
                            "pos": (np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)).astype(np.int32), "token": values})
         self.base.register("starts", starts)
-        found = self.base.sql(CONTRACT).fetchnumpy()
+        found = self.base.sql(CONTRACT if lengths.max() < LONG_WORD else CONTRACT_LONG).fetchnumpy()
         self.base.unregister("starts")
-        return np.split(np.asarray(found["token"], dtype=np.int32), np.searchsorted(np.asarray(found["word"]), np.arange(1, len(words))))
+        return np.asarray(found["token"], dtype=np.int32), np.bincount(np.asarray(found["word"]), minlength=len(words))
 
     def learn(self) -> None:
         """Encodes the fresh words, a bounded number of bytes at a time."""
         fresh = [w.encode() for w in self.words.fresh]
         self.words.fresh.clear()
-        found: list = [self.ranks.get(w) for w in fresh]
-        waiting: list[int] = []
-        size = 0
-        for i in [*(i for i, token in enumerate(found) if token is None), None]:
-            if waiting and (i is None or size + len(fresh[i]) > WORD_BYTES):
-                for j, tokens in zip(waiting, self.contracted([fresh[j] for j in waiting]), strict=True):
-                    found[j] = tokens
-                waiting, size = [], 0
-            if i is not None:
-                waiting.append(i)
-                size += len(fresh[i])
-        pieces = [np.array([t], dtype=np.int32) if isinstance(t, int) else t for t in found]
-        sizes = np.array([len(p) for p in pieces], dtype=np.int64)
-        self.starts = np.concatenate([self.starts, len(self.tokens) + np.cumsum(sizes) - sizes])
+        whole = np.array([self.ranks.get(w, -1) for w in fresh], dtype=np.int32)
+        lengths = np.array([len(w) for w in fresh])
+        sizes, parts = np.ones(len(fresh), dtype=np.int64), []
+        for some in (np.flatnonzero((whole < 0) & (lengths < LONG_WORD)), np.flatnonzero((whole < 0) & (lengths >= LONG_WORD))):
+            slices = np.cumsum(lengths[some]) // WORD_BYTES
+            for at in np.split(some, np.flatnonzero(np.diff(slices)) + 1) if len(some) else []:
+                tokens, sizes[at] = self.contracted([fresh[i] for i in at])
+                parts.append((at, tokens))
+        ends = np.cumsum(sizes)
+        starts, flat = ends - sizes, np.zeros(ends[-1], dtype=np.int32)
+        flat[starts[whole >= 0]] = whole[whole >= 0]
+        for at, tokens in parts:
+            flat[ramps(starts[at], sizes[at])] = tokens
+        self.starts = np.concatenate([self.starts, len(self.tokens) + starts])
         self.sizes = np.concatenate([self.sizes, sizes])
-        self.tokens = np.concatenate([self.tokens, *pieces])
+        self.tokens = np.concatenate([self.tokens, flat])
 
     def gathered(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The tokens of the numbered words one after the other, and each word's end among them."""
         if self.words.fresh:
             self.learn()
         sizes = self.sizes[numbers]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        tokens = self.tokens[np.arange(total) + np.repeat(self.starts[numbers] - (ends - sizes), sizes)]
+        tokens, ends = self.tokens[ramps(self.starts[numbers], sizes)], np.cumsum(sizes)
         if len(self.words) > REMEMBERED:
             self.forget()
         return tokens, ends
@@ -171,6 +181,12 @@ class Encoder:
             yield flushed()
 
 
+def ramps(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of every start, as many as its size."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
 def database(**tables: pa.Table) -> duckdb.DuckDBPyConnection:
     """An in-memory database of this process with the given tables; it writes no files."""
     base = duckdb.connect(config={"threads": 1, "temp_directory": "", "memory_limit": "800MB"})
