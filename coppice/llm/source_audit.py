@@ -1,8 +1,9 @@
 """How far the sources of a language diverge in their use of words, in exact integers.
 
-1. One ``CountVectorizer`` with ``minDF`` and the largest integer as ``vocabSize`` holds the vocabularies of all
-   languages: each term carries its language, so that ``minDF`` counts documents of that language. Its sparse document
-   vectors are summed per language and source.
+1. A term in ``minDF`` documents of a language is in as many of the table, so one ``CountVectorizer`` with that ``minDF``
+   and the largest integer as ``vocabSize`` holds the vocabularies of all languages. Its sparse document vectors are
+   summed per language and source, their non-zero entries counted too: a language keeps the terms whose entries, its
+   exact document frequencies, reach ``minDF``.
 2. A group gives a term p = 1 + floor(SCALE * (count + PRIOR) / (N + PRIOR * V)), V terms of the language and N
    occurrences of them in the group.
 3. The distance of two groups is the sum of |p - q| over all V terms. Terms that one or none of them has are not
@@ -10,8 +11,8 @@
    term that both have.
 
 A null text, language or source is empty. Rows are documents, repeated or not. A language without kept terms has
-distances of 0; an empty table gives no rows. Other columns are ignored. The vocabulary (terms in ``minDF`` documents or
-more) passes through the driver, as it does in every ``CountVectorizer``.
+distances of 0; an empty table gives no rows. Other columns are ignored. The vocabulary (terms in ``minDF`` documents of
+the table or more) passes through the driver, as it does in every ``CountVectorizer``.
 """
 
 from __future__ import annotations
@@ -25,16 +26,13 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from .common import ASCII_UPPER, only, written
 
 TERM_GAP = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-#: Between a language and a term; no term holds it.
-MARK = "\0"
 MIN_DOCS, TOP, SCALE, PRIOR = 30, 50, 1_000_000_000, 5
 WHOLE_VOCABULARY = 2**31 - 1
 
 
-def keyed_terms(text: str, lang: str) -> Column:
-    """The text's terms, each after its language."""
-    lowered = F.translate(text, ASCII_UPPER, ASCII_UPPER.lower())
-    return F.transform(F.array_remove(F.split(lowered, TERM_GAP), ""), lambda w: F.concat(F.col(lang), F.lit(MARK), w))
+def terms_of(text: str) -> Column:
+    lowered = F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, ASCII_UPPER, ASCII_UPPER.lower()))
+    return F.array_remove(F.split(lowered, TERM_GAP), "")
 
 
 def share(count: Column, occurrences: str, terms: str) -> Column:
@@ -44,24 +42,18 @@ def share(count: Column, occurrences: str, terms: str) -> Column:
     return F.call_function("div", part, whole) + 1
 
 
-def vocabulary_frame(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """(term, lang, item) of every vector position."""
-    shape = StructType([StructField("term", IntegerType()), StructField("keyed", StringType())])
-    frame = docs.sparkSession.createDataFrame(pd.DataFrame({"term": range(len(vocabulary)), "keyed": pd.Series(vocabulary, dtype=object)}), shape)
-    cut = F.length("keyed") - F.locate(MARK, F.reverse("keyed"))
-    return frame.select("term", F.left("keyed", cut).alias("lang"), F.substring("keyed", cut + 2, F.length("keyed")).alias("item"))
-
-
 def group_counts(docs: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
-    """(lang, source, term, n) of (text, lang, source), summed from sparse document vectors; and what the terms are."""
-    tokens = docs.select("lang", "source", keyed_terms("text", "lang").alias("terms"))
+    """(lang, source, term, n, docs) of (text, lang, source), summed from sparse document vectors; and (term, item)."""
+    tokens = docs.select("lang", "source", terms_of("text").alias("terms"))
     never_empty = docs.sparkSession.range(min_docs).select(F.array(F.lit("")).alias("terms"))  # an empty vocabulary is refused
     frequent = CountVectorizer(inputCol="terms", outputCol="vector", minDF=min_docs, vocabSize=WHOLE_VOCABULARY)
     model = frequent.fit(tokens.select("terms").unionByName(never_empty))
     entries = model.transform(tokens).select("lang", "source", F.unwrap_udt("vector").alias("v"))
     entries = entries.select("lang", "source", F.explode(F.arrays_zip(F.col("v.indices").alias("term"), F.col("v.values").alias("n"))).alias("e"))
-    summed = entries.groupBy("lang", "source", F.col("e.term").alias("term")).agg(F.sum("e.n").cast("long").alias("n"))
-    return summed, vocabulary_frame(docs, model.vocabulary).where("item <> ''")
+    summed = entries.groupBy("lang", "source", F.col("e.term").alias("term")).agg(F.sum("e.n").cast("long").alias("n"), F.count(F.lit(1)).alias("docs"))
+    shape = StructType([StructField("term", IntegerType()), StructField("item", StringType())])
+    items = pd.DataFrame({"term": range(len(model.vocabulary)), "item": pd.Series(model.vocabulary, dtype=object)})
+    return summed, docs.sparkSession.createDataFrame(items, shape)
 
 
 def distances(groups: DataFrame, terms: DataFrame) -> DataFrame:
@@ -77,7 +69,7 @@ def distances(groups: DataFrame, terms: DataFrame) -> DataFrame:
     against = held.join(two, (F.col("x.lang") == F.col("y.lang")) & (F.col("x.source") != F.col("y.source")))
     alone = against.select("x.lang", "x.source", F.col("y.source").alias("item"), (F.col("x.k") * (F.abs(F.col("x.p") - F.col("y.b")) - absent)).alias("value"))
     left, right = terms.alias("x"), terms.alias("y")
-    both = left.join(right, (F.col("x.term") == F.col("y.term")) & (F.col("x.source") < F.col("y.source")))
+    both = left.join(right, (F.col("x.lang") == F.col("y.lang")) & (F.col("x.term") == F.col("y.term")) & (F.col("x.source") < F.col("y.source")))
     gained = (F.abs(F.col("x.p") - F.col("y.p")) - F.abs(F.col("x.p") - F.col("y.b")) - F.abs(F.col("x.b") - F.col("y.p")) + absent)
     common = both.groupBy("x.lang", F.col("x.source").alias("source"), F.col("y.source").alias("item")).agg(F.sum(gained).alias("value"))
 
@@ -94,19 +86,20 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
         *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
     counts, vocabulary = group_counts(texts, min_docs)
     counts = written(counts, "divergence-counts")
-    per_lang = counts.groupBy("lang", "term").agg(F.sum("n").alias("all_n"))
-    sizes = per_lang.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("all_n").alias("lang_total"))
+    per_lang = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).drop("docs")
+    counts = written(counts.drop("docs").join(per_lang, ["lang", "term"]), "divergence-kept")
+    sizes = counts.select("lang", "term", "lang_n").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_n").alias("lang_total"))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = texts.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(sizes, "lang", "left").fillna(0, ["total", "v", "lang_total"])
     groups = written(groups.withColumn("b", F.when(F.col("v") > 0, share(F.lit(0), "total", "v")).otherwise(0)), "divergence-groups")
-    terms = counts.join(groups, ["lang", "source"]).select("lang", "source", "term", "v", "lang_total", "b", share(F.col("n"), "total", "v").alias("p"))
+    terms = counts.join(groups, ["lang", "source"])
+    terms = terms.select("lang", "source", "term", "b", share(F.col("n"), "total", "v").alias("p"), share(F.col("lang_n"), "lang_total", "v").alias("q"))
     terms = written(terms, "divergence-terms")
     pairs = distances(groups.select("lang", "source", "v", "b"), terms.select("lang", "source", "term", "p", "b"))
     by_value = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = pairs.withColumn("rank", F.row_number().over(by_value))
-    named = per_lang.join(vocabulary.select("term", "item"), "term").select("term", "item", "all_n")
-    usual = terms.join(named, "term").withColumn("value", F.col("p") - share(F.col("all_n"), "lang_total", "v")).where("value > 0")
-    usual = usual.select("lang", "source", "item", "value").withColumn("rank", F.row_number().over(by_value)).where(F.col("rank") <= top)
+    usual = terms.where("p > q").join(vocabulary, "term").select("lang", "source", "item", (F.col("p") - F.col("q")).alias("value"))
+    usual = usual.withColumn("rank", F.row_number().over(by_value)).where(F.col("rank") <= top)
     columns = ["lang", "source", "part", "item", "value", "rank"]
     return pairs.withColumn("part", F.lit("pair")).select(columns).unionByName(usual.withColumn("part", F.lit("term")).select(columns))
 
