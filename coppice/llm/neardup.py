@@ -20,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, written
+from .common import free_name, only, written
 from .words import mixed, range_hashes, shingles, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -34,8 +35,27 @@ BANDS = SAMPLES // ROWS
 SMALL_SIDE = 4_000_000
 #: Members of a block; larger buckets are compared block against block.
 BLOCK = 1024
-#: Turns in a row without a new link after which the rest is compared in full.
-IDLE_TURNS = 2
+#: Turns in a row without a new link after which the rest is compared in full, and pairs a member up to which it is at once.
+IDLE_TURNS, FEW_PAIRS = 2, 32
+#: Bytes of an Arrow batch that are turned into Python objects at a time (one row at least).
+PIECE_BYTES = 2 << 20
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    """The rows of the batches, about ``PIECE_BYTES`` at a time, so that memory does not grow with a batch's rows."""
+    for batch in batches:
+        step = max(1, batch.num_rows * PIECE_BYTES // max(batch.nbytes, 1))
+        for start in range(0, batch.num_rows, step):
+            part = batch.slice(start, step)
+            if part.num_rows > 1 and part.nbytes > 4 * PIECE_BYTES:  # long rows close together
+                for row in range(part.num_rows):
+                    yield part.slice(row, 1).to_pandas()
+            else:
+                yield part.to_pandas()
+
+
+def arrow(frame: pd.DataFrame) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pandas(frame, preserve_index=False)
 
 
 def distinct_shingles(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,18 +68,20 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
     Two shingles of one bucket share its count, so a frequency is high by the bucket's mean load, a fixed share of
     all shingles; only shingles well above that share are told apart from rare ones.
     """
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(BUCKETS, dtype=np.int64)
-        for batch in batches:
+        for batch in pieces(batches):
             for words in word_hashes(batch.iloc[:, 0]):
                 found, _ = distinct_shingles(words)
                 table += np.bincount((found % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS) if len(found) > BUCKETS // 64 else 0
                 if len(found) <= BUCKETS // 64:
                     np.add.at(table, (found % np.uint64(BUCKETS)).astype(np.int64), 1)
         used = np.flatnonzero(table)
-        yield pd.DataFrame({"bucket": used.astype(np.int32), "n": table[used]})
+        for start in range(0, len(used), 1 << 16):
+            part = used[start : start + (1 << 16)]
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(part.astype(np.int32)), "n": pa.array(table[part])})
 
-    counted = texts.mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    counted = texts.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     table = np.zeros(BUCKETS, dtype=np.int64)
     table[counted["bucket"]] = counted["n"]
     return table
@@ -110,9 +132,9 @@ class Sampler:
         return (names & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def with_row_name(docs: DataFrame, key: str, text: str) -> DataFrame:
+def with_row_name(docs: DataFrame, key: str, text: str, rid: str = "rid") -> DataFrame:
     """Adds ``rid``, a 64-bit name of key and text; only rows equal in both share it."""
-    return docs.withColumn("rid", F.xxhash64(F.col(key).cast("string"), F.col(text), F.isnull(F.col(key)), F.isnull(F.col(text))))
+    return docs.withColumn(rid, F.xxhash64(F.col(key).cast("string"), F.col(text), F.isnull(F.col(key)), F.isnull(F.col(text))))
 
 
 def signatures(rows: DataFrame, sampler) -> DataFrame:
@@ -121,9 +143,9 @@ def signatures(rows: DataFrame, sampler) -> DataFrame:
     ``same`` names the word sequence (of a text without words, the text; null for null); ``n`` and ``w`` are the number
     and weight of its shingles. A text without words has no bands.
     """
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
             for text, words in zip(batch["text"], word_hashes(batch["text"]), strict=True):
                 if not len(words):
@@ -137,16 +159,17 @@ def signatures(rows: DataFrame, sampler) -> DataFrame:
                 bands = mixed((drawn * factors).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
                 name = range_hashes(words, np.array([0]), np.array([len(words)]))[0]
                 out.append((int(name.astype(np.int64)), len(found), float(weights.sum(dtype=np.float64)), bands.astype(np.int64)))
-            same, n, w, bands = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pd.DataFrame({"rid": batch["rid"], "id": batch["id"], "same": pd.array(same, dtype="Int64"), "n": n, "w": w, "bands": pd.Series(bands, dtype=object)})
+            same, n, w, bands = zip(*out, strict=True)
+            yield pa.RecordBatch.from_pydict({"rid": pa.array(batch["rid"], pa.int64()), "id": pa.array(batch["id"], pa.string(), from_pandas=True), "same": pa.array(same, pa.int64()),
+                                              "n": pa.array(n, pa.int64()), "w": pa.array(w, pa.float64()), "bands": pa.array(bands, pa.list_(pa.int64()))})
 
-    return rows.mapInPandas(sign, "rid long, id string, same long, n long, w double, bands array<long>")
+    return rows.mapInArrow(sign, "rid long, id string, same long, n long, w double, bands array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, sampler, threshold: float) -> DataFrame:
     """The pairs (a, b) whose weighted or plain Jaccard similarity over whole shingle sets reaches ``threshold``."""
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
             keep = []
             for one, two, m, n in zip(batch["sa"], batch["sb"], batch["ca"], batch["cb"], strict=True):
                 x, y = np.asarray(one).view(np.uint64), np.asarray(two).view(np.uint64)
@@ -156,23 +179,24 @@ def verified(pairs: DataFrame, sets: DataFrame, sampler, threshold: float) -> Da
                 all_of = sampler.value.weights(x, p).sum(dtype=np.float64) + sampler.value.weights(y, q).sum(dtype=np.float64)
                 plain = len(both) >= threshold * (len(x) + len(y) - len(both))
                 keep.append(plain or share >= threshold * (all_of - share) * (1 - 1e-6))
-            yield batch.loc[np.array(keep, dtype=bool), ["a", "b"]]
+            yield arrow(batch.loc[np.array(keep, dtype=bool), ["a", "b"]])
 
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"), F.col("counts").alias("ca"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"), F.col("counts").alias("cb"))
     pairs = written(pairs, "dup-pairs")
     wanted = right.join(small(pairs.select("b").distinct()), "b", "left_semi")
-    return left.join(small(pairs), "a").join(wanted, "b").mapInPandas(compare, "a long, b long")
+    return left.join(small(pairs), "a").join(wanted, "b").select("a", "b", "sa", "ca", "sb", "cb").mapInArrow(compare, "a long, b long")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
     """(id, shingles, counts): the whole sorted shingle set of every row of (id, text)."""
-    def collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
             found = [distinct_shingles(words) for words in word_hashes(batch["text"])]
-            yield pd.DataFrame({"id": batch["id"], "shingles": [f.view(np.int64) for f, _ in found], "counts": [c.astype(np.int32) for _, c in found]})
+            yield pa.RecordBatch.from_pydict({"id": pa.array(batch["id"], pa.int64()), "shingles": pa.array([f.view(np.int64) for f, _ in found], pa.list_(pa.int64())),
+                                              "counts": pa.array([c.astype(np.int32) for _, c in found], pa.list_(pa.int32()))})
 
-    return docs.mapInPandas(collect, "id long, shingles array<long>, counts array<int>")
+    return docs.mapInArrow(collect, "id long, shingles array<long>, counts array<int>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -213,16 +237,35 @@ def link_buckets(crowded: DataFrame, sets: DataFrame, sampler, threshold: float)
     labels = components(links)
     members = open_members(split_bands(crowded, labels).drop("label"), sets, sampler, threshold)
     split, turn, idle = split_bands(members, labels), 0, 0
-    while idle < IDLE_TURNS:
+    while idle < IDLE_TURNS and many_pairs(split):
         found = written(verified(turn_pairs(split, turn, threshold), sets, sampler, threshold), "dup-links")
         turn += 1
         if found.isEmpty():
             idle += 1
             continue
-        links, idle = links.unionByName(found), 0
-        split = split_bands(members, components(links))
-    found = verified(all_pairs(split, threshold), sets, sampler, threshold)
-    return components(links.unionByName(found))
+        idle, labels = 0, merged(labels, found)
+        split = split_bands(members, labels)
+    return merged(labels, written(verified(all_pairs(split, threshold), sets, sampler, threshold), "dup-links"))
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after new links: components of the linked labels only, each relabelled by its smallest."""
+    if links.isEmpty():
+        return labels
+    one, two = labels.toDF("a", "la"), labels.toDF("b", "lb")
+    between = links.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    new = components(between).toDF("old", "new")
+    new = small(new)
+    renamed = labels.join(new, F.col("label") == F.col("old"), "left").select("id", F.coalesce("new", "label").alias("label"))
+    first = new.join(labels.select("id"), F.col("old") == F.col("id"), "left_anti").select(F.col("old").alias("id"), F.col("new").alias("label"))
+    return written(renamed.unionByName(first), "dup-labels")
+
+
+def many_pairs(split: DataFrame) -> bool:
+    """Would comparing all open members of a bucket in different components make more than ``FEW_PAIRS`` pairs a member?"""
+    sizes = split.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+    total = sizes.agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs")).first()
+    return (total["pairs"] or 0) > FEW_PAIRS * (total["n"] or 0)
 
 
 def split_bands(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -237,16 +280,14 @@ def open_members(split: DataFrame, sets: DataFrame, sampler, threshold: float) -
 
     A text of which less than ``threshold`` is shared by both measures has no link and is left out.
     """
-    def exploded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for start in range(0, len(batch), 64):
-                part = batch.iloc[start : start + 64]
-                found = np.concatenate([np.asarray(x) for x in part["shingles"]])
-                weights = sampler.value.weights(found.view(np.uint64), np.concatenate([np.asarray(x) for x in part["counts"]]))
-                yield pd.DataFrame({"shingle": found, "of": np.repeat(part["id"].to_numpy(), [len(x) for x in part["shingles"]]), "weight": weights})
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches):
+            found = np.concatenate([np.asarray(x) for x in part["shingles"]])
+            weights = sampler.value.weights(found.view(np.uint64), np.concatenate([np.asarray(x) for x in part["counts"]]))
+            yield arrow(pd.DataFrame({"shingle": found, "of": np.repeat(part["id"].to_numpy(), [len(x) for x in part["shingles"]]), "weight": weights}))
 
     nodes = written(split.select("id").distinct(), "dup-open")
-    held = sets.join(small(nodes), "id", "left_semi").mapInPandas(exploded, "shingle long, of long, weight float")
+    held = sets.join(small(nodes), "id", "left_semi").mapInArrow(exploded, "shingle long, of long, weight float")
     lone = (held.groupBy("shingle").agg(F.min("of").alias("of"), F.max("of").alias("last"), F.min("weight").alias("weight")).where("of = last")
             .groupBy("of").agg(F.count(F.lit(1)).alias("un"), F.sum(F.col("weight").cast("double")).alias("uw")))
     bounded = split.join(lone, F.col("id") == F.col("of"), "left").select(
@@ -315,10 +356,11 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one row of each class, the one whose key is smallest as text (then by row name). Columns stay as they are."""
     found = written(classes(docs, key, text, threshold), "dup-classes")
+    rid = free_name(docs, "rid")
     kept = found.groupBy("class").agg(F.min(F.struct("id", "rid")).alias("k")).select(F.col("k.rid").alias("rid"))
     gone = found.select("rid").distinct().join(kept, "rid", "left_anti")
     repeated = written(found.groupBy("rid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(kept, "rid", "left_semi").select("rid"), "dup-repeated")
-    named = with_row_name(docs, key, text)
-    once = named.join(small(written(gone.union(repeated), "dup-gone")), "rid", "left_anti")
-    again = named.join(small(repeated), "rid", "left_semi").dropDuplicates(["rid"])
-    return once.unionByName(again).drop("rid")
+    named = with_row_name(docs, key, text, rid)
+    once = named.join(small(written(gone.union(repeated), "dup-gone").toDF(rid)), rid, "left_anti")
+    again = named.join(small(repeated.toDF(rid)), rid, "left_semi").dropDuplicates([rid])
+    return once.unionByName(again).drop(rid)
