@@ -6,7 +6,7 @@
 3. In every band bucket the members are candidates of its smallest member only. A node's most frequent such candidate
    is verified by weighted Jaccard similarity on the whole shingle sets; the links are merged to components.
 4. Where a bucket still holds several components, its members are compared with one of its members, another one each
-   turn, until ``IDLE_TURNS`` turns in a row link nothing. That only spares pairs: whatever is then left in different
+   turn, until ``IDLE_TURNS`` turns in a row link few or few pairs are left. That only spares pairs: whatever is then left in different
    components of a bucket, of any size, is compared in full. Pairs are never made inside a component, nor where the
    bound of ``similar_enough`` excludes a link: shingles that no other open text has cannot be shared.
 
@@ -35,8 +35,9 @@ BANDS = SAMPLES // ROWS
 SMALL_SIDE = 4_000_000
 #: Members of a block; larger buckets are compared block against block.
 BLOCK = 1024
-#: Turns in a row without a new link after which the rest is compared in full, and pairs a member up to which it is at once.
-IDLE_TURNS, FEW_PAIRS = 2, 32
+#: Turns in a row that link few of the open members (less than one in ``WEAK``) after which the rest is compared in full, and
+#: pairs a member up to which it is at once. They only decide in which order pairs are met.
+IDLE_TURNS, WEAK, FEW_PAIRS = 2, 100, 32
 #: Bytes of an Arrow batch that are turned into Python objects at a time (one row at least).
 PIECE_BYTES = 2 << 20
 
@@ -240,11 +241,11 @@ def link_buckets(crowded: DataFrame, sets: DataFrame, sampler, threshold: float)
     while idle < IDLE_TURNS and many_pairs(split):
         found = written(verified(turn_pairs(split, turn, threshold), sets, sampler, threshold), "dup-links")
         turn += 1
-        if found.isEmpty():
-            idle += 1
-            continue
-        idle, labels = 0, merged(labels, found)
-        split = split_bands(members, labels)
+        new = found.count()
+        idle = idle + 1 if new * WEAK < split.count() else 0
+        if new:
+            labels = merged(labels, found)
+            split = split_bands(members, labels)
     return merged(labels, written(verified(all_pairs(split, threshold), sets, sampler, threshold), "dup-links"))
 
 
