@@ -10,7 +10,9 @@ from __future__ import annotations
 import heapq
 import sys
 from collections.abc import Sequence
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -22,59 +24,75 @@ from .ordered import id_bucket, with_position
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-class _Split:
-    """A partial k-way split: bins of (sum, size, [(row, length), ...]), fullest bin first."""
+class _Merge(NamedTuple):
+    """A node of the merge history: which part of each child makes each part."""
 
-    __slots__ = ("bins",)
-
-    def __init__(self, bins):
-        self.bins = sorted(bins, reverse=True)
-
-    def __lt__(self, other):
-        mine, theirs = self.bins[0][0] - self.bins[-1][0], other.bins[0][0] - other.bins[-1][0]
-        return mine > theirs if mine != theirs else self.bins[0] > other.bins[0]
-
-    def join(self, other):
-        """Full bins of one split take the empty bins of the other."""
-        return _Split([(a[0] + b[0], a[1] + b[1], a[2] + b[2])
-                       for a, b in zip(self.bins, reversed(other.bins), strict=True)])
+    left: int
+    right: int
+    crossing: list[int]
 
 
 def differencing_split(lengths: Sequence[int], k: int, equal_size: bool) -> list[list[int]]:
-    """Largest-differencing split of row indices into ``k`` parts, each part sorted."""
-    if len(lengths) < k:
-        raise ValueError(f"{len(lengths)} rows cannot fill {k} parts")
-    ranked = sorted((n, i) for i, n in enumerate(lengths))
-    if equal_size:
-        if len(lengths) % k:
-            raise ValueError(f"{len(lengths)} rows do not divide into {k} equal parts")
-        starts = [[(n, 1, [(i, n)]) for n, i in ranked[at:at + k]] for at in range(0, len(ranked), k)]
-    else:
-        starts = [[(n, 1, [(i, n)])] + [(0, 0, [])] * (k - 1) for n, i in ranked]
-    heap: list[_Split] = []
-    for bins in starts:
-        heapq.heappush(heap, _Split(bins))
-    while len(heap) > 1:
-        widest = heapq.heappop(heap)
-        heapq.heappush(heap, widest.join(heapq.heappop(heap)))
-    parts = [sorted(i for i, _ in items) for _, _, items in heap[0].bins]
-    if any(not p for p in parts):
+    """Multi-way largest differencing: ``k`` sorted parts of row indices, numbered by their smallest row.
+
+    Only the ``k`` part sums of a node and how far they lie apart are kept while merging; the rows of the parts are read
+    off the merge history at the end. Two nodes merge with opposite order of their sums. Of nodes with equal spread the
+    one made first is taken. ``equal_size`` starts from tuples of ``k`` neighbours in descending length, one row a part,
+    so that every merge adds equally many rows to every part; otherwise a row starts alone, next to k - 1 empty parts.
+    """
+    n = len(lengths)
+    if n < k:
+        raise ValueError(f"{n} rows cannot fill {k} parts")
+    if equal_size and n % k:
+        raise ValueError(f"{n} rows do not divide into {k} equal parts")
+    longest_first = np.argsort(-np.asarray(lengths, dtype=np.int64), kind="stable")
+    width = k if equal_size else 1
+    leaves = [longest_first[at : at + width].tolist() for at in range(0, n, width)]
+    sums = {node: sorted([lengths[i] for i in rows] + [0] * (k - width), reverse=True) for node, rows in enumerate(leaves)}
+    queue = [(low[-1] - low[0], node) for node, low in sums.items()]
+    heapq.heapify(queue)
+    history: list[_Merge] = []
+    while len(queue) > 1:
+        (_, one), (_, two) = heapq.heappop(queue), heapq.heappop(queue)
+        added = [x + y for x, y in zip(sums.pop(one), reversed(sums.pop(two)), strict=True)]
+        crossing = sorted(range(k), key=added.__getitem__, reverse=True)
+        node = len(leaves) + len(history)
+        history.append(_Merge(one, two, crossing))
+        sums[node] = [added[c] for c in crossing]
+        heapq.heappush(queue, (sums[node][-1] - sums[node][0], node))
+    part_of = np.zeros(n, dtype=np.int64)
+    places = {queue[0][1]: list(range(k))}  # of a node: the final part of each of its parts
+    for node in range(len(leaves) + len(history) - 1, -1, -1):
+        goes = places.pop(node)
+        if node < len(leaves):
+            part_of[leaves[node]] = goes[:width]
+            continue
+        left, right, crossing = history[node - len(leaves)]
+        ahead = [0] * k
+        for final, c in zip(goes, crossing, strict=True):
+            ahead[c] = final
+        places[left], places[right] = ahead, ahead[::-1]
+    parts = [np.flatnonzero(part_of == p).tolist() for p in range(k)]
+    if not all(parts):
         raise ValueError("a part is empty")
-    return parts
+    return sorted(parts)
 
 
 def greedy_split(lengths: Sequence[int], k: int, equal_size: bool) -> list[list[int]]:
-    """Rows in input order, each to the lightest part so far."""
-    bias = sum(lengths) + 1 if equal_size else 0
-    load = [(0, j) for j in range(k)]
-    parts: list[list[int]] = [[] for _ in range(k)]
-    for i, n in enumerate(lengths):
-        weight, j = heapq.heappop(load)
-        parts[j].append(i)
-        heapq.heappush(load, (weight + n + bias, j))
-    if equal_size and any(len(p) * k != len(lengths) for p in parts):
+    """Rows in input order, each to the part with the least length so far (the first of several).
+
+    ``equal_size`` allows only parts that have room among n / k rows and hold no more rows than any other.
+    """
+    if equal_size and len(lengths) % k:
         raise ValueError("parts are not of equal size")
-    return parts
+    held, rows = np.zeros(k, dtype=np.int64), np.zeros(k, dtype=np.int64)
+    part_of = np.zeros(len(lengths), dtype=np.int64)
+    for i, length in enumerate(lengths):
+        allowed = np.flatnonzero(rows == rows.min()) if equal_size else np.arange(k)
+        part_of[i] = chosen = allowed[held[allowed].argmin()]
+        held[chosen] += length
+        rows[chosen] += 1
+    return [np.flatnonzero(part_of == p).tolist() for p in range(k)]
 
 
 def _per_batch(batched: DataFrame, split, pos: str, length: str) -> DataFrame:
