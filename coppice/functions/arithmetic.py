@@ -1,10 +1,11 @@
-"""Step-by-step evaluation of integer equations, as a bounded fold over every row at once."""
+"""Step-by-step evaluation of integer equations, as a bounded fold over every row at once. Integers may have any length."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import integers
 from .rewards import _FLOAT, let
 
 _PRODUCT = r"(?s)^(.*?)(\-?\d+)\s*(\*)\s*(\-?\d+)(.*)\z"
@@ -14,11 +15,6 @@ _NUMBER = r"^\s*-?\d+\s*\z"
 _MARK = "\u0001"  # between the groups of one match; a control character that no equation holds
 
 
-def _apply(a: Column, op: Column, b: Column) -> Column:
-    x, y = a.cast("bigint"), b.cast("bigint")
-    return F.when(op == "*", x * y).when(op == "+", x + y).otherwise(x - y).cast("string")
-
-
 def _parts(x: Column, pattern: str, groups: int) -> Column:
     """The groups of a pattern that covers the whole text, from one match; one part when it does not match."""
     marks = _MARK.join(f"${i}" for i in range(1, groups + 1))
@@ -28,7 +24,7 @@ def _parts(x: Column, pattern: str, groups: int) -> Column:
 def _reduce_first(x: Column, pattern: str) -> Column:
     """Replace the leftmost operation of ``pattern`` by its value; null when there is none."""
     return let(_parts(x, pattern, 5), lambda p: F.when(F.size(p) == 5, F.concat(
-        F.get(p, F.lit(0)), _apply(F.get(p, F.lit(1)), F.get(p, F.lit(2)), F.get(p, F.lit(3))), F.get(p, F.lit(4)))))
+        F.get(p, F.lit(0)), integers.apply(F.get(p, F.lit(1)), F.get(p, F.lit(2)), F.get(p, F.lit(3))), F.get(p, F.lit(4)))))
 
 
 def _one_step(x: Column) -> Column:

@@ -57,25 +57,38 @@ def trace_steps(answers: DataFrame, response: str = "response") -> DataFrame:
     return answers.select(*kept, F.posexplode(steps_of(F.col(response))).alias("line_no", "s")).select(*kept, "line_no", "s.name", "s.var", "s.parts")
 
 
+def with_values(part: Column, known: Column) -> Column:
+    """The part with every variable that ``known`` (variable to value) holds replaced by its value."""
+    pieces = F.regexp_extract_all(part, F.lit("([a-zA-Z]|[^a-zA-Z]+)"), F.lit(1))
+    return F.array_join(F.transform(pieces, lambda x: F.coalesce(F.try_element_at(known, x), x)), "")
+
+
 def trace_audit(answers: DataFrame, response: str = "response") -> DataFrame:
-    """Per answer: steps, chains whose numbers do not give their value, steps that use a variable no earlier step
-    defined, and whether the boxed answer is the last step's value."""
+    """Per answer: steps, chains that do not give their value, steps that use a variable no earlier step defined, and
+    whether the boxed answer is the last step's value.
+
+    The steps are folded in order with the values stated so far. Every part of a chain, its variables replaced by the
+    values earlier steps state for them (the latest counts), must come to the chain's own stated value; a part with an
+    unknown variable only counts as undefined. A step without a stated number is broken. Numbers may have any length.
+    """
     kept = [c for c in answers.columns if c != response]
     rows = answers.select(*kept, steps_of(F.col(response)).alias("steps"), extract_boxed_first(F.col(response)).alias("boxed"))
-    rows = rows.withColumn("vars", F.transform("steps", lambda s: s["var"]))
-
-    def broken(s):
-        numeric = F.filter(s["parts"], lambda p: ~F.rlike(p, F.lit("[a-zA-Z]")))
-        value = F.element_at(numeric, -1)
-        return F.coalesce(F.exists(numeric, lambda p: F.element_at(simplify_steps(p), -1) != value), F.lit(True))
-
-    def undefined(s, i):
-        used = F.flatten(F.transform(s["parts"], lambda p: F.regexp_extract_all(p, F.lit("([a-zA-Z])"), F.lit(1))))
-        return F.size(F.array_except(used, F.slice(F.col("vars"), F.lit(1), i))) > 0
+    start = F.struct(F.expr("cast(map() as map<string, string>)").alias("known"), F.lit(0).alias("broken"), F.lit(0).alias("undefined"))
+
+    def step(acc, s):
+        value = F.element_at(F.filter(s["parts"], lambda p: ~F.rlike(p, F.lit("[a-zA-Z]"))), -1)
+        filled = F.transform(s["parts"], lambda p: with_values(p, acc["known"]))
+        complete = F.filter(filled, lambda p: ~F.rlike(p, F.lit("[a-zA-Z]")))
+        wrong = F.coalesce(F.exists(complete, lambda p: F.element_at(simplify_steps(p), -1) != value), F.lit(True))
+        unknown = F.exists(filled, lambda p: F.rlike(p, F.lit("[a-zA-Z]")))
+        others = F.map_filter(acc["known"], lambda k, _: k != s["var"])
+        known = F.when(value.isNull(), acc["known"]).otherwise(F.map_concat(others, F.create_map(s["var"], value)))
+        return F.struct(known.alias("known"), (acc["broken"] + wrong.cast("int")).alias("broken"), (acc["undefined"] + unknown.cast("int")).alias("undefined"))
 
     last = F.element_at(F.element_at("steps", -1)["parts"], -1)
-    return rows.select(*kept, F.size("steps").alias("n_steps"), F.size(F.filter("steps", broken)).alias("n_broken"),
-                       F.size(F.filter("steps", undefined)).alias("n_undefined"), F.coalesce(F.col("boxed") == last, F.lit(False)).cast("int").alias("final_ok"))
+    audited = rows.withColumn("audit", F.aggregate("steps", start, step))
+    return audited.select(*kept, F.size("steps").alias("n_steps"), F.col("audit.broken").alias("n_broken"), F.col("audit.undefined").alias("n_undefined"),
+                          F.coalesce(F.col("boxed") == last, F.lit(False)).cast("int").alias("final_ok"))
 
 
 def behaviour_counts(answers: DataFrame, response: str = "response") -> DataFrame:

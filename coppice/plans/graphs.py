@@ -334,14 +334,17 @@ def trace_steps(spark, sf_dir):
     return steps.select("problem_id", "line_no", "name", "var", F.element_at("parts", -1).alias("value"), F.size("parts").alias("n_parts"))
 
 
-@query("trace_audit", DSQL + """ SELECT problem_id, CAST(count(*) - CASE WHEN problem_id % 7 = 0 THEN 1 ELSE 0 END AS INT) AS n_steps, 0 AS n_broken,
+@query("trace_audit", DSQL + """ SELECT problem_id, CAST(count(*) - CASE WHEN problem_id % 7 = 0 THEN 1 ELSE 0 END AS INT) AS n_steps,
+ CAST(CASE WHEN problem_id % 7 <> 0 AND problem_id % 3 = 1 THEN (SELECT count(DISTINCT child) FROM de JOIN dn c ON c.problem_id = de.problem_id AND c.node = child
+  WHERE de.problem_id = dn.problem_id AND parent = 0 AND NOT coalesce(c.rng_op = '*' AND c.rng = 0, false)) ELSE 0 END AS INT) AS n_broken,
  CAST(CASE WHEN problem_id % 7 = 0 THEN (SELECT count(DISTINCT child) FROM de WHERE de.problem_id = dn.problem_id AND parent = 0) ELSE 0 END AS INT) AS n_undefined,
  CASE WHEN problem_id % 5 = 0 THEN 0 ELSE 1 END AS final_ok FROM dn GROUP BY problem_id""")
 def trace_audit(spark, sf_dir):
-    """Every seventh answer lacks its first step, every fifth boxes another number."""
+    """Every seventh answer lacks its first step, every third states another value there, every fifth boxes another number."""
     answers = P.render_plain_answer(P.node_rows(all_needed(spark, sf_dir), seed=5))
-    shorter = F.when(F.col("problem_id") % 7 == 0, F.regexp_replace("response", r"step\.\nDefine .*\n", "step.\n")).otherwise(F.col("response"))
-    changed = F.when(F.col("problem_id") % 5 == 0, F.replace(shorter, F.lit("boxed{"), F.lit("boxed{1"))).otherwise(shorter)
+    first = F.when(F.col("problem_id") % 7 == 0, F.regexp_replace("response", r"step\.\nDefine .*\n", "step.\n")).when(
+        F.col("problem_id") % 3 == 1, F.regexp_replace("response", r"(step\.\nDefine [^\n]* So [a-zA-Z] = -?\d+)\.", "$11.")).otherwise(F.col("response"))
+    changed = F.when(F.col("problem_id") % 5 == 0, F.replace(first, F.lit("boxed{"), F.lit("boxed{1"))).otherwise(first)
     return reading.trace_audit(answers.withColumn("response", changed))
 
 

@@ -293,3 +293,15 @@ def simplify_steps(spark, sf_dir):
     steps = bound(spark, sf_dir, EQUATIONS).withColumn("steps", arithmetic.simplify_steps(F.col("equation")))
     return steps.select("l_orderkey", "equation", F.element_at("steps", -1).cast("bigint").alias("value"),
                         F.when(F.rlike(F.get("steps", F.lit(1)), F.lit(r"\(-")), 1).otherwise(0).alias("negative_partial"))
+
+
+LONG_EQUATIONS = """SELECT o_orderkey, o_custkey, o_orderkey || lpad(CAST(o_custkey AS STRING), 12, '0') || ' * ' || o_custkey || lpad(CAST(o_orderkey AS STRING), 12, '0')
+ || ' - 12345678901234567890' AS equation FROM {orders}"""
+
+
+@query("simplify_steps_long", f"""SELECT o_orderkey, equation, CAST((o_orderkey::HUGEINT * 1000000000000 + o_custkey) * (o_custkey::HUGEINT * 1000000000000 + o_orderkey)
+ - 12345678901234567890::HUGEINT AS VARCHAR) AS value FROM ({plain(LONG_EQUATIONS)})""")
+def simplify_steps_long(spark, sf_dir):
+    """Products of 30 digits and more, beyond 64 bits at every step."""
+    steps = bound(spark, sf_dir, LONG_EQUATIONS).select("o_orderkey", "equation", arithmetic.simplify_steps(F.col("equation")).alias("steps"))
+    return steps.select("o_orderkey", "equation", F.element_at("steps", -1).alias("value"))

@@ -1,9 +1,12 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from coppice.functions import arithmetic
+from coppice.functions import arithmetic, integers
 from coppice.functions import rewards as R
 from coppice.functions import tokens as K
+from coppice.operators import reading
 
 
 def evaluate(spark, fn, *values):
@@ -64,6 +67,33 @@ def test_simplify_steps(spark, equation, want):
     assert evaluate(spark, arithmetic.simplify_steps, equation) == want
 
 
+def test_integers_of_any_length(spark):
+    rng = random.Random(3)
+    sizes = [1, 2, 6, 9, 12, 17, 18, 19, 24, 40, 90]
+    rows = [("0", "-", "0", "0"), ("1" + "0" * 40, "-", "1" + "0" * 40, "0"), ("-" + "9" * 30, "+", "1", "-" + "9" * 29 + "8"), ("1" + "0" * 36, "-", "1", "9" * 36)]
+    for _ in range(400):
+        a, b = (rng.choice([1, -1]) * rng.randrange(10 ** rng.choice(sizes)) for _ in "ab")
+        rows += [(str(a), "*", str(b), str(a * b)), (str(a), "+", str(b), str(a + b)), (str(a), "-", str(b), str(a - b))]
+    got = spark.createDataFrame(rows, "a string, op string, b string, want string").withColumn("got", integers.apply(F.col("a"), F.col("op"), F.col("b")))
+    assert got.where("got is null or got <> want").isEmpty()
+
+
+def test_long_numbers_end_no_query(spark):
+    rows = [("99999999999 * 99999999999",), ("12345678901234567890 + 1",), ("2 * 3",), (None,), ("",), ("9" * 200 + " x 3",)]
+    steps = [r.s for r in spark.createDataFrame(rows, "e string").select(arithmetic.simplify_steps(F.col("e")).alias("s")).collect()]
+    assert [s and s[-1] for s in steps] == ["9999999999800000000001", "12345678901234567891", "6", None, "", "9" * 200 + " x 3"]
+
+
+def test_audit_puts_earlier_values_in(spark):
+    lines = ["Define X as b. So b = 9.", "Define Y as c. So c = 4.", "Define Z as a. So a = b + c = 3 + 4 = 7.", "Define W as d. So d = a + q = 7 + 1 = 8.",
+             "Define U as b. So b = a * c = 7 * 4 = 28.", "Define T as f. So f = b + 1 = 28 + 1 = 29.",
+             "Define V as e. So e = 12345678901234567890 + 1 = 12345678901234567891."]
+    text = "\n".join(lines) + "\n\\boxed{12345678901234567891}"
+    got = reading.trace_audit(spark.createDataFrame([(1, text), (2, ""), (3, None)], "id long, response string")).orderBy("id").collect()
+    assert tuple(got[0]) == (1, 7, 1, 1, 1)  # only the third line's b was another; q is unknown; b is then defined anew
+    assert tuple(got[1]) == (2, 0, 0, 0, 0) and got[2].final_ok == 0
+
+
 @pytest.mark.parametrize("text", ["a <<b c>> d", "<<a", "a>> b", "<<a<<b>>c>>", "<<<x>>>", "", "no <<two\nlines>> é<<ü>>z", "<<>>x", "a<<b>>c d"])
 def test_markers_match_the_scan(spark, text):
     clean, mask, inside, i = "", "", False, 0
