@@ -239,11 +239,15 @@ def unpad(df: DataFrame) -> DataFrame:
     return df.where(F.col("is_pad") == 0).drop("is_pad")
 
 
-def fold_batch(df: DataFrame, new_size: int, columns: Sequence[str], pos: str = "pos") -> DataFrame:
-    """[b] -> [new_size, b/new_size]: a row per group with its rows in order. One cell holds b/new_size rows."""
+def fold_batch(df: DataFrame, new_size: int, columns: Sequence[str], pos: str = "pos", largest: int = 1024) -> DataFrame:
+    """[b] -> [new_size, b/new_size] in chunks: a row per (fold, chunk) with at most ``largest`` rows of the fold in order.
+
+    Chunks follow each other in their fold, so no cell grows with the batch.
+    """
     width = divides(_rows(df), new_size, "fold") / F.lit(new_size)
-    grouped = df.withColumn("fold", F.floor(F.col(pos) / width))
-    return grouped.groupBy("fold").agg(F.sort_array(F.collect_list(F.struct(pos, *columns))).alias("rows"))
+    placed = df.withColumn("fold", F.floor(F.col(pos) / width))
+    placed = placed.withColumn("chunk", F.floor((F.col(pos) - F.col("fold") * width) / F.lit(largest)))
+    return placed.groupBy("fold", "chunk").agg(F.sort_array(F.collect_list(F.struct(pos, *columns))).alias("rows"))
 
 
 def unfold_batch(folded: DataFrame, columns: Sequence[str], pos: str = "pos") -> DataFrame:

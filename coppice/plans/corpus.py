@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import tokens as K
 from ..operators import records
 from ..operators import tokenise as T
+from ..operators import vocabulary as V
 from ..operators.joins import attach
 from .common import bound, plain, query, table
 from .statistics import LENGTHS, _mask_rows
@@ -239,3 +240,32 @@ def content_token_mask(spark, sf_dir):
 @query("md5_key", "SELECT page_id, md5(url) AS path_key FROM pages")
 def md5_key(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5("url").alias("path_key"))
+
+
+VOCABULARY = r"""WITH pieces AS (SELECT doc_id, generate_subscripts(p, 1) AS place, unnest(p) AS token FROM (SELECT doc_id, regexp_extract_all(text, '[ \t\n\r\f]+|[^ \t\n\r\f]+') AS p FROM documents)),
+counts AS (SELECT token, count(*) AS n FROM pieces GROUP BY token),
+vocabulary AS (SELECT token, 2 + row_number() OVER (ORDER BY n DESC, token) AS id, n FROM counts)"""
+
+
+@query("vocabulary", VOCABULARY + " SELECT token, id, n FROM vocabulary UNION ALL VALUES ('<pad>', 0, 0), ('<unk>', 1, 0), ('<eos>', 2, 0)")
+def vocabulary(spark, sf_dir):
+    return V.build(table(spark, sf_dir, "documents"))
+
+
+@query("vocabulary_encode", VOCABULARY + """, frequent AS (SELECT * FROM vocabulary WHERE n >= 2)
+SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (id IS NULL) AS n_unknown, md5(string_agg(CAST(coalesce(id, 1) AS VARCHAR), ',' ORDER BY place)) AS ids
+FROM pieces LEFT JOIN frequent USING (token) GROUP BY doc_id""")
+def vocabulary_encode(spark, sf_dir):
+    """Pieces seen once are left out of the vocabulary here."""
+    docs = table(spark, sf_dir, "documents").where("length(text) > 0")
+    encoded = V.encode(docs, V.build(docs, least=2), "doc_id")
+    unknown = F.size(F.filter("ids", lambda i: i == V.UNKNOWN)).cast("bigint")
+    return encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), unknown.alias("n_unknown"), F.md5(F.array_join("ids", ",")).alias("ids"))
+
+
+@query("vocabulary_round_trip", "SELECT doc_id, md5(text) AS digest FROM documents")
+def vocabulary_round_trip(spark, sf_dir):
+    """Every document again from its ids."""
+    docs = table(spark, sf_dir, "documents")
+    known = V.build(docs)
+    return V.decode(V.encode(docs, known, "doc_id"), known, "doc_id").select("doc_id", F.md5("text").alias("digest"))

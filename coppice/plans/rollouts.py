@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import losses as L
@@ -60,25 +63,31 @@ def group_stat_join(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- token recurrences
-@query("adv_gae", TOK + """, d AS (SELECT *, score + 0.9 * coalesce(lead(val) OVER (PARTITION BY uid ORDER BY t), 0) - val
+GAE_SQL = TOK + """, d AS (SELECT *, score + 0.9 * coalesce(lead(val) OVER (PARTITION BY uid ORDER BY t), 0) - val
    AS delta FROM tok),
 raw AS (SELECT a.event_id, a.mask, a.val, sum(b.delta * power(0.9::DOUBLE * 0.8::DOUBLE, b.t - a.t)) AS adv
    FROM d a JOIN d b ON a.uid = b.uid AND b.t >= a.t GROUP BY ALL),
 st AS (SELECT avg(adv) AS m, var_samp(adv) AS v FROM raw WHERE mask = 1)
-SELECT event_id, round(adv + val, 6) AS returns, round((adv - m) / sqrt(v + 1e-8), 6) + 0.0 AS advantage FROM raw, st""")
+SELECT event_id, round(adv + val, 6) AS returns, round((adv - m) / sqrt(v + 1e-8), 6) + 0.0 AS advantage FROM raw, st"""
+
+
+@query("adv_gae", GAE_SQL)
 def adv_gae(spark, sf_dir):
     out = A.gae(rollout_tokens(spark, sf_dir, positions=True), ["uid"], reward="score", value="val",
                 gamma=0.9, lam=0.8, max_len=longest_sequence(spark, sf_dir))
     return out.select("event_id", r6("returns"), r6("advantage"))
 
 
-@query("adv_reinforce_pp", TOK.replace("WITH", "WITH RECURSIVE") + """,
+REINFORCE_SQL = TOK.replace("WITH", "WITH RECURSIVE") + """,
 r AS (SELECT uid, t, event_id, mask, score AS ret FROM tok
       WHERE t = (SELECT max(t) FROM tok x WHERE x.uid = tok.uid)
   UNION ALL SELECT k.uid, k.t, k.event_id, k.mask, k.score + 0.91372193847 * r.ret * r.mask
       FROM r JOIN tok k ON k.uid = r.uid AND k.t = r.t - 1),
 st AS (SELECT avg(ret) AS m, var_samp(ret) AS v FROM r WHERE mask = 1)
-SELECT event_id, round(ret, 6) AS returns, round((ret - m) / sqrt(v + 1e-8) * mask, 6) + 0.0 AS advantage FROM r, st""")
+SELECT event_id, round(ret, 6) AS returns, round((ret - m) / sqrt(v + 1e-8) * mask, 6) + 0.0 AS advantage FROM r, st"""
+
+
+@query("adv_reinforce_pp", REINFORCE_SQL)
 def adv_reinforce_pp(spark, sf_dir):
     out = A.reinforce_pp(rollout_tokens(spark, sf_dir, positions=True), ["uid"], reward="score", gamma=0.91372193847,
                          max_len=longest_sequence(spark, sf_dir))
@@ -88,10 +97,13 @@ def adv_reinforce_pp(spark, sf_dir):
 BASE_SQL = ", b AS (SELECT uid, min(score) AS baseline FROM tok GROUP BY uid)"
 
 
-@query("adv_remax", TOK + BASE_SQL + """
+REMAX_SQL = TOK + BASE_SQL + """
 SELECT event_id, round(ret, 6) + 0.0 AS returns, round(ret - baseline * mask, 6) + 0.0 AS advantage FROM (
   SELECT *, sum(score * mask) OVER (PARTITION BY uid ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ret
-  FROM tok JOIN b USING (uid))""")
+  FROM tok JOIN b USING (uid))"""
+
+
+@query("adv_remax", REMAX_SQL)
 def adv_remax(spark, sf_dir):
     tokens = rollout_tokens(spark, sf_dir, positions=True)
     greedy = rollout_tokens(spark, sf_dir).groupBy("uid").agg(F.min("score").alias("baseline"))
@@ -106,13 +118,19 @@ def baseline_join(spark, sf_dir):
     return attach(tokens, greedy, ["uid"]).select("event_id", "baseline")
 
 
-@query("advantage", "SELECT 'grpo' AS estimator, event_id, advantage FROM (" + GRPO_SQL + """)
-UNION ALL SELECT 'rloo', event_id, advantage FROM (""" + RLOO_SQL + ")")
+@query("advantage", " UNION ALL ".join(f"SELECT '{name}' AS estimator, event_id, advantage FROM ({sql})" for name, sql in (
+    ("grpo", GRPO_SQL), ("rloo", RLOO_SQL), ("gae", GAE_SQL), ("reinforce_plus_plus", REINFORCE_SQL), ("remax", REMAX_SQL))))
 def advantage(spark, sf_dir):
-    tokens = rollout_tokens(spark, sf_dir)
-    parts = [A.advantage(tokens, name, SEQ, ["uid"], reward="score")
-             .select(F.lit(name).alias("estimator"), "event_id", r6("advantage")) for name in ("grpo", "rloo")]
-    return parts[0].unionByName(parts[1])
+    """All five estimators by their names."""
+    tokens, placed = rollout_tokens(spark, sf_dir), rollout_tokens(spark, sf_dir, positions=True)
+    greedy = tokens.groupBy("uid").agg(F.min("score").alias("baseline"))
+    longest = longest_sequence(spark, sf_dir)
+    parts = [A.advantage(tokens, name, SEQ, ["uid"], reward="score") for name in ("grpo", "rloo")]
+    parts += [A.advantage(placed, "gae", ["uid"], gamma=0.9, lam=0.8, reward="score", value="val", max_len=longest),
+              A.advantage(placed, "reinforce_plus_plus", ["uid"], gamma=0.91372193847, reward="score", max_len=longest),
+              A.advantage(attach(placed, greedy, ["uid"]), "remax", ["uid"], reward="score")]
+    named = zip(("grpo", "rloo", "gae", "reinforce_plus_plus", "remax"), parts, strict=True)
+    return reduce(DataFrame.unionByName, [part.select(F.lit(name).alias("estimator"), "event_id", r6("advantage")) for name, part in named])
 
 
 # ---------------------------------------------------------------- KL
