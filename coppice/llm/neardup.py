@@ -323,13 +323,19 @@ def turn_pairs(split: DataFrame, turn: int, threshold: float) -> DataFrame:
 
 
 def all_pairs(split: DataFrame, threshold: float) -> DataFrame:
-    """All pairs of a bucket in different components; a bucket above ``BLOCK`` members is cut into cells of two blocks."""
+    """All pairs of a bucket in different components; a bucket above ``BLOCK`` members is cut into cells of two blocks.
+
+    A pair that meets in several buckets is made in the first of them only; a member has at most ``BANDS`` buckets.
+    """
+    bands = split.groupBy("id").agg(F.collect_set("band").alias("bands")).withColumnRenamed("id", "of")
     blocks = split.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
     placed = split.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    placed = placed.join(bands, F.col("id") == F.col("of")).drop("of")
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = spread.select("band", "id", "n", "w", "fn", "fw", "label", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    cells = spread.select("band", "bands", "id", "n", "w", "fn", "fw", "label", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     once = (F.col("mid") > F.col("oid")) & ((F.col("mlow") == F.col("mhigh")) | (F.col("mblock") != F.col("oblock")))
-    return rivals_of(cells, cells, ["band", "low", "high"], threshold, once)
+    first = F.array_min(F.array_intersect("mbands", "obands")) == F.col("mband")
+    return rivals_of(cells, cells, ["band", "low", "high"], threshold, once & first)
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
