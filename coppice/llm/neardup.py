@@ -5,7 +5,7 @@
 2. Each node gets ``SAMPLES`` consistent weighted samples; ``ROWS`` of them make a band.
 3. In every band bucket the members are candidates of its smallest member only. A node's most frequent such candidate
    is verified by weighted Jaccard similarity on the whole shingle sets; the links are merged to components.
-4. Where a bucket still holds several components, its members are compared with one of its members, another one each
+4. Where a bucket still holds several components, its members are compared with ``MET`` of its members, other ones each
    turn, until ``IDLE_TURNS`` turns in a row link few or few pairs are left. That only spares pairs: whatever is then left in different
    components of a bucket, of any size, is compared in full. Pairs are never made inside a component, nor where the
    bound of ``similar_enough`` excludes a link: shingles that no other open text has cannot be shared.
@@ -36,8 +36,9 @@ SMALL_SIDE = 4_000_000
 #: Members of a block; larger buckets are compared block against block.
 BLOCK = 1024
 #: Turns in a row that link few of the open members (less than one in ``WEAK``) after which the rest is compared in full, and
-#: pairs a member up to which it is at once. They only decide in which order pairs are met.
-IDLE_TURNS, WEAK, FEW_PAIRS = 2, 100, 32
+#: pairs a member up to which it is at once; members of its bucket that a member meets a turn. They only decide in which
+#: order pairs are met.
+IDLE_TURNS, WEAK, FEW_PAIRS, MET = 2, 100, 32, 4
 #: Bytes of an Arrow batch that are turned into Python objects at a time (one row at least).
 PIECE_BYTES = 2 << 20
 
@@ -317,8 +318,9 @@ def rivals_of(members: DataFrame, others: DataFrame, keys: list[str], threshold:
 
 
 def turn_pairs(split: DataFrame, turn: int, threshold: float) -> DataFrame:
-    """Every member against one member of its bucket, another one each turn: as many pairs as members at most."""
-    chosen = split.groupBy("band").agg(F.min(F.struct(F.xxhash64("id", "band", F.lit(turn)).alias("r"), "id", "n", "w", "fn", "fw", "label")).alias("h"))
+    """Every member against ``MET`` members of its bucket, other ones each turn: as many pairs a member at most."""
+    drawn = [F.min(F.struct(F.xxhash64("id", "band", F.lit(turn * MET + i)).alias("r"), "id", "n", "w", "fn", "fw", "label")) for i in range(MET)]
+    chosen = split.groupBy("band").agg(F.array_distinct(F.transform(F.array(*drawn), lambda h: h.dropFields("r"))).alias("hs")).select("band", F.explode("hs").alias("h"))
     return rivals_of(split, chosen.select("band", "h.id", "h.n", "h.w", "h.fn", "h.fw", "h.label"), ["band"], threshold)
 
 
