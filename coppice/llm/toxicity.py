@@ -2,8 +2,10 @@
 
 A word's weight in a class is its number of distinct left neighbours there, not its count, so copies of a text add
 nothing. The counts are discounted and interpolated with the counts of both classes together: an expression seen in few
-contexts falls back on what the classes share and says nothing. A text is judged by the gap between its toxic and
-ordinary log-likelihoods, normalised by length, over its most toxic passage and over the whole.
+contexts falls back on what the classes share and says nothing. A text is judged by the difference of its toxic and its
+ordinary log-likelihood, normalised by length, over the whole and over its most toxic passage, and by the part of it
+that words which clearly favour the toxic class hold. Words are told apart by their whole 64-bit hash, and the counts
+are a table that grows with the labelled rows.
 """
 
 from __future__ import annotations
@@ -12,81 +14,121 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import free_name, written
 from .labels import sampled_keys, with_label
-from .words import chance, logistic_fit, padded_mean_peak, word_hashes
+from .words import logistic_fit, padded_mean_peak, word_hashes
 
-#: Words share a table of this size by hash; absolute discount; words of a passage; bound of the calibration sample.
-BUCKETS, DISCOUNT, PASSAGE, CALIBRATION = 1 << 20, 3.0, 50, 3000
-#: Nats by which a word must favour the toxic class to count as evidence by itself.
+#: Absolute discount; words of a passage; bound of the calibration sample.
+DISCOUNT, PASSAGE, CALIBRATION = 3.0, 50, 3000
+#: Telling words (12 bytes each) up to which every task gets them all; beyond it texts and words are joined.
+SMALL_WORDS = 2_000_000
+#: Nats by which a word must favour the toxic class to be clear.
 CLEAR = 1.0
 N_FEATURES = 5
 
 
-def context_pairs(hashes: np.ndarray) -> np.ndarray:
-    """(word bucket, left neighbour) packed into one 64-bit number; the first word has neighbour 0."""
-    left = np.concatenate((np.zeros(1, dtype=np.uint64), hashes[:-1])) >> np.uint64(32)
-    return ((hashes % np.uint64(BUCKETS)) << np.uint64(32) | left).astype(np.int64)
-
-
-def context_counts(rows: DataFrame, text: str) -> pd.DataFrame:
-    """Distinct left neighbours per word bucket and class, over all ``rows`` (text, label); at most ``BUCKETS`` rows."""
+def context_counts(rows: DataFrame, text: str) -> DataFrame:
+    """(word, toxic, ordinary): distinct left neighbours of every word by class, over all ``rows`` (text, label)."""
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            hashes = word_hashes(batch.iloc[:, 0])
-            for label in (0, 1):
-                chosen = [context_pairs(h) for h, y in zip(hashes, batch["label"], strict=True) if int(y) == label and len(h)]
-                if chosen:
-                    yield pd.DataFrame({"pair": np.unique(np.concatenate(chosen)), "label": np.int8(label)})
+            for hashes, label in zip(word_hashes(batch.iloc[:, 0]), batch["label"], strict=True):
+                if len(hashes):
+                    left = np.concatenate((np.zeros(1, dtype=np.uint64), hashes[:-1]))
+                    yield pd.DataFrame({"word": hashes.view(np.int64), "left": left.view(np.int64), "label": np.int8(label)}).drop_duplicates()
+
+    seen = rows.select(text, "label").mapInPandas(pairs, "word long, left long, label byte").distinct()
+    return seen.groupBy("word").agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("ordinary"))
 
-    seen = rows.select(text, "label").mapInPandas(pairs, "pair long, label byte").distinct()
-    bucket = F.shiftright("pair", 32).cast("int")
-    return (seen.groupBy(bucket.alias("bucket")).agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("ordinary"))).toArrow().to_pandas()
 
+def likelihood_gaps(counts: DataFrame, discount: float = DISCOUNT) -> DataFrame:
+    """(word, gap): log P(word | toxic) - log P(word | ordinary) by interpolated Kneser-Ney, where it is not zero.
 
-def likelihood_gaps(counts: pd.DataFrame, discount: float = DISCOUNT) -> np.ndarray:
-    """log P(word | toxic) - log P(word | ordinary) per bucket, by interpolated Kneser-Ney."""
-    toxic, ordinary = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    toxic[counts["bucket"]] = counts["toxic"]
-    ordinary[counts["bucket"]] = counts["ordinary"]
-    shared = toxic + ordinary + 0.5
-    shared /= shared.sum()
+    A word that neither class has in more than ``discount`` contexts, and any other word, has the gap zero.
+    """
+    def kept(seen: str) -> Column:
+        return F.greatest(F.col(seen) - F.lit(discount), F.lit(0.0))
 
-    def smoothed(seen: np.ndarray, backoff: float) -> np.ndarray:
-        kept = np.maximum(seen - discount, 0)
-        return (1 - backoff) * kept / max(kept.sum(), 1) + backoff * shared
+    both = F.col("toxic") + F.col("ordinary") + 0.5
+    classes = ("toxic", "ordinary")
+    total = counts.agg(F.sum(both).alias("both"), *[F.sum(c).alias(c) for c in classes], *[F.sum(kept(c)).alias(f"kept_{c}") for c in classes]).first()
+    # the discounted mass; one weight for both classes, so that unseen words favour neither
+    backoff = max(1 - total[f"kept_{c}"] / total[c] if total[c] else 1.0 for c in classes)
 
-    def mass(seen: np.ndarray) -> float:
-        total = seen.sum()
-        return float(np.minimum(seen, discount).sum() / total) if total else 1.0
+    def smoothed(seen: str) -> Column:
+        return kept(seen) * ((1 - backoff) / max(total[f"kept_{seen}"] or 0.0, 1.0)) + both * (backoff / (total["both"] or 1.0))
 
-    backoff = max(mass(toxic), mass(ordinary))  # one weight for both, so that unseen words favour neither class
-    return (np.log(smoothed(toxic, backoff)) - np.log(smoothed(ordinary, backoff))).astype(np.float32)
+    gap = F.log(smoothed("toxic")) - F.log(smoothed("ordinary"))
+    return counts.where(F.greatest("toxic", "ordinary") > discount).select("word", gap.cast("float").alias("gap"))
 
 
-def features(hashes: np.ndarray, gaps: np.ndarray, passage: int = PASSAGE) -> list[float]:
-    """Length-normalised gap of the most toxic passage and of the whole text, the same for clear words, and length."""
-    if not len(hashes):
+def features(gaps: np.ndarray, passage: int = PASSAGE) -> list[float]:
+    """Of a text's gaps in order: the length-normalised difference of the log-likelihoods over the whole and over the
+    most toxic passage, the clear words' share of the most toxic passage and their sum, and the length."""
+    n = len(gaps)
+    if not n:
         return [0.0] * N_FEATURES
-    toxic = np.maximum(gaps[(hashes % np.uint64(BUCKETS)).astype(np.int64)], 0)
-    clear = np.maximum(toxic - CLEAR, 0)
-    n = len(hashes)
-    return [padded_mean_peak(toxic, passage), padded_mean_peak(clear, passage), float(np.sqrt(clear.sum())) / 10,
-            float(toxic.sum()) / (n + passage), float(np.log1p(n)) / 10]
+    clear = np.maximum(gaps - CLEAR, 0)
+    return [float(gaps.sum()) / (n + passage), padded_mean_peak(gaps, passage), padded_mean_peak(clear, passage),
+            float(np.sqrt(clear.sum())) / 10, float(np.log1p(n)) / 10]
 
 
-class ToxicityModel:
-    """Gap table (4 bytes a bucket) and the calibration of the features."""
+class GapTable:
+    """Gaps by word hash; words that are not listed have the gap zero."""
+
+    def __init__(self, words: np.ndarray, gaps: np.ndarray):
+        order = np.argsort(words.view(np.uint64))
+        self.words, self.gaps = words.view(np.uint64)[order], gaps[order]
 
-    def __init__(self, gaps: np.ndarray, weights: np.ndarray):
-        self.gaps, self.weights = gaps, weights
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.zeros(len(hashes))
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        return np.where(self.words[at] == hashes, self.gaps[at], 0.0).astype(np.float64)
 
-    def scores(self, texts) -> np.ndarray:
-        found = [features(h, self.gaps) for h in word_hashes(texts)]
-        return chance(np.array(found, dtype=np.float64).reshape(-1, N_FEATURES), self.weights)
+
+def with_features(df: DataFrame, gaps: DataFrame, n_words: int, text: str, out: str, small: int = SMALL_WORDS) -> DataFrame:
+    """Adds the features of every whole text as the array ``out``.
+
+    Up to ``small`` words the gaps are sent to every task. Beyond that each distinct word of a text is joined with its
+    gap, and every text gets the gaps of its own words; the result is the same.
+    """
+    if n_words <= small:
+        listed = gaps.toArrow()
+        shared = df.sparkSession.sparkContext.broadcast(GapTable(listed["word"].to_numpy(), listed["gap"].to_numpy()))
+
+        @F.pandas_udf("array<double>")
+        def from_all(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for texts in series:
+                yield pd.Series([features(shared.value.of(h)) for h in word_hashes(texts)])
+
+        return df.withColumn(out, from_all(F.col(text)))
+
+    def own_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, hashes in zip(batch["name"], word_hashes(batch["body"]), strict=True):
+                yield pd.DataFrame({"name": name, "word": np.unique(hashes).view(np.int64)})
+
+    @F.pandas_udf("array<double>")
+    def from_own(texts: pd.Series, words: pd.Series, values: pd.Series) -> pd.Series:
+        return pd.Series([features(GapTable(np.asarray([] if w is None else w, dtype=np.int64), np.asarray([] if v is None else v, dtype=np.float32)).of(h))
+                          for h, w, v in zip(word_hashes(texts), words, values, strict=True)])
+
+    name = F.xxhash64(F.col(text), F.reverse(text))
+    held = df.select(name.alias("name"), F.col(text).alias("body")).mapInPandas(own_words, "name long, word long").distinct()
+    found = held.join(gaps, "word").groupBy("name").agg(F.collect_list(F.struct("word", "gap")).alias("own"))
+    key, own = free_name(df, "name_of"), free_name(df, "own")
+    joined = df.withColumn(key, name).join(found.select(F.col("name").alias(f"_{key}"), F.col("own").alias(own)), F.col(key) == F.col(f"_{key}"), "left")
+    return joined.withColumn(out, from_own(F.col(text), F.col(f"{own}.word"), F.col(f"{own}.gap"))).drop(key, f"_{key}", own)
+
+
+class ToxicityModel:
+    """The telling words' gaps (a written table), their number, and the calibration of the features."""
+
+    def __init__(self, gaps: DataFrame, n_words: int, weights: np.ndarray):
+        self.gaps, self.n_words, self.weights = gaps, n_words, weights
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out, text: str = "text", key: str = "doc_id", label: str = "toxic") -> ToxicityModel:
@@ -98,12 +140,13 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, text: str = "text", key: s
     open_rows = docs.where(~held_out).select(key, text)
     calibrates = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(4)) == 0
     counted = with_label(open_rows.where(~calibrates), labels, label, key)
-    gaps = likelihood_gaps(context_counts(counted, text))
-    sample = sampled_keys(open_rows.where(calibrates), labels, label, CALIBRATION, key).select(text, "label").toArrow().to_pandas()
+    gaps = written(likelihood_gaps(written(context_counts(counted, text), "toxicity-counts")), "toxicity-gaps")
+    n_words = gaps.count()
+    sample = sampled_keys(open_rows.where(calibrates), labels, label, CALIBRATION, key).select(text, "label")
+    sample = with_features(sample, gaps, n_words, text, "features").select("features", "label").toArrow().to_pandas()
     if sample["label"].nunique() < 2:
-        return ToxicityModel(gaps, np.array([10.0, 20.0, 40.0, 0.0, -10.0, -5.0]))
-    x = np.array([features(h, gaps) for h in word_hashes(sample[text])])
-    return ToxicityModel(gaps, logistic_fit(x, sample["label"].to_numpy(), ridge=1e-3))
+        return ToxicityModel(gaps, n_words, np.array([0.0, 10.0, 20.0, 40.0, -10.0, -5.0]))
+    return ToxicityModel(gaps, n_words, logistic_fit(np.stack(sample["features"]), sample["label"].to_numpy(), ridge=1e-3))
 
 
 def score(df: DataFrame, model: ToxicityModel, text: str = "text", out: str = "toxicity") -> DataFrame:
@@ -111,12 +154,10 @@ def score(df: DataFrame, model: ToxicityModel, text: str = "text", out: str = "t
 
     ``out`` replaces a column of that name; others are kept.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("double")
-    def scored(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in series:
-            yield pd.Series(shared.value.scores(texts), dtype="float64")
-
-    name = free_name(df, "scored")
-    return df.withColumn(name, scored(F.col(text))).withColumn(out, F.col(name)).drop(name)
+    found = free_name(df, "found")
+    judged = with_features(df, model.gaps, model.n_words, text, found)
+    *weights, intercept = (float(w) for w in model.weights)
+    z = F.lit(intercept)
+    for i, weight in enumerate(weights):
+        z = z + F.get(found, F.lit(i)) * weight
+    return judged.withColumn(out, 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))).drop(found)

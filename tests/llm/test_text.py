@@ -147,11 +147,49 @@ def test_held_out_accuracy(spark, name, label, score):
     assert np.mean([r.predicted == r[label] for r in got]) >= score
 
 
-def test_rare_words_favour_no_class():
-    import pandas as pd
-    counts = pd.DataFrame({"bucket": [1, 2, 3, 4], "toxic": [40, 1, 0, 60], "ordinary": [0, 0, 1, 900]})
-    gaps = toxicity.likelihood_gaps(counts)
-    assert gaps[1] > 2 and gaps[2] == pytest.approx(0, abs=1e-6) and gaps[3] == pytest.approx(0, abs=1e-6) and gaps[9] == pytest.approx(0, abs=1e-6)
+def plain_gaps(rows, discount):
+    """Interpolated Kneser-Ney over distinct left neighbours, word by word."""
+    seen = {0: {}, 1: {}}
+    for text, label in rows:
+        words = re.findall(r"[0-9a-z\x80-\U0010ffff]+", (text or "").lower())
+        for left, word in zip([None, *words], words):
+            seen[label].setdefault(word, set()).add(left)
+    words = seen[0].keys() | seen[1].keys()
+    count = {w: [len(seen[y].get(w, ())) for y in (0, 1)] for w in words}
+    shared = sum(a + b + 0.5 for a, b in count.values())
+    kept = [sum(max(c[y] - discount, 0) for c in count.values()) for y in (0, 1)]
+    back = max(1 - kept[y] / sum(c[y] for c in count.values()) for y in (0, 1))
+
+    def p(w, y):
+        return (1 - back) * max(count[w][y] - discount, 0) / max(kept[y], 1) + back * (sum(count[w]) + 0.5) / shared
+
+    return {w: float(np.log(p(w, 1)) - np.log(p(w, 0))) for w in words}
+
+
+def test_kneser_ney_matches_brute_force(spark):
+    rows = [(prose(i, 30) + (" vile ga vile ho vile" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(60)] + [(None, 0), ("", 1)]
+    want = plain_gaps(rows, 2.0)
+    df = spark.createDataFrame(rows, "text string, label int")
+    counts = toxicity.context_counts(df, "text")
+    got = {np.int64(r.word).view(np.uint64): r.gap for r in toxicity.likelihood_gaps(counts, 2.0).collect()}
+    names = {w: W.word_hashes([w])[0][0] for w in want}
+    assert counts.count() == len(want) and all(abs(got.get(names[w], 0.0) - g) < 1e-5 for w, g in want.items())
+    assert want["vile"] > 1 and any(g < -0.1 for g in want.values())
+
+
+def test_joined_words_score_as_broadcast_ones(spark, odd_rows):
+    words = sorted(set(prose(4, 400).split()))
+    gaps = spark.createDataFrame([(int(W.word_hashes([w])[0][0].view(np.int64)), i / 50 - 2) for i, w in enumerate(words)], "word long, gap float")
+    frame = odd_rows.select("doc_id", "text")
+    small, joined = (sorted((str(r.doc_id), str(r.text), [round(x, 9) for x in r.f]) for r in toxicity.with_features(frame, gaps, len(words), "text", "f", bound).collect())
+                     for bound in (10**6, 0))
+    assert small == joined and any(f[0] for _, _, f in small)
+
+
+def test_rare_words_favour_no_class(spark):
+    counts = spark.createDataFrame([(1, 40, 0), (2, 1, 0), (3, 0, 1), (4, 60, 900)], "word long, toxic long, ordinary long")
+    gaps = {r.word: r.gap for r in toxicity.likelihood_gaps(counts).collect()}
+    assert gaps[1] > 2 and gaps[4] == pytest.approx(np.log((94.0 / 101 * 57 / 94 + 7 / 101 * 960.5 / 1004) / (94.0 / 101 + 7 / 101 * 960.5 / 1004)), abs=1e-5) and set(gaps) == {1, 4}
 
 
 def test_odd_rows_are_scored(spark, odd_rows, no_rows, some_labels):
