@@ -10,16 +10,21 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from html import unescape
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import only, written
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*>|<[/a-zA-Z][^<]*\Z""", re.DOTALL)
+TOKEN = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+#: What can follow the last > of a page: an unclosed comment, CDATA section, declaration or tag.
+TAIL = re.compile(r"<!--.*|<!\[CDATA\[(.*)|<[!?].*|<[/a-zA-Z][^<]*\Z", re.DOTALL)
+QUOTE_OR_END = re.compile(r"[\"'>]")
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 #: Elements by role.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
@@ -36,6 +41,9 @@ TEMPLATE_WORDS = {"ad", "ads", "advert", "advertisement", "adverts", "banner", "
                   "cookie", "cookies", "disqus", "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter",
                   "notice", "pager", "pagination", "popup", "promo", "promotion", "related", "replies", "respond", "share", "sharing", "sidebar",
                   "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget"}
+#: What else names of furniture are put together from, so that "share-buttons" is one and "share-price" is not.
+PARTS = {"area", "bar", "block", "box", "button", "buttons", "container", "content", "form", "group", "icons", "inner", "item", "items", "label", "left",
+         "link", "links", "list", "main", "outer", "panel", "right", "section", "slot", "thread", "title", "top", "unit", "wrap", "wrapper"}
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 TEMPLATE, NEUTRAL, CONTENT = 0, 1, 2
 
@@ -59,21 +67,50 @@ def is_template(tag: str, attrs: dict[str, str], inside: bool) -> bool:
         return True
     if tag in ("body", "html", "article", "main"):
         return False
-    words = {w.lower() for w in WORD.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")}
-    return bool(words & TEMPLATE_WORDS) or (not inside and "header" in words)
+    names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
+    if inside:  # an article keeps its blocks unless a whole name says that they are none of its text
+        named = [{w.lower() for w in WORD.findall(name)} for name in names.split()]
+        return any(words & TEMPLATE_WORDS and words <= TEMPLATE_WORDS | PARTS for words in named)
+    words = {w.lower() for w in WORD.findall(names)}
+    return bool(words & TEMPLATE_WORDS) or "header" in words
 
 
 def marks_article(tag: str, attrs: dict[str, str]) -> bool:
     return tag in ("article", "main") or attrs.get("role", "").lower() in ("main", "article") or attrs.get("itemprop") == "articleBody"
 
 
+def tag_end(html: str, at: int, dead: set[int]) -> int:
+    """Where the tag that is open at ``at`` ends, behind the first > outside quotes; -1 if there is none.
+
+    ``dead`` keeps the quotes from which a search has run to the end of the page, so that none runs there twice.
+    """
+    passed = []
+    while m := QUOTE_OR_END.search(html, at):
+        if m.group() == ">":
+            return m.end()
+        if m.start() in dead:
+            break
+        passed.append(m.start())
+        close = html.find(m.group(), m.end())
+        if close < 0:
+            break
+        at = close + 1
+    dead.update(passed)
+    return -1
+
+
 def page_lines(html: str | None) -> list[tuple[str, int]]:
-    """(text, kind) of every block in page order, with references decoded and white space joined."""
+    """(text, kind) of every block in page order, with references decoded and white space joined.
+
+    The page is read once from front to back; a hostile page takes time in proportion to its length and depth.
+    """
     html = html or ""
     lines: list[tuple[str, int]] = []
     buffer: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # name, template, article
-    at, end = 0, len(html)
+    opened: Counter[str] = Counter()  # names on the stack
+    dead: set[int] = set()
+    at, end, last = 0, len(html), html.rfind(">")
 
     def flush() -> None:
         text = " ".join("".join(buffer).split())
@@ -82,44 +119,69 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
             template, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
             lines.append((text, TEMPLATE if template else CONTENT if article else NEUTRAL))
 
+    def close_from(i: int) -> None:
+        opened.subtract(s[0] for s in stack[i:])
+        del stack[i:]
+
     while at < end:
-        m = TOKEN.search(html, at)
+        m = (TOKEN if at <= last else TAIL).search(html, at)
         stop = m.start() if m else end
         if stop > at:
             buffer.append(unescape(html[at:stop]))
         if not m:
             break
+        if at > last:
+            buffer.append(m.group(1) or "")
+            break
         at = m.end()
-        if m.group(2) is None:
-            if m.group().startswith("<![CDATA["):
-                buffer.append(m.group()[9:].removesuffix("]]>"))
+        if m.group(1):
+            close = html.find("-->", at)
+            at = close + 3 if close >= 0 else end
+            continue
+        if m.group(2):
+            close = html.find("]]>", at)
+            buffer.append(html[at:close if close >= 0 else end])
+            at = close + 3 if close >= 0 else end
+            continue
+        close = html.find(">", at)
+        if m.group(3) or close < 0:
+            if close < 0 and not m.group(3) and html.find("<", at) >= 0:  # not a tag: its < is text
+                buffer.append("<")
+                at = m.start() + 1
+            else:
+                at = close + 1 if close >= 0 else end
+            continue
+        inner, at = at, tag_end(html, at, dead)
+        if at < 0:  # its quotes do not close: what reaches to the next > is left out
+            at = close + 1
             continue
-        tag = m.group(2).lower()
+        tag = m.group(5).lower()
         if tag == "br":
             buffer.append(" ")
             continue
-        if m.group(1):
+        if m.group(4):
             if tag in BLOCK:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if opened[tag] > 0 else ():
                 if stack[i][0] == tag:
                     flush() if any(s[1] != stack[i][1] for s in stack[i:]) else None
-                    del stack[i:]
+                    close_from(i)
                     break
                 if tag == "p" and stack[i][0] in ("article", "div", "section", "main", "td", "body"):
                     break
             continue
-        attrs = attributes(m.group(3)) if m.group(3).strip(" /") else {}
+        inside = html[inner:at - 1]
+        attrs = attributes(inside) if inside.strip(" /") else {}
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(html, at)
             at = close.end() if close else end
             continue
         if tag in BLOCK:
             flush()
-            if tag in CLOSES_P:
+            if tag in CLOSES_P and opened["p"] > 0:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == "p":
-                        del stack[i:]
+                        close_from(i)
                         break
                     if stack[i][0] in BLOCK:
                         break
@@ -127,11 +189,13 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
             continue
         if tag == "body":  # a head that was not closed ends here
             stack[:] = [s for s in stack if s[0] == "html"]
+            opened = Counter(s[0] for s in stack)
         template, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
         hides = template or is_template(tag, attrs, article)
         if hides and not template and tag not in BLOCK:
             flush()
         stack.append((tag, hides, article or marks_article(tag, attrs)))
+        opened[tag] += 1
     flush()
     return lines
 
@@ -178,7 +242,7 @@ def with_lines(pages: DataFrame) -> DataFrame:
             yield pd.Series([[{"text": t, "kind": k} for t, k in page_lines(html)] for html in pages])
 
     url = F.coalesce(F.col("url"), F.lit(""))
-    return pages.select("page_id", "url", F.xxhash64("page_id", "url", "html").alias("rid"),
+    return pages.select("page_id", "url",
                         F.lower(F.regexp_extract(url, r"^[a-zA-Z][\w+.-]*://([^/?#]*)", 1)).alias("host"),
                         F.regexp_extract(url, r"^(?:[a-zA-Z][\w+.-]*://[^/?#]*)?([^?#]*)", 1).alias("path"), lines("html").alias("lines"))
 
@@ -200,18 +264,27 @@ def neighbours(rows: DataFrame) -> DataFrame:
 
 
 def shared_lines(near: DataFrame) -> DataFrame:
-    """(rid, shared): positions of the lines a page shares with the neighbour of the same host with the nearer path."""
+    """(rid, shared): per line of a page whether it shares it with a neighbour of the same host.
+
+    The neighbour with the nearer path is taken, unless it holds all lines of the page: it is a copy then and says
+    nothing about which lines are the site's. If both neighbours do, the page shares nothing.
+    """
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for row in batch.itertuples():
                 same = [n for n in (row.before, row.after) if n is not None and n["host"] == row.host]
-                if same:
-                    partner = max(same, key=lambda n: shared_start(n["path"], row.path))
-                    rows.append((row.rid, common_positions(list(row.hashes), list(partner["hashes"]))))
+                own = list(row.hashes)
+                for partner in sorted(same, key=lambda n: -shared_start(n["path"], row.path)):
+                    found = common_positions(own, list(partner["hashes"]))
+                    if len(found) < len(own):
+                        flags = np.zeros(len(own), dtype=bool)
+                        flags[found] = True
+                        rows.append((row.rid, flags))
+                        break
             yield pd.DataFrame(rows, columns=["rid", "shared"])
 
-    return near.mapInPandas(compare, "rid long, shared array<int>")
+    return near.mapInPandas(compare, "rid long, shared array<boolean>")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -219,15 +292,18 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Null html is an empty page; a null or relative URL has the empty host. Repeated rows are extracted alike. A page
     that marks no article keeps the blocks that are not furniture and not shared with its pair; a host's only page has
-    no pair. Other columns are ignored; an empty table gives no rows.
+    no pair, and pages of a host with the same lines are one page when pairs are sought. Other columns are ignored; an
+    empty table gives no rows.
     """
     lined = with_lines(only(pages, "page_id", "url", "html"))
-    light = lined.select("rid", "host", "path", F.transform("lines", lambda x: F.xxhash64(x["text"])).alias("hashes")).dropDuplicates(["rid"])
+    light = lined.select("host", "path", F.transform("lines", lambda x: F.xxhash64(x["text"])).alias("hashes"))
+    light = light.withColumn("rid", F.xxhash64("host", "hashes")).groupBy("host", "rid").agg(
+        F.min("path").alias("path"), F.any_value("hashes").alias("hashes"))
     shared = shared_lines(neighbours(light)).withColumnRenamed("rid", "of")
-    joined = lined.select("page_id", "url", "rid", "lines").join(shared, F.col("rid") == F.col("of"), "left")
+    joined = lined.withColumn("rid", F.xxhash64("host", F.transform("lines", lambda x: F.xxhash64(x["text"])))).join(shared, F.col("rid") == F.col("of"), "left")
     marked = F.exists("lines", lambda x: x["kind"] == CONTENT)
-    listed = F.transform("lines", lambda x, i: F.struct(x["text"].alias("text"), x["kind"].alias("kind"), i.alias("i")))
-    gone = F.coalesce("shared", F.array().cast("array<int>"))
-    kept = F.when(marked, F.filter(listed, lambda x: x["kind"] == CONTENT)).otherwise(
-        F.filter(listed, lambda x: (x["kind"] == NEUTRAL) & ~F.array_contains(gone, x["i"])))
-    return joined.select("page_id", "url", F.array_join(F.transform(kept, lambda x: x["text"]), "\n").alias("text"), F.size(gone).alias("n_shared"))
+    gone = F.coalesce("shared", F.array().cast("array<boolean>"))
+    own = F.filter("lines", lambda x, i: (x["kind"] == NEUTRAL) & ~F.coalesce(F.get(gone, i), F.lit(False)))
+    kept = F.when(marked, F.filter("lines", lambda x: x["kind"] == CONTENT)).otherwise(own)
+    return joined.select("page_id", "url", F.array_join(F.transform(kept, lambda x: x["text"]), "\n").alias("text"),
+                         F.size(F.filter(gone, lambda x: x)).cast("int").alias("n_shared"))

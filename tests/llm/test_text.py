@@ -132,6 +132,36 @@ def test_pages_without_an_article_are_differenced(spark):
     assert got[9] == "Site name\nx\ny\nImprint" and got[None] == "" and got[10] == "t"
 
 
+def test_articles_keep_blocks_whose_names_only_resemble_furniture():
+    kept = "".join(f'<p class="{c}">{c}</p>' for c in ("share-price", "social-history", "widget-image", "commentary", "adverse-effects"))
+    gone = "".join(f'<div id="{c}">gone</div>' for c in ("share-buttons", "commentList", "ad", "newsletter-signup", "cookie-notice"))
+    lines = html_text.page_lines(f'<article>{gone}{kept}<p id="notice-period">N</p></article>')
+    assert [t for t, k in lines if k == html_text.CONTENT] == ["share-price", "social-history", "widget-image", "commentary", "adverse-effects", "N"]
+
+
+def test_copies_of_unmarked_pages_keep_their_text(spark):
+    page = "<div>Site name</div><div>{0}</div><div>Imprint</div>"
+    rows = [(i, f"http://h.example/a/{i}", page.format(prose(i // 3, 9))) for i in range(9)] + [(20, "http://h.example/a/1", page.format(prose(0, 9)))]
+    rows += [(i, f"http://twins.example/{i}", page.format("only")) for i in (30, 31)]
+    frame = spark.createDataFrame([(*r, "x", True) for r in rows], "page_id long, url string, html string, lines string, shared boolean")
+    got = {r.page_id: r.text for r in html_text.extract(frame).collect()}
+    assert all(got[i] == prose(i // 3, 9) for i in range(9)) and got[20] == prose(0, 9)
+    assert got[30] == got[31] == "Site name\nonly\nImprint" and len(got) == len(rows)
+    assert html_text.extract(frame.limit(0)).isEmpty()
+
+
+def test_hostile_pages_take_time_in_proportion():
+    import time
+    for piece, end in (('<div class="x', ""), ("<a ", ""), ("<a b='>", ""), ('<a "', ">"), ("<a<", ""), ("<!--", ""), ("<![CDATA[", "")):
+        start = time.perf_counter()
+        html_text.page_lines(piece * 40_001 + end)
+        assert time.perf_counter() - start < 3, piece
+    start = time.perf_counter()
+    html_text.page_lines("<b>" * 5000 + "</x>" * 20_000)
+    assert time.perf_counter() - start < 3
+    assert html_text.page_lines("<p>a <!-- b") == [("a", html_text.NEUTRAL)] and html_text.page_lines("a <b c") == [("a", html_text.NEUTRAL)]
+
+
 def test_word_hashes_do_not_depend_on_blocks(monkeypatch):
     texts = [prose(3, 500), "", None, "Ünïcode Ärger ünïcode", prose(4, 2000)]
     whole = W.word_hashes(texts)
