@@ -68,7 +68,7 @@ CONTRACT_LONG = RECURSION.format(round="""
         WHERE NOT EXISTS (SELECT 1 FROM taken WHERE taken.word = rows.word AND taken.n = rows.n - 1)""")
 
 JOIN_BYTES = """
-SELECT row, from_hex(string_agg(hex, '' ORDER BY pos)) AS bytes FROM tokens JOIN vocabulary USING (token) GROUP BY row ORDER BY row
+SELECT row, from_hex(list_aggregate(list(hex ORDER BY pos), 'string_agg', '')) AS bytes FROM tokens JOIN vocabulary USING (token) GROUP BY row ORDER BY row
 """
 
 
@@ -217,7 +217,7 @@ def joined_bytes(base: duckdb.DuckDBPyConnection, lists: pa.Array, known: np.nda
         last = max(first + 1, int(np.searchsorted(ends, done + TOKENS, side="right")))
         each = sizes[first:last]
         rows = pa.table({"row": np.repeat(np.arange(last - first, dtype=np.int32), each),
-                         "pos": np.arange(each.sum()), "token": tokens[done : ends[last - 1]].astype(np.int32)})
+                         "pos": np.arange(each.sum(), dtype=np.int32), "token": tokens[done : ends[last - 1]].astype(np.int32)})
         base.register("tokens", rows)
         found = base.sql(JOIN_BYTES).fetchall()
         base.unregister("tokens")
