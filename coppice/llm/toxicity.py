@@ -25,6 +25,8 @@ from .words import logistic_fit, padded_mean_peak, word_hashes
 DISCOUNT, PASSAGE, CALIBRATION = 3.0, 50, 3000
 #: Telling words (12 bytes each) up to which every task gets them all; beyond it texts and words are joined.
 SMALL_WORDS = 2_000_000
+#: Words of which the pairs are made distinct before they are shuffled.
+WORDS_AT_ONCE = 500_000
 #: Nats by which a word must favour the toxic class to be clear.
 CLEAR = 1.0
 N_FEATURES = 5
@@ -32,12 +34,22 @@ N_FEATURES = 5
 
 def context_counts(rows: DataFrame, text: str) -> DataFrame:
     """(word, toxic, ordinary): distinct left neighbours of every word by class, over all ``rows`` (text, label)."""
+    def frame(waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pd.DataFrame:
+        word, left, label = (np.concatenate(c) for c in zip(*waiting, strict=True))
+        return pd.DataFrame({"word": word.view(np.int64), "left": left.view(np.int64), "label": label}).drop_duplicates()
+
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting, size = [], 0
         for batch in batches:
             for hashes, label in zip(word_hashes(batch.iloc[:, 0]), batch["label"], strict=True):
-                if len(hashes):
-                    left = np.concatenate((np.zeros(1, dtype=np.uint64), hashes[:-1]))
-                    yield pd.DataFrame({"word": hashes.view(np.int64), "left": left.view(np.int64), "label": np.int8(label)}).drop_duplicates()
+                left = np.concatenate((np.zeros(1, dtype=np.uint64), hashes))[: len(hashes)]
+                waiting.append((hashes, left, np.full(len(hashes), label, dtype=np.int8)))
+                size += len(hashes)
+                if size >= WORDS_AT_ONCE:
+                    yield frame(waiting)
+                    waiting, size = [], 0
+        if size:
+            yield frame(waiting)
 
     seen = rows.select(text, "label").mapInPandas(pairs, "word long, left long, label byte").distinct()
     return seen.groupBy("word").agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("ordinary"))
