@@ -27,7 +27,7 @@ def mask_total(mask: Column) -> Column:
     return F.aggregate(mask, F.lit(0).cast("bigint"), lambda s, x: s + x)
 
 
-def mask_lengths(mask: Column, response_length: int) -> tuple[Column, Column]:
+def mask_lengths(mask: Column, response_length: Column | int) -> tuple[Column, Column]:
     """Valid prompt and response tokens of a mask whose last ``response_length`` positions are the response."""
     prompt = F.slice(mask, F.lit(1), F.size(mask) - response_length)
     return mask_total(prompt), mask_total(F.slice(mask, -response_length, response_length))

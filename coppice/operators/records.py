@@ -63,6 +63,17 @@ def collect_turns(turns: DataFrame, keys: Sequence[str], order: str, role: str,
         *keys, F.transform("__t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias(out))
 
 
+def exchanges(turns: DataFrame, conversation: str, number: str, role: str, content: str, asks: str = "user", answers: str = "assistant") -> DataFrame:
+    """(conversation, number, prompt, response): every answer with the question right before it, one row per exchange.
+
+    Turns are paired by their number, so the turns of one long conversation spread over tasks. An answer after anything
+    but a question has no row; of repeated turns each question meets each answer.
+    """
+    asked = turns.where(F.col(role) == asks).select(F.col(conversation), (F.col(number) + 1).alias(number), F.col(content).alias("prompt"))
+    said = turns.where(F.col(role) == answers).select(conversation, number, F.col(content).alias("response"))
+    return said.join(asked, [conversation, number]).select(conversation, number, "prompt", "response")
+
+
 def render_chat(chat: Column, generation_prompt: bool = False, suffix: str = "", header_open: str = HEADER_OPEN,
                 header_close: str = HEADER_CLOSE, turn_end: str = TURN_END) -> Column:
     """A chat as one string; ``suffix`` is appended last (the reasoning tag of a prompt to be answered)."""

@@ -52,35 +52,42 @@ def rl_example(df: DataFrame, ids: Column, length: int, pad: int, truncation: st
 
 
 def assemble_rollout(df: DataFrame, prompt_ids: str, prompt_mask: str, response_ids: str, eos: list[int], pad: int,
-                     response_length: int) -> DataFrame:
-    """Prompt and padded response in one row; the mask ends at the first end token of the response."""
-    padded = pad_ragged(df, response_ids, pad, response_length)
+                     response_length: int, batch: Sequence[str] = ()) -> DataFrame:
+    """Prompt and padded response in one row; the mask ends at the first end token of the response.
+
+    Responses are padded to the longest of their ``batch``, or to ``response_length`` when that is longer.
+    """
+    padded = pad_ragged(df, response_ids, pad, response_length, batch)
     return (padded.withColumn("input_ids", F.concat(prompt_ids, response_ids))
             .withColumn("attention_mask", F.concat(F.col(prompt_mask), K.eos_mask(F.col(response_ids), eos))))
 
 
-def pack_sequences(df: DataFrame, pos: str, mask: str) -> tuple[DataFrame, DataFrame]:
-    """(flat indices of valid tokens, cumulative lengths with a leading 0) of a batch of equal-width masks."""
-    flat = df.select(F.col(pos), F.size(mask).alias("__w"), F.posexplode(mask).alias("__t", "__m"))
-    indices = flat.where(F.col("__m") == 1).select((F.col(pos) * F.col("__w") + F.col("__t")).alias("index"))
-    lengths = df.select(F.col(pos).alias("pos"), K.mask_total(F.col(mask)).alias("seqlen"))
-    cumulative = running_total(lengths, F.col("seqlen"), [F.col("pos")], F.floor(F.col("pos") / 65536), name="cu_seqlen")
-    start = lengths.where(F.col("pos") == 0).select(F.lit(0).cast("bigint").alias("pos"), F.lit(0).cast("bigint").alias("cu_seqlen"))
-    return indices, start.unionByName(cumulative.select((F.col("pos") + 1).alias("pos"), "cu_seqlen"))
+def pack_sequences(df: DataFrame, pos: str, mask: str, batch: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(flat indices of valid tokens, cumulative lengths with a leading 0) of every batch of equal-width masks.
+
+    ``pos`` counts the rows of a batch from 0; without ``batch`` the whole frame is one.
+    """
+    flat = df.select(*batch, F.col(pos), F.size(mask).alias("__w"), F.posexplode(mask).alias("__t", "__m"))
+    indices = flat.where(F.col("__m") == 1).select(*batch, (F.col(pos) * F.col("__w") + F.col("__t")).alias("index"))
+    lengths = df.select(*batch, F.col(pos).alias("pos"), K.mask_total(F.col(mask)).alias("seqlen"))
+    cumulative = running_total(lengths, F.col("seqlen"), [F.col("pos")], F.floor(F.col("pos") / 65536), keys=batch, name="cu_seqlen")
+    start = lengths.where(F.col("pos") == 0).select(*batch, F.lit(0).cast("bigint").alias("pos"), F.lit(0).cast("bigint").alias("cu_seqlen"))
+    return indices, start.unionByName(cumulative.select(*batch, (F.col("pos") + 1).alias("pos"), "cu_seqlen"))
 
 
-def longest_packed(df: DataFrame, mask: str) -> DataFrame:
-    return df.agg(F.max(K.mask_total(F.col(mask))).alias("max_seqlen"))
+def longest_packed(df: DataFrame, mask: str, batch: Sequence[str] = ()) -> DataFrame:
+    return df.groupBy(*batch).agg(F.max(K.mask_total(F.col(mask))).alias("max_seqlen"))
 
 
-def pad_packed(cumulative: DataFrame, max_seqlen: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """Pad the packed tokens to a multiple of ``size``: the padding counts as one more sequence."""
-    stats = one_row(cumulative, F.max("cu_seqlen").alias("total"), F.max("pos").alias("last"))
-    pad = F.pmod(F.lit(size) - F.pmod(stats["total"], F.lit(size)), F.lit(size))
-    extra = cumulative.where((F.col("pos") == stats["last"]) & (pad > 0)).select(
-        (F.col("pos") + 1).alias("pos"), (F.col("cu_seqlen") + pad).alias("cu_seqlen"))
-    longest = max_seqlen.select(F.greatest("max_seqlen", pad).alias("max_seqlen"), pad.alias("pad_size"))
-    return cumulative.unionByName(extra), longest
+def pad_packed(cumulative: DataFrame, max_seqlen: DataFrame, size: int, batch: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Pad the packed tokens of every batch to a multiple of ``size``: the padding counts as one more sequence."""
+    ends = cumulative.groupBy(*batch).agg(F.max("cu_seqlen").alias("total"), F.max("pos").alias("last"))
+    ends = ends.withColumn("pad", F.pmod(F.lit(size) - F.pmod("total", F.lit(size)), F.lit(size)))
+    extra = ends.where("pad > 0").select(*batch, (F.col("last") + 1).alias("pos"), (F.col("total") + F.col("pad")).alias("cu_seqlen"))
+    none = F.lit(0).cast("bigint")
+    lengths = max_seqlen.select(*batch, "max_seqlen", none.alias("pad_size")).unionByName(
+        ends.select(*batch, F.col("pad").alias("max_seqlen"), F.col("pad").alias("pad_size")))
+    return cumulative.unionByName(extra), lengths.groupBy(*batch).agg(F.max("max_seqlen").alias("max_seqlen"), F.max("pad_size").alias("pad_size"))
 
 
 def rescore_chat(df: DataFrame, chat: str, response: str, eos_text: str, length: int, pad: int,

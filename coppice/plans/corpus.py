@@ -9,11 +9,8 @@ from ..operators import records
 from ..operators import tokenise as T
 from ..operators import vocabulary as V
 from ..operators.joins import attach
+from .bindings import EXCHANGES_SQL, IDS, WORDS, exchanges, in_batches, mask_rows
 from .common import bound, plain, query, table
-from .statistics import LENGTHS, _mask_rows
-
-WORDS = "[w for w in regexp_split_to_array({}, '[ \\t\\r\\n]+') if w <> '']"
-IDS = "[('0x' || substr(md5(w), 1, 15))::BIGINT for w in regexp_split_to_array({}, '[ \\t\\r\\n]+') if w <> '']"
 
 
 def ids(column):
@@ -50,10 +47,11 @@ def flag_overlong_prompts(spark, sf_dir):
     return out.select("row_id", F.col("padded_length").cast("bigint").alias("padded_length"), "overlong")
 
 
-@query("valid_tokens", f"SELECT doc_id, {text_of('range(16 - p, 16 + r)')} AS valid FROM ({plain(LENGTHS)})")
+@query("valid_tokens", f"WITH {EXCHANGES_SQL} SELECT row_id, {text_of('range(top_p - np, top_p + nr)')} AS valid FROM e")
 def valid_tokens(spark, sf_dir):
-    rows = _mask_rows(spark, sf_dir).withColumn("value", F.sequence(F.lit(0), F.lit(43)))
-    return rows.select("doc_id", K.shown(T.valid_tokens(rows, "value", "attention_mask")).alias("valid"))
+    rows = mask_rows(spark, sf_dir)
+    rows = rows.withColumn("value", F.sequence(F.lit(0), F.size("attention_mask") - 1))
+    return rows.select("row_id", K.shown(T.valid_tokens(rows, "value", "attention_mask")).alias("valid"))
 
 
 @query("pad_ragged", TURNS + f""", m AS (SELECT *, max(n) OVER (PARTITION BY batch_id) AS top, max(n) OVER () AS all_top FROM k)
@@ -92,28 +90,15 @@ def strip_left_pad(spark, sf_dir):
                          K.shown(K.strip_by_pad(F.col("p"), -1)).alias("by_pad"))
 
 
-SFT = f"""WITH q AS (SELECT conv_id, min_by(text, turn) FILTER (role = 'user') AS p, min_by(text, turn) FILTER (role = 'assistant') AS r
- FROM conversations GROUP BY conv_id), t AS (SELECT conv_id, {ids('p')} AS p, list_append({ids('r')}, -2) AS r FROM q WHERE p IS NOT NULL AND r IS NOT NULL),
- k AS (SELECT conv_id, list_concat(p, r) AS ids, len(p) AS np, len(p) + len(r) AS n FROM t)"""
-
-
-def first_exchanges(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    pick = lambda role: F.min_by("text", F.when(F.col("role") == role, F.col("turn")))
-    q = c.groupBy("conv_id").agg(pick("user").alias("p"), pick("assistant").alias("r"),
-                                 F.max((F.col("role") == "user").cast("int")).alias("u"),
-                                 F.max((F.col("role") == "assistant").cast("int")).alias("a"))
-    return q.where("u = 1 AND a = 1").select("conv_id", K.tokenize(F.col("p")).alias("p"), F.concat(
-        K.tokenize(F.col("r")), F.array(F.lit(-2).cast("bigint"))).alias("r"))
-
-
-@query("sft_example", SFT + f""" SELECT conv_id, {text_of(f"list_concat(ids[1:60], {repeat(-1, '60 - n')})")} AS input_ids,
-{text_of("[CASE WHEN i < least(n, 60) THEN 1 ELSE 0 END for i in range(60)]")} AS attention_mask,
-{text_of("[least(i, n - 1) for i in range(60)]")} AS position_ids,
-{text_of("[CASE WHEN i < least(np, 60) - 1 OR i >= least(n, 60) - 1 THEN 0 ELSE 1 END for i in range(60)]")} AS loss_mask FROM k""")
+@query("sft_example", f"""WITH {EXCHANGES_SQL}, k AS (SELECT row_id, list_concat(p, r) AS ids, np, np + nr AS n FROM e)
+SELECT row_id, {text_of(f"list_concat(ids[1:256], {repeat(-1, '256 - n')})")} AS input_ids,
+{text_of("[CASE WHEN i < least(n, 256) THEN 1 ELSE 0 END for i in range(256)]")} AS attention_mask,
+{text_of("[least(i, n - 1) for i in range(256)]")} AS position_ids,
+{text_of("[CASE WHEN i < least(np, 256) - 1 OR i >= least(n, 256) - 1 THEN 0 ELSE 1 END for i in range(256)]")} AS loss_mask FROM k""")
 def sft_example(spark, sf_dir):
-    parts = K.sft_example(F.col("p"), F.col("r"), 60, -1, "right")
-    return first_exchanges(spark, sf_dir).select("conv_id", *[K.shown(v).alias(n) for n, v in parts.items()])
+    """One example per exchange of a conversation."""
+    parts = K.sft_example(F.col("p"), F.col("r"), 256, -1, "right")
+    return exchanges(spark, sf_dir).select("row_id", *[K.shown(v).alias(n) for n, v in parts.items()])
 
 
 @query("sft_text_batch", TURNS + f""" SELECT row_id, {text_of(f"list_concat(ids[1:40], {repeat(-1, '40 - n')})")} AS input_ids,
@@ -141,44 +126,46 @@ def rl_batch_left_pad(spark, sf_dir):
     return out.select("row_id", "query", "ground_truth", K.shown(F.col("ids")).alias("input_ids"), K.shown(F.col("attention_mask")).alias("attention_mask"))
 
 
-@query("assemble_rollout", SFT + f""", z AS (SELECT k.*, p, list_concat(r, {repeat(-1, 'greatest(max(len(r)) OVER (), 90) - len(r)')}) AS r
- FROM k JOIN t USING (conv_id)), e AS (SELECT *, coalesce(list_position(r, -2), 0) AS eos FROM z)
-SELECT conv_id, {text_of(f"list_concat({repeat(-1, '60 - np')}, p[greatest(np - 59, 1):np], r)")} AS input_ids,
-{text_of(f"list_concat({repeat(0, '60 - np')}, {repeat(1, 'least(np, 60)')}, [CASE WHEN eos = 0 OR i < eos THEN 1 ELSE 0 END for i in range(len(r))])")} AS attention_mask FROM e""")
+@query("assemble_rollout", f"""WITH {EXCHANGES_SQL}, z AS (SELECT row_id, p, np, list_concat(r, {repeat(-1, 'greatest(top_r, 90) - nr')}) AS r FROM e),
+y AS (SELECT *, coalesce(list_position(r, -2), 0) AS eos FROM z)
+SELECT row_id, {text_of(f"list_concat({repeat(-1, '60 - np')}, p[greatest(np - 59, 1):np], r)")} AS input_ids,
+{text_of(f"list_concat({repeat(0, '60 - np')}, {repeat(1, 'least(np, 60)')}, [CASE WHEN eos = 0 OR i < eos THEN 1 ELSE 0 END for i in range(len(r))])")} AS attention_mask FROM y""")
 def assemble_rollout(spark, sf_dir):
-    t = first_exchanges(spark, sf_dir)
+    """Responses of every exchange, padded to the longest of their training batch."""
+    t = in_batches(exchanges(spark, sf_dir))
     prompts, mask = K.pad_and_truncate(F.col("p"), K.ones(F.col("p")), 60, -1, left_pad=True, truncation="left")
-    out = T.assemble_rollout(t.select("conv_id", prompts.alias("p"), mask.alias("m"), "r"), "p", "m", "r", [-2], -1, 90)
-    return out.select("conv_id", K.shown(F.col("input_ids")).alias("input_ids"), K.shown(F.col("attention_mask")).alias("attention_mask"))
+    out = T.assemble_rollout(t.select("row_id", "batch_id", prompts.alias("p"), mask.alias("m"), "r"), "p", "m", "r", [-2], -1, 90, ["batch_id"])
+    return out.select("row_id", K.shown(F.col("input_ids")).alias("input_ids"), K.shown(F.col("attention_mask")).alias("attention_mask"))
 
 
-PACK = f"WITH l AS (SELECT doc_id, p, r, p + r AS n FROM ({plain(LENGTHS)})), cu AS (SELECT 0 AS pos, 0 AS cu_seqlen UNION ALL " \
-       "SELECT doc_id + 1, CAST(sum(n) OVER (ORDER BY doc_id) AS BIGINT) FROM l)"
+PACK = f"""WITH {EXCHANGES_SQL}, cu AS (SELECT batch_id, 0 AS pos, 0 AS cu_seqlen FROM e WHERE pos = 0 UNION ALL
+ SELECT batch_id, pos + 1, CAST(sum(np + nr) OVER (PARTITION BY batch_id ORDER BY pos) AS BIGINT) FROM e)"""
 
 
-@query("pack_sequences", PACK + """ SELECT 'cu_seqlens' AS part, pos, cu_seqlen AS value FROM cu UNION ALL
-SELECT 'index', doc_id * 44 + i, doc_id * 44 + i FROM l, range(44) x(i) WHERE i >= 16 - p AND i < 16 + r
-UNION ALL SELECT 'max_seqlen', 0, max(n) FROM l""")
+@query("pack_sequences", PACK + """ SELECT batch_id, 'cu_seqlens' AS part, pos, cu_seqlen AS value FROM cu UNION ALL
+SELECT batch_id, 'index', g, g FROM (SELECT batch_id, pos * (top_p + top_r) + unnest(range(top_p - np, top_p + nr)) AS g FROM e)
+UNION ALL SELECT batch_id, 'max_seqlen', 0, max(np + nr) FROM e GROUP BY batch_id""")
 def pack_sequences(spark, sf_dir):
-    rows = _mask_rows(spark, sf_dir)
-    indices, cumulative = T.pack_sequences(rows, "doc_id", "attention_mask")
-    return (cumulative.select(F.lit("cu_seqlens").alias("part"), "pos", F.col("cu_seqlen").alias("value"))
-            .unionByName(indices.select(F.lit("index").alias("part"), F.col("index").alias("pos"), F.col("index").alias("value")))
-            .unionByName(T.longest_packed(rows, "attention_mask").select(
-                F.lit("max_seqlen").alias("part"), F.lit(0).cast("bigint").alias("pos"), F.col("max_seqlen").alias("value"))))
-
-
-@query("pad_packed", PACK + """, s AS (SELECT max(cu_seqlen) AS total, max(pos) AS last, (512 - max(cu_seqlen) % 512) % 512 AS pad FROM cu)
-SELECT 'cu_seqlens' AS part, pos, cu_seqlen AS value FROM cu UNION ALL SELECT 'cu_seqlens', last + 1, total + pad FROM s WHERE pad > 0
-UNION ALL SELECT 'max_seqlen', 0, greatest((SELECT max(n) FROM l), pad) FROM s UNION ALL SELECT 'pad_size', 0, pad FROM s""")
+    rows = mask_rows(spark, sf_dir)
+    indices, cumulative = T.pack_sequences(rows, "pos", "attention_mask", ["batch_id"])
+    return (cumulative.select("batch_id", F.lit("cu_seqlens").alias("part"), "pos", F.col("cu_seqlen").alias("value"))
+            .unionByName(indices.select("batch_id", F.lit("index").alias("part"), F.col("index").alias("pos"), F.col("index").alias("value")))
+            .unionByName(T.longest_packed(rows, "attention_mask", ["batch_id"]).select(
+                "batch_id", F.lit("max_seqlen").alias("part"), F.lit(0).cast("bigint").alias("pos"), F.col("max_seqlen").alias("value"))))
+
+
+@query("pad_packed", PACK + """, s AS (SELECT batch_id, max(cu_seqlen) AS total, max(pos) AS last, (512 - max(cu_seqlen) % 512) % 512 AS pad FROM cu GROUP BY batch_id)
+SELECT batch_id, 'cu_seqlens' AS part, pos, cu_seqlen AS value FROM cu UNION ALL SELECT batch_id, 'cu_seqlens', last + 1, total + pad FROM s WHERE pad > 0
+UNION ALL SELECT batch_id, 'max_seqlen', 0, greatest(max(np + nr), any_value(pad)) FROM e JOIN s USING (batch_id) GROUP BY batch_id
+UNION ALL SELECT batch_id, 'pad_size', 0, pad FROM s""")
 def pad_packed(spark, sf_dir):
-    rows = _mask_rows(spark, sf_dir)
-    _, cumulative = T.pack_sequences(rows, "doc_id", "attention_mask")
-    cumulative, longest = T.pad_packed(cumulative, T.longest_packed(rows, "attention_mask"), 512)
+    rows = mask_rows(spark, sf_dir)
+    _, cumulative = T.pack_sequences(rows, "pos", "attention_mask", ["batch_id"])
+    cumulative, longest = T.pad_packed(cumulative, T.longest_packed(rows, "attention_mask", ["batch_id"]), 512, ["batch_id"])
     zero = F.lit(0).cast("bigint").alias("pos")
-    return (cumulative.select(F.lit("cu_seqlens").alias("part"), "pos", F.col("cu_seqlen").alias("value"))
-            .unionByName(longest.select(F.lit("max_seqlen").alias("part"), zero, F.col("max_seqlen").alias("value")))
-            .unionByName(longest.select(F.lit("pad_size").alias("part"), zero, F.col("pad_size").alias("value"))))
+    return (cumulative.select("batch_id", F.lit("cu_seqlens").alias("part"), "pos", F.col("cu_seqlen").alias("value"))
+            .unionByName(longest.select("batch_id", F.lit("max_seqlen").alias("part"), zero, F.col("max_seqlen").alias("value")))
+            .unionByName(longest.select("batch_id", F.lit("pad_size").alias("part"), zero, F.col("pad_size").alias("value"))))
 
 
 @query("rescore_chat", f"""WITH c AS (SELECT conv_id, string_agg('[' || role || '] ' || text || ' ;', '' ORDER BY turn) || '[assistant] ' || min_by(text, turn) || ' ;' AS text

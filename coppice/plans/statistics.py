@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.tokens import word_tokens
 from ..operators import balance, batch
 from ..operators import scoring
 from ..operators import metrics as M
 from ..operators.records import zero_answer_ratio as zero_ratio
-from .bindings import TOKENS_SQL, rollout_tokens
+from .bindings import EXCHANGES_SQL, LENGTHS_SQL, TOKENS_SQL, WORDS, document_lengths, mask_rows, rollout_tokens
 from .common import bound, plain, query, table
 
 TOK = f"WITH tok AS ({TOKENS_SQL})"
-LENGTHS = "SELECT doc_id, source, n_chars % 17 AS p, n_chars % 29 AS r FROM {documents}"
 
 
 def r6(c, name):
@@ -76,27 +76,17 @@ def val_score_by_source(spark, sf_dir):
     return scoring.mean_score(per, "src").select("data_source", r6("val_score", "val_score"))
 
 
-def _mask_rows(spark, sf_dir):
-    """Attention masks: a prompt left-padded to 16 and a response right-padded to 28."""
-    docs = bound(spark, sf_dir, LENGTHS)
-    ones, zeros = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    return docs.select("doc_id", "source", F.concat(
-        F.array_repeat(zeros, (16 - F.col("p")).cast("int")), F.array_repeat(ones, F.col("p").cast("int")),
-        F.array_repeat(ones, F.col("r").cast("int")), F.array_repeat(zeros, (28 - F.col("r")).cast("int"))
-    ).alias("attention_mask"))
-
-
-@query("response_info", f"SELECT doc_id, p AS prompt_length, r AS response_length FROM ({plain(LENGTHS)})")
+@query("response_info", f"WITH {EXCHANGES_SQL} SELECT row_id, np AS prompt_length, nr AS response_length FROM e")
 def response_info(spark, sf_dir):
     from ..functions.tokens import mask_lengths
-    prompt, response = mask_lengths(F.col("attention_mask"), response_length=28)
-    return _mask_rows(spark, sf_dir).select("doc_id", prompt.alias("prompt_length"), response.alias("response_length"))
+    prompt, response = mask_lengths(F.col("attention_mask"), F.col("top_r"))
+    return mask_rows(spark, sf_dir).select("row_id", prompt.alias("prompt_length"), response.alias("response_length"))
 
 
-@query("token_counts", f"SELECT doc_id, p + r AS n_tokens FROM ({plain(LENGTHS)})")
+@query("token_counts", f"WITH {EXCHANGES_SQL} SELECT row_id, np + nr AS n_tokens FROM e")
 def token_counts(spark, sf_dir):
     from ..functions.tokens import mask_total
-    return _mask_rows(spark, sf_dir).select("doc_id", mask_total(F.col("attention_mask")).alias("n_tokens"))
+    return mask_rows(spark, sf_dir).select("row_id", mask_total(F.col("attention_mask")).alias("n_tokens"))
 
 
 DATA_TOK = TOK + """, k AS (SELECT *, score - 0.1::DOUBLE * (old_lp - ref_lp) * mask AS reward, score - 20 AS adv, score / 10 AS ret FROM tok),
@@ -145,13 +135,13 @@ TIMINGS = """SELECT CASE event_type WHEN 'click' THEN 'gen' WHEN 'view' THEN 're
 
 
 @query("timing_metrics", f"""WITH t AS (SELECT section, sum(seconds) AS s FROM ({plain(TIMINGS)}) GROUP BY section),
-n AS (SELECT sum(p) AS p, sum(r) AS r FROM ({plain(LENGTHS)}))
+n AS (SELECT sum(p) AS p, sum(r) AS r FROM ({LENGTHS_SQL}))
 SELECT 'timing_s/' || section AS metric, round(s, 4) AS value FROM t UNION ALL
 SELECT 'timing_per_token_ms/' || section, round(s * 1000 / CASE WHEN section = 'gen' THEN r ELSE p + r END, 4)
 FROM t, n WHERE section <> 'load'""")
 def timing_metrics(spark, sf_dir):
     timings = bound(spark, sf_dir, TIMINGS).groupBy("section").agg(F.sum("seconds").alias("seconds"))
-    sequences = bound(spark, sf_dir, LENGTHS).select(F.col("p").alias("prompt_length"), F.col("r").alias("response_length"))
+    sequences = document_lengths(spark, sf_dir).select(F.col("p").alias("prompt_length"), F.col("r").alias("response_length"))
     return M.timing_metrics(timings, sequences).select("metric", F.round("value", 4).alias("value"))
 
 
@@ -178,7 +168,7 @@ def group_accuracy(spark, sf_dir):
     return M.group_accuracy(scored, ["uid"]).select("uid", "n", r6("mean", "mean"), r6("std", "std"))
 
 
-BAL = "WITH d AS (SELECT doc_id AS pos, n_chars % 2048 AS length FROM documents), n AS (SELECT count(*) AS n FROM d)"
+BAL = f"WITH d AS (SELECT doc_id AS pos, len({WORDS.format('text')}) AS length FROM documents), n AS (SELECT count(*) AS n FROM d)"
 SNAKE = BAL + """, o AS (SELECT *, row_number() OVER (ORDER BY length DESC, pos) - 1 AS rk FROM d),
 a AS (SELECT pos, length, CASE WHEN (rk // 8) % 2 = 0 THEN rk % 8 ELSE 7 - rk % 8 END AS part FROM o)"""
 
@@ -193,7 +183,7 @@ def seqlen_balance_stats(spark, sf_dir):
 
 
 def snake(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), (F.col("n_chars") % 2048).alias("length"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.size(word_tokens(F.col("text"))).cast("bigint").alias("length"))
     return balance.balance_snake(docs, "pos", F.col("length"), 8)
 
 
@@ -206,12 +196,12 @@ CONFIG = {"model_type": "qwen2", "hidden_size": 1536, "num_hidden_layers": 28, "
           "num_key_value_heads": 2, "intermediate_size": 8960, "vocab_size": 151936}
 FLOPS_SQL = f"""SELECT source, (6.0::DOUBLE * ((1536 * 8960 * 3 + 1536 * (12 * 128 + 2 * 128 + 2 * 128 + 12 * 128)) * 28
   + 151936 * 1536 * 2) * sum(p + r) + 12.0::DOUBLE * sum((p + r) * (p + r)) * 128 * 12 * 28) / 0.5 / 1e12 AS f
-  FROM ({plain(LENGTHS)}) GROUP BY source"""
+  FROM ({LENGTHS_SQL}) GROUP BY source"""
 
 
 def _flops(spark, sf_dir):
     n = (F.col("p") + F.col("r")).cast("double")
-    return bound(spark, sf_dir, LENGTHS).groupBy("source").agg(
+    return document_lengths(spark, sf_dir).groupBy("source").agg(
         M.flops_estimate(CONFIG, F.sum(n), F.sum(n * n), F.lit(0.5)).alias("f"))
 
 
