@@ -17,11 +17,12 @@ copies all that is shared is frequent, so its weight alone would understate how
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import free_name, only, written
@@ -41,6 +42,20 @@ BLOCK = 1024
 IDLE_TURNS, WEAK, FEW_PAIRS, MET = 2, 100, 32, 4
 #: Bytes of an Arrow batch that are turned into Python objects at a time (one row at least).
 PIECE_BYTES = 2 << 20
+#: Rows of an Arrow batch, for its buffers outside the heap. Texts and shingle sets may be long.
+BATCH_ROWS = 512
+
+
+@contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most ``BATCH_ROWS`` rows for what runs inside; the session's own setting comes back after."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
@@ -347,17 +362,18 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     class. Repeated rows share a class. Other columns are ignored; an empty table gives no rows.
     """
     rows = with_row_name(only(docs, key, text).toDF("id", "text"), "id", "text").select("rid", F.col("id").cast("string").alias("id"), "text")
-    idf = idf_weights(document_frequencies(rows.select("text")), rows.count())
-    sampler = docs.sparkSession.sparkContext.broadcast(Sampler(idf))
-    signed = written(signatures(rows, sampler), "dup-signatures")
-    banded = signed.select(F.col("same").alias("id"), "n", "w", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("band")
-    crowded = written(banded.join(shared, "band").select("band", "id", "n", "w").distinct(), "dup-crowded")
-    chosen = signed.join(crowded.select(F.col("id").alias("of")).distinct(), F.col("same") == F.col("of"), "left_semi").groupBy("same").agg(F.min("rid").alias("one"))
-    chosen = written(chosen, "dup-chosen")
-    texts = rows.join(small(chosen), F.col("rid") == F.col("one")).select(F.col("same").alias("id"), "text")
-    sets = written(shingle_sets(texts.dropDuplicates(["id"])), "dup-sets")
-    labels = link_buckets(crowded, sets, sampler, threshold)
+    with short_batches(docs.sparkSession):
+        idf = idf_weights(document_frequencies(rows.select("text")), rows.count())
+        sampler = docs.sparkSession.sparkContext.broadcast(Sampler(idf))
+        signed = written(signatures(rows, sampler), "dup-signatures")
+        banded = signed.select(F.col("same").alias("id"), "n", "w", F.explode("bands").alias("band"))
+        shared = banded.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("band")
+        crowded = written(banded.join(shared, "band").select("band", "id", "n", "w").distinct(), "dup-crowded")
+        chosen = signed.join(crowded.select(F.col("id").alias("of")).distinct(), F.col("same") == F.col("of"), "left_semi").groupBy("same").agg(F.min("rid").alias("one"))
+        chosen = written(chosen, "dup-chosen")
+        texts = rows.join(small(chosen), F.col("rid") == F.col("one")).select(F.col("same").alias("id"), "text")
+        sets = written(shingle_sets(texts.dropDuplicates(["id"])), "dup-sets")
+        labels = link_buckets(crowded, sets, sampler, threshold)
     placed = signed.join(labels.withColumnRenamed("id", "of"), F.col("same") == F.col("of"), "left")
     return placed.select("rid", "id", F.coalesce("label", "same", "rid").alias("class"))
 
