@@ -260,9 +260,15 @@ def batch_size_check(config: DataFrame, total: Column, parts: Column) -> DataFra
 
 
 def fanout_rollouts(prompts: DataFrame, responses: DataFrame, uid: str, n: int, sample: str = "sample") -> DataFrame:
-    """Every prompt ``n`` times, each copy with its own sampled response."""
-    repeated = prompts.withColumn(sample, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return attach(repeated, responses, [uid, sample])
+    """Every prompt ``n`` times, each copy with its own sampled response.
+
+    The copies are made by the join with the responses 0 to ``n - 1``: copies made before it would be sent around, and
+    Spark sizes a side by the rows it had before they were. Neither side is broadcast, whatever its estimate.
+    """
+    at = F.col(sample)
+    numbered = responses.where((at >= 0) & (at < n) & (at == at.cast("int"))).withColumn(sample, at.cast("int"))
+    columns = [*prompts.columns, sample, *[c for c in responses.columns if c not in (uid, sample)]]
+    return attach(prompts.hint("merge"), numbered, [uid]).select(*columns)
 
 
 def sample_per_source(df: DataFrame, source: str, order: str, n: int) -> DataFrame:
