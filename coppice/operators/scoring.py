@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rewards import SCORERS, prefer_model_score
+from ..functions.rewards import SCORERS, let, prefer_model_score
 from ..functions.tokens import mask_total
 from .batch import fanout_rollouts, sample_per_source
 
@@ -35,9 +35,8 @@ def reward_position(mask: Column) -> Column:
 
 
 def placed_reward(mask: Column, score: Column) -> Column:
-    """The score on the last valid token of the row, zero elsewhere."""
-    at = reward_position(mask)
-    return F.transform(mask, lambda _, i: F.when(i == at, score).otherwise(F.lit(0.0)))
+    """The score on the last valid token of the row, zero elsewhere. The position is bound once, not found again per token."""
+    return let(reward_position(mask), lambda at: F.transform(mask, lambda _, i: F.when(i == at, score).otherwise(F.lit(0.0))))
 
 
 def manage_rewards(rows: DataFrame, source: str, text: str, truth: str, mask: str, show: int = 0, order: str | None = None,

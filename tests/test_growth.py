@@ -16,3 +16,11 @@ def test_fanned_out_prompts_are_not_broadcast(spark):
     assert out.columns == ["uid", "m", "sample", "r"] and dict(out.dtypes)["sample"] == "int"
     assert sorted(map(tuple, out.where("uid is not null").collect())) == [(1, "a", 0, "x"), (1, "a", 0, "x"), (1, "a", 9, "y"), (1, "a", 9, "y")]
     assert list(map(tuple, out.where("uid is null").collect())) == [(None, "n", 2, "z")]
+
+
+def test_a_reward_is_placed_in_one_pass(spark):
+    rows = spark.range(0, 4, 1, 4).select(F.array_repeat(F.lit(1).cast("bigint"), 60_000).alias("mask"), F.lit(2.0).alias("score"))
+    start = time.monotonic()
+    placed = rows.select(scoring.placed_reward(F.col("mask"), F.col("score")).alias("p")).select(F.element_at("p", -1).alias("last"), F.size("p").alias("n"))
+    assert [tuple(r) for r in placed.collect()] == [(2.0, 60_000)] * 4
+    assert time.monotonic() - start < 30
