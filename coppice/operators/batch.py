@@ -15,6 +15,7 @@ from .joins import attach, one_row
 from .ordered import hash_bucket, id_bucket, seeded_key, with_position
 
 SLICES = 64
+FOLD_CHUNK = 1024
 TOTAL = "n_rows"
 
 
@@ -239,15 +240,20 @@ def unpad(df: DataFrame) -> DataFrame:
     return df.where(F.col("is_pad") == 0).drop("is_pad")
 
 
-def fold_batch(df: DataFrame, new_size: int, columns: Sequence[str], pos: str = "pos", largest: int = 1024) -> DataFrame:
-    """[b] -> [new_size, b/new_size] in chunks: a row per (fold, chunk) with at most ``largest`` rows of the fold in order.
+def fold_batch(df: DataFrame, new_size: int, columns: Sequence[str], pos: str = "pos", largest: int | None = None) -> DataFrame:
+    """[b] -> [new_size, b/new_size]: a row per fold with all its rows in order, so one cell holds b/new_size rows.
 
-    Chunks follow each other in their fold, so no cell grows with the batch.
+    With ``largest`` a row per (fold, chunk) instead, each with at most that many rows of the fold; chunks follow each
+    other in their fold. Whole folds are put together from sorted chunks, so that no task sorts a fold.
     """
     width = divides(_rows(df), new_size, "fold") / F.lit(new_size)
     placed = df.withColumn("fold", F.floor(F.col(pos) / width))
-    placed = placed.withColumn("chunk", F.floor((F.col(pos) - F.col("fold") * width) / F.lit(largest)))
-    return placed.groupBy("fold", "chunk").agg(F.sort_array(F.collect_list(F.struct(pos, *columns))).alias("rows"))
+    placed = placed.withColumn("chunk", F.floor((F.col(pos) - F.col("fold") * width) / F.lit(largest or FOLD_CHUNK)))
+    chunks = placed.groupBy("fold", "chunk").agg(F.sort_array(F.collect_list(F.struct(pos, *columns))).alias("rows"))
+    if largest is not None:
+        return chunks
+    in_order = F.sort_array(F.collect_list(F.struct("chunk", "rows")))
+    return chunks.groupBy("fold").agg(F.flatten(F.transform(in_order, lambda c: c["rows"])).alias("rows"))
 
 
 def unfold_batch(folded: DataFrame, columns: Sequence[str], pos: str = "pos") -> DataFrame:

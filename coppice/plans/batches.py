@@ -354,16 +354,15 @@ def unpad(spark, sf_dir):
     return batch.unpad(batch.pad_to_divisor(ordered_orders(spark, sf_dir), 64)).select("o_orderkey", "pos")
 
 
-@query("fold_batch", ORD + """ SELECT pos // (n // 10) AS fold, pos % (n // 10) // 1024 AS chunk, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY pos) AS rows
-FROM b, n GROUP BY 1, 2""")
+@query("fold_batch", ORD + """ SELECT pos // (n // 10) AS fold, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY pos) AS rows FROM b, n GROUP BY 1""")
 def fold_batch(spark, sf_dir):
     folded = batch.fold_batch(ordered_orders(spark, sf_dir), 10, ["o_orderkey"])
-    return folded.select("fold", "chunk", F.array_join(F.transform("rows", lambda r: r["o_orderkey"].cast("string")), ",").alias("rows"))
+    return folded.select("fold", F.array_join(F.transform("rows", lambda r: r["o_orderkey"].cast("string")), ",").alias("rows"))
 
 
 @query("unfold_batch", ORD + " SELECT o_orderkey, pos FROM b")
 def unfold_batch(spark, sf_dir):
-    return batch.unfold_batch(batch.fold_batch(ordered_orders(spark, sf_dir), 10, ["o_orderkey"]), ["o_orderkey"]).select("o_orderkey", "pos")
+    return batch.unfold_batch(batch.fold_batch(ordered_orders(spark, sf_dir), 10, ["o_orderkey"], largest=batch.FOLD_CHUNK), ["o_orderkey"]).select("o_orderkey", "pos")
 
 
 @query("sample_generations", """WITH s AS (SELECT p_name || p_partkey AS i, p_brand AS o, p_retailprice AS s,

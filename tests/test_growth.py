@@ -24,3 +24,10 @@ def test_a_reward_is_placed_in_one_pass(spark):
     placed = rows.select(scoring.placed_reward(F.col("mask"), F.col("score")).alias("p")).select(F.element_at("p", -1).alias("last"), F.size("p").alias("n"))
     assert [tuple(r) for r in placed.collect()] == [(2.0, 60_000)] * 4
     assert time.monotonic() - start < 30
+
+
+def test_folds_are_whole(spark):
+    folded = batch.fold_batch(spark.range(9000).selectExpr("id AS pos", "id * 2 AS v"), 3, ["v"])
+    assert folded.columns == ["fold", "rows"]
+    rows = sorted((r.fold, [(x.pos, x.v) for x in r.rows]) for r in folded.collect())
+    assert rows == [(f, [(i, 2 * i) for i in range(3000 * f, 3000 * f + 3000)]) for f in range(3)]
