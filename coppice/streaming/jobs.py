@@ -58,41 +58,71 @@ def _group_normalised(scores: np.ndarray, eps: float) -> np.ndarray:
 
 
 def group_advantage_stream(stream: DataFrame, group: str, row_id: str, score: str, ts: str, group_size: int,
-                           delay: str = "1 hour", timeout_ms: int = 3_600_000, eps: float = 1e-6) -> DataFrame:
+                           delay: str = "1 hour", timeout_ms: int = 3_600_000, eps: float = 1e-6, buckets: int = 4096) -> DataFrame:
     """Group-normalised advantages, emitted when a group has all its responses or its time is up.
 
     A group is normalised as a whole, so a response beyond ``group_size``, or one that comes after its complete group
-    was emitted, is an error. That a group is done is remembered until its time is up, which bounds the state.
+    was emitted, is an error. That a group is done is remembered until its time is up, which bounds the state. State is
+    kept per hash bucket of groups, each group with its own deadline: one call into Python a bucket, not one a group.
     """
-    def finish(key, ids, scores):
-        adv = _group_normalised(np.asarray(scores, dtype="float64"), eps)
-        return pd.DataFrame({"group_id": key[0], "row_id": ids, "advantage": adv, "n": len(ids)})
+    def unpacked(stored):
+        held, start = {}, 0
+        groups, deadlines, done, sizes, ids, scores = stored
+        for name, deadline, finished, size in zip(groups, deadlines, done, sizes, strict=True):
+            held[name] = (deadline, finished, list(ids[start:start + size]), list(scores[start:start + size]))
+            start += size
+        return held
+
+    def packed(held):
+        rows = list(held.values())
+        return (list(held), [r[0] for r in rows], [r[1] for r in rows], [len(r[2]) for r in rows],
+                [i for r in rows for i in r[2]], [s for r in rows for s in r[3]])
+
+    def finished(groups):
+        sizes = [len(ids) for _, ids, _ in groups]
+        names = pd.array([name for name, _, _ in groups], dtype="Int64")
+        return pd.DataFrame({"group_id": names.repeat(sizes), "row_id": pd.array([i for _, ids, _ in groups for i in ids], dtype="Int64"),
+                             "advantage": np.concatenate([_group_normalised(np.asarray(s, dtype="float64"), eps) for _, _, s in groups]),
+                             "n": np.repeat(sizes, sizes)})
 
     def update(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ids, scores, done = (list(state.get[0]), list(state.get[1]), state.get[2]) if state.exists else ([], [], False)
-        if state.hasTimedOut:
+        held, ready, now = unpacked(state.get) if state.exists else {}, [], state.getCurrentWatermarkMs()
+        if not state.hasTimedOut:
+            rows = pd.concat(list(frames), ignore_index=True)
+            ids, absent = rows["row_id"].to_numpy(), rows["no_row"].to_numpy()
+            scores, times = rows["score"].to_numpy(dtype="float64"), rows["ts_ms"].to_numpy()
+            for (no_group, group_id), at in rows.groupby(["no_group", "group_id"], sort=False).indices.items():
+                name = None if no_group else int(group_id)
+                _, done, old_ids, old_scores = held.get(name, (0, False, [], []))
+                all_ids = old_ids + [None if absent[i] else int(ids[i]) for i in at]
+                all_scores = old_scores + scores[at].tolist()
+                if len(all_ids) > (0 if done else group_size):
+                    raise ValueError(f"group {name} has more than {group_size} responses")
+                if len(all_ids) == group_size:
+                    ready.append((name, all_ids, all_scores))
+                    all_ids, all_scores, done = [], [], True
+                held[name] = (max(int(times[at].max()), now) + timeout_ms, done, all_ids, all_scores)
+        for name in [n for n, group in held.items() if group[0] < now]:
+            _, _, late_ids, late_scores = held.pop(name)
+            if late_ids:
+                ready.append((name, late_ids, late_scores))
+        if held:
+            state.update(packed(held))
+            state.setTimeoutTimestamp(min(group[0] for group in held.values()))
+        elif state.exists:
             state.remove()
-            if ids:
-                yield finish(key, ids, scores)
-            return
-        latest = 0
-        for frame in frames:
-            ids += frame["row_id"].tolist()
-            scores += frame["score"].tolist()
-            latest = max(latest, int(frame["ts_ms"].max()))
-        if len(ids) > (0 if done else group_size):
-            raise ValueError(f"group {key[0]} has more than {group_size} responses")
-        if len(ids) == group_size:
-            yield finish(key, ids, scores)
-            ids, scores, done = [], [], True
-        state.update((ids, scores, done))
-        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + timeout_ms)
+        if ready:
+            yield finished(ready)
 
+    name, row = F.col(group).cast("bigint"), F.col(row_id).cast("bigint")
+    none = F.lit(0).cast("bigint")
     slim = stream.withWatermark(ts, delay).select(
-        F.col(group).cast("bigint").alias("group_id"), F.col(row_id).cast("bigint").alias("row_id"),
-        F.col(score).cast("double").alias("score"), F.col(ts), F.unix_millis(ts).alias("ts_ms"))
-    return slim.groupBy("group_id").applyInPandasWithState(
-        update, "group_id bigint, row_id bigint, advantage double, n bigint", "ids array<bigint>, scores array<double>, done boolean",
+        F.pmod(F.xxhash64(name), F.lit(buckets)).alias("bucket"), F.coalesce(name, none).alias("group_id"), name.isNull().alias("no_group"),
+        F.coalesce(row, none).alias("row_id"), row.isNull().alias("no_row"), F.col(score).cast("double").alias("score"), F.col(ts),
+        F.coalesce(F.unix_millis(ts), none).alias("ts_ms"))
+    return slim.groupBy("bucket").applyInPandasWithState(
+        update, "group_id bigint, row_id bigint, advantage double, n bigint",
+        "groups array<bigint>, deadlines array<bigint>, done array<boolean>, sizes array<int>, ids array<bigint>, scores array<double>",
         "append", GroupStateTimeout.EventTimeTimeout)
 
 
