@@ -34,18 +34,30 @@ pp AS (SELECT a.problem_id, a.param_id AS child, r * CASE WHEN a.lj - a.li > 1 T
    FROM ap a JOIN rk r ON r.problem_id = a.problem_id AND r.lj = a.lj AND r.nj = a.nj WHERE a.lj - a.li > 1)"""
 
 
+def graph_lines(spark, sf_dir):
+    """The distinct lines of every part with their count ``n``, those of a part in one partition.
+
+    Lines are narrow, what they unfold to is not: they are counted where their own values lead them, so a part with many
+    lines is spread, and the few that are left are brought together once for all nodes and edges.
+    """
+    lines = bound(spark, sf_dir, LINES)
+    counted = lines.repartition(*lines.columns).groupBy(*lines.columns).agg(F.count(F.lit(1)).alias("n"))
+    return counted.repartition("problem_id")
+
+
 def graph_nodes(spark, sf_dir):
     """The nodes of every part's graph from one scan."""
-    layers = F.array(*[F.struct(F.lit(i).alias("li"), F.col(f"n{i}").alias("ni"), F.lit(c).alias("c")) for i, c in enumerate(CATEGORIES)])
-    nodes = bound(spark, sf_dir, LINES).select("problem_id", F.explode(layers).alias("x")).select("problem_id", "x.li", "x.ni", "x.c").distinct()
-    return nodes.select("problem_id", "li", "ni", F.concat_ws(" ", "c", "ni").alias("name"))
+    layers = F.array(*[F.struct(F.lit(i).alias("li"), F.col(f"n{i}").alias("ni")) for i in range(len(CATEGORIES))])
+    nodes = graph_lines(spark, sf_dir).select("problem_id", F.explode(layers).alias("x")).select("problem_id", "x.li", "x.ni").distinct()
+    category = F.element_at(F.array(*[F.lit(c) for c in CATEGORIES]), F.col("li") + 1)
+    return nodes.select("problem_id", "li", "ni", F.concat_ws(" ", category, "ni").alias("name"))
 
 
 def graph_edges(spark, sf_dir):
     """The edges between neighbouring layers, with their quantity, from one scan."""
     steps = F.array(*[F.struct(F.lit(i).alias("li"), F.col(f"n{i}").alias("ni"), F.lit(i + 1).alias("lj"), F.col(f"n{i + 1}").alias("nj")) for i in range(3)])
-    edges = bound(spark, sf_dir, LINES).select("problem_id", F.explode(steps).alias("x")).groupBy("problem_id", "x.li", "x.ni", "x.lj", "x.nj")
-    return edges.agg((F.count(F.lit(1)) % 5 + 1).alias("quantity"))
+    edges = graph_lines(spark, sf_dir).select("problem_id", "n", F.explode(steps).alias("x")).groupBy("problem_id", "x.li", "x.ni", "x.lj", "x.nj")
+    return edges.agg((F.sum("n") % 5 + 1).alias("quantity"))
 
 
 def graph(spark, sf_dir):
