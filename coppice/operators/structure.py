@@ -145,7 +145,7 @@ def ancestor_closure(roots: DataFrame, parents: DataFrame, present: DataFrame |
     is left beyond it. Without it, rounds run until the frontier is empty and the lineage is cut by a reliable
     checkpoint every round.
     """
-    up = parents.select("problem_id", F.col("child").alias("node"), "parent").distinct()
+    up = parents.select("problem_id", F.col("child").alias("node"), "parent")  # a repeated edge gives no new node
     if present is not None:
         known = present.select("problem_id", F.col("node").alias("parent"))
         up = up.join(known, ["problem_id", "parent"], "left_anti")
@@ -169,11 +169,15 @@ def ancestor_closure(roots: DataFrame, parents: DataFrame, present: DataFrame |
     return closure.unionByName(beyond).distinct()
 
 
-def closure_budget(closure: DataFrame, in_degrees: DataFrame, used_ops: int, max_ops: int) -> DataFrame:
-    """Operations every root would add, and whether they fit the budget."""
+def closure_budget(closure: DataFrame, in_degrees: DataFrame, used_ops: int, max_ops: int, size: str | None = None) -> DataFrame:
+    """Operations every root would add, and whether they fit the budget; ``size`` names a column with its number of nodes.
+
+    ``in_degrees`` has a row per node at most.
+    """
     sized = attach(closure, in_degrees, ["problem_id", "node"], "left")
     cost = operation_cost(F.coalesce("in_degree", F.lit(0)))
-    return sized.groupBy("problem_id", "root").agg(F.sum(cost).alias("new_ops")).withColumn(
+    counted = [F.count(F.lit(1)).alias(size)] if size else []
+    return sized.groupBy("problem_id", "root").agg(F.sum(cost).alias("new_ops"), *counted).withColumn(
         "accepted", (F.col("new_ops") + used_ops <= max_ops).cast("int"))
 
 

@@ -144,9 +144,7 @@ def ancestor_closure(spark, sf_dir):
     roots = S.abstract_params(graph_nodes(spark, sf_dir), CATEGORIES).where("lj - li = 3").select("problem_id", F.col("param_id").alias("node"))
     closure = S.ancestor_closure(roots, up, max_depth=3)
     degree = up.groupBy("problem_id", F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("in_degree"))
-    budget = S.closure_budget(closure, degree, used_ops=5, max_ops=60)
-    size = closure.groupBy("problem_id", "root").agg(F.count(F.lit(1)).alias("n_nodes"))
-    return budget.join(size, ["problem_id", "root"])
+    return S.closure_budget(closure, degree, used_ops=5, max_ops=60, size="n_nodes").where("problem_id IS NOT NULL")
 
 
 # ---------------------------------------------------------------- dependency problems

@@ -31,3 +31,19 @@ def test_folds_are_whole(spark):
     assert folded.columns == ["fold", "rows"]
     rows = sorted((r.fold, [(x.pos, x.v) for x in r.rows]) for r in folded.collect())
     assert rows == [(f, [(i, 2 * i) for i in range(3000 * f, 3000 * f + 3000)]) for f in range(3)]
+
+
+def test_closures_are_counted_with_their_budget(spark):
+    from coppice.operators import structure as S
+    up = spark.createDataFrame([(1, "a", "b"), (1, "a", "b"), (1, "b", "c"), (1, "a", "c")], "problem_id long, child string, parent string")
+    roots = spark.createDataFrame([(1, "a")], "problem_id long, node string")
+    degrees = up.groupBy("problem_id", F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("in_degree"))
+    out = S.closure_budget(S.ancestor_closure(roots, up, max_depth=3), degrees, used_ops=0, max_ops=9, size="n_nodes")
+    assert [r.asDict() for r in out.collect()] == [{"problem_id": 1, "root": "a", "new_ops": 4, "n_nodes": 3, "accepted": 1}]
+
+
+def test_a_grade_is_one_value(spark):
+    from coppice.functions import rewards as R
+    rows = spark.createDataFrame([("Step 2: so \\boxed{3}", "3"), ("the answer is 4", "5")], "a string, b string")
+    out = rows.select(R.math_verdict(F.col("a"), F.col("b")).alias("v")).select("v.correct", "v.format_ok", "v.answer")
+    assert [tuple(r) for r in out.collect()] == [(True, True, "3"), (False, False, "4")]
