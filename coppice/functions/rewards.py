@@ -621,20 +621,25 @@ def grade_answer(given: Column, truth: Column, symbolic: Callable[[Column, Colum
     return F.coalesce(F.when(given.isNull(), False).when(simple, True).otherwise(full), F.lit(False))
 
 
-def evaluate_math(text: Column, truth: Column, symbolic: Callable[[Column, Column], Column] | None = None) -> dict[str, Column]:
-    """{correct, format_ok, answer} of a free-text solution."""
+def math_verdict(text: Column, truth: Column, symbolic: Callable[[Column, Column], Column] | None = None) -> Column:
+    """struct(correct, format_ok, answer) of a free-text solution. Take its fields in a later projection: a column that is
+    read field by field in the same one is worked out once a field."""
     truth = truth.cast("string")
-    answer = match_answer(text)["answer"]
 
     def grade(a):
         readings = F.array(*[F.lit(v) for v in PI_VALUES])
         tried = F.when(has(a, "\\pi") | has(truth, "\\pi"), readings).otherwise(F.slice(readings, 1, 1))
         compared = F.exists(tried, lambda pi: F.coalesce(math_equal(a, truth, pi=pi, symbolic=symbolic), F.lit(False)))
-        graded = grade_answer(a, truth, symbolic)
         laid_out = has(text, "Step 2:") & has(text, "\\box")
-        return F.struct((graded | compared).alias("correct"), (graded | laid_out).alias("format_ok"), a.alias("answer"))
+        graded = grade_answer(a, truth, symbolic)
+        return F.struct((graded | compared).alias("correct"), (laid_out | graded).alias("format_ok"), a.alias("answer"))
 
-    result = let(answer, grade)
+    return let(match_answer(text)["answer"], grade)
+
+
+def evaluate_math(text: Column, truth: Column, symbolic: Callable[[Column, Column], Column] | None = None) -> dict[str, Column]:
+    """The fields of ``math_verdict`` by name."""
+    result = math_verdict(text, truth, symbolic)
     return {name: result[name] for name in ("correct", "format_ok", "answer")}
 
 

@@ -279,8 +279,9 @@ LADDER = [("Step 2: so \\boxed{@}", "@", 1, 1), ("The answer is @0%", "0.@", 1,
     .replace("END AS score", "END::DOUBLE AS score"))
 def score_math_ladder(spark, sf_dir):
     df = bound(spark, sf_dir, rows(a=[x for x, _, _, _ in LADDER], b=[y for _, y, _, _ in LADDER]))
-    out = R.evaluate_math(F.col("a"), F.col("b"))
-    return df.select("p_partkey", out["correct"].cast("double").alias("score"), out["format_ok"].cast("int").alias("format_ok"))
+    dealt = df.repartition(*df.columns)  # a small file is one split, and a row takes long
+    graded = dealt.select("p_partkey", R.math_verdict(F.col("a"), F.col("b")).alias("v"))
+    return graded.select("p_partkey", F.col("v.correct").cast("double").alias("score"), F.col("v.format_ok").cast("int").alias("format_ok"))
 
 
 EQUATIONS = """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber AS n, CAST(l_quantity AS BIGINT) AS q, l_linenumber || ' * (' || CAST(l_quantity AS BIGINT)
