@@ -47,10 +47,15 @@ def simplify_steps(equation: Column) -> Column:
         limit = F.regexp_count(start, F.lit(r"[+\-*(]")) * 2
         rounds = F.sequence(F.lit(0), limit)
 
-        def advance(steps, _):
-            last = F.element_at(steps, -1)
-            return F.when(F.rlike(last, F.lit(_FLOAT)), steps).otherwise(
-                let(_one_step(last), lambda nxt: F.when(nxt.isNull(), steps).otherwise(F.array_append(steps, nxt))))
+        # whether a form is the last one is found when it is made; the rounds left over only look at the answer
+        first = F.struct(F.array(start).alias("steps"), start.alias("last"), F.rlike(start, F.lit(_FLOAT)).alias("done"))
 
-        return F.aggregate(rounds, F.array(start), advance)
+        def taken(s, nxt):
+            return F.when(nxt.isNull(), F.struct(s["steps"].alias("steps"), s["last"].alias("last"), F.lit(True).alias("done"))).otherwise(
+                F.struct(F.array_append(s["steps"], nxt).alias("steps"), nxt.alias("last"), F.rlike(nxt, F.lit(_FLOAT)).alias("done")))
+
+        def advance(s, _):
+            return F.when(s["done"], s).otherwise(let(_one_step(s["last"]), lambda nxt: taken(s, nxt)))
+
+        return F.aggregate(rounds, first, advance, lambda s: s["steps"])
     return let(F.trim(equation), run)
