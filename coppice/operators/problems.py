@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arithmetic import simplify_steps
+from ..functions.rewards import let
 from ..functions.tokens import strip_markers
 from .ordered import seeded_key
 
@@ -239,7 +240,12 @@ def cot_lines(eventful: DataFrame, seed: object = 0, analysis_level: int = 2, de
         return text
 
     def pick(templates, tag):
-        return F.element_at(F.array(*[say(t) for t in templates]), F.floor(draw(tag) * len(templates)).cast("int") + 1)
+        def worded(at):  # only the chosen wording is filled in
+            chosen = F.when(at == 0, say(templates[0]))
+            for i, template in enumerate(templates[1:-1], 1):
+                chosen = chosen.when(at == i, say(template))
+            return chosen.otherwise(say(templates[-1]))
+        return let(F.floor(draw(tag) * len(templates)).cast("int"), worded)
 
     sources = F.size("pnames")
     inputs = sources + F.when(F.col("n.rng").isNotNull(), 1).otherwise(0)
