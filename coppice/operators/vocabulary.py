@@ -7,14 +7,25 @@ here; the public byte-pair vocabularies serve where those are wanted.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+import sys
+from collections.abc import Callable, Sequence
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .ordered import with_position
 
+# The chunk functions travel with the task, so Python workers need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 PIECE = r"([ \t\n\r\f]+|[^ \t\n\r\f]+)"
+_PIECES = re.compile(r"[ \t\n\r\f]+|[^ \t\n\r\f]+")
+#: Hash chunks of texts; only their size depends on it, some 0.75 MB of text each for 6 GB.
+CHUNKS = 8192
 RESERVED = ("<pad>", "<unk>", "<eos>")
 PAD, UNKNOWN, END = range(3)
 
@@ -36,23 +47,55 @@ def build(texts: DataFrame, text: str = "text", reserved: Sequence[str] = RESERV
     return first.unionByName(numbered) if reserved else numbered
 
 
-def _gathered(rows: DataFrame, value: str) -> DataFrame:
-    """The values of every ``__key`` in order of ``at``; a key whose only row has no place has none."""
-    items = F.sort_array(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", value))))
-    return rows.groupBy("__key").agg(F.transform(items, lambda x: x[value]).alias(value), F.max("missing").alias("missing"))
+def _in_chunks(rows: DataFrame) -> DataFrame:
+    """Rows in hash chunks of their key: a chunk asks the vocabulary once for what its texts share."""
+    return rows.withColumn("__chunk", F.pmod(F.xxhash64("__key"), F.lit(CHUNKS))).repartition("__chunk")
+
+
+def _merged(keys: list, values: list) -> dict:
+    """The values of every key; rows of one key are one, by place and then value, and null when one of them is."""
+    found = {}
+    for key, value in zip(keys, values, strict=True):
+        found.setdefault(key, []).append(value)
+    return {key: None if any(v is None for v in many) else many[0] if len(many) == 1 else
+            [x for _, x in sorted((at, x) for v in many for at, x in enumerate(v))] for key, many in found.items()}
+
+
+def _looked_up(rows: DataFrame, codes: DataFrame, key: str, value: str, kind: T.DataType, read: Callable[[dict], Callable]) -> DataFrame:
+    """(key, value): every chunk of ``rows`` (__key, value, __chunk) with its own (given, wanted) pairs of ``codes`` (by __of)."""
+    schema = T.StructType([T.StructField(key, rows.schema["__key"].dataType), T.StructField(value, kind)])
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        convert, given = read(dict(zip(right["given"].to_pylist(), right["wanted"].to_pylist(), strict=True))), left["value"].to_pylist()
+        merged = _merged(left["__key"].to_pylist(), [None if v is None else convert(v) for v in given])
+        values = [v if v is None or value == "ids" else "".join(v) for v in merged.values()]
+        return pa.table({key: pa.array(merged, left["__key"].type), value: pa.array(values, pa.list_(pa.int64()) if value == "ids" else pa.string())})
+
+    return rows.groupBy("__chunk").cogroup(codes.groupBy("__of")).applyInArrow(work, schema)
 
 
 def encode(texts: DataFrame, vocabulary: DataFrame, key: str, text: str = "text", reserved: int = len(RESERVED), unknown: int = UNKNOWN) -> DataFrame:
-    """(key, ids) by a join on the piece; other pieces become ``unknown``, a null text has null ids. ``key`` is unique."""
-    rows = texts.select(F.col(key).alias("__key"), F.col(text).isNull().alias("missing"), F.posexplode_outer(pieces(F.col(text))).alias("at", "token"))
-    known = vocabulary.where(F.col("id") >= reserved).select("token", "id")
-    coded = rows.join(known, "token", "left").withColumn("id", F.coalesce("id", F.lit(unknown).cast("bigint")))
-    return _gathered(coded, "id").select(F.col("__key").alias(key), F.when(~F.col("missing"), F.col("id")).alias("ids"))
+    """(key, ids) by a join on the piece; other pieces become ``unknown``, a null text has null ids. ``key`` is unique.
+
+    The distinct pieces of a chunk of texts are joined with the vocabulary, not every occurrence.
+    """
+    rows = _in_chunks(texts.select(F.col(key).alias("__key"), F.col(text).alias("value")))
+    asked = rows.select(F.col("__chunk").alias("__of"), F.explode(pieces(F.col("value"))).alias("given")).distinct()
+    codes = asked.join(vocabulary.where(F.col("id") >= reserved).select(F.col("token").alias("given"), F.col("id").alias("wanted")), "given")
+    return _looked_up(rows, codes, key, "ids", T.ArrayType(T.LongType()), lambda known: lambda value: [known.get(p, unknown) for p in _PIECES.findall(value)])
 
 
 def decode(encoded: DataFrame, vocabulary: DataFrame, key: str, ids: str = "ids") -> DataFrame:
     """(key, text) by a join on the id; null ids give null. An id that the vocabulary lacks is an error."""
-    rows = encoded.select(F.col(key).alias("__key"), F.col(ids).isNull().alias("missing"), F.posexplode_outer(ids).alias("at", "id"))
-    read = rows.join(vocabulary.select("id", "token"), "id", "left")
-    checked = read.withColumn("token", F.when(F.col("at").isNotNull() & F.col("token").isNull(), F.raise_error(F.lit("an id is not in the vocabulary"))).otherwise(F.col("token")))
-    return _gathered(checked, "token").select(F.col("__key").alias(key), F.when(~F.col("missing"), F.array_join("token", "")).alias("text"))
+    rows = _in_chunks(encoded.select(F.col(key).alias("__key"), F.col(ids).alias("value")))
+    asked = rows.select(F.col("__chunk").alias("__of"), F.explode("value").alias("given")).distinct()
+    codes = asked.join(vocabulary.select(F.col("id").alias("given"), F.col("token").alias("wanted")), "given")
+
+    def read(known):
+        def tokens(value):
+            if not known.keys() >= set(value):
+                raise ValueError("an id is not in the vocabulary")
+            return [known[i] for i in value]
+        return tokens
+
+    return _looked_up(rows, codes, key, "text", T.StringType(), read)

@@ -47,3 +47,10 @@ def test_a_grade_is_one_value(spark):
     rows = spark.createDataFrame([("Step 2: so \\boxed{3}", "3"), ("the answer is 4", "5")], "a string, b string")
     out = rows.select(R.math_verdict(F.col("a"), F.col("b")).alias("v")).select("v.correct", "v.format_ok", "v.answer")
     assert [tuple(r) for r in out.collect()] == [(True, True, "3"), (False, False, "4")]
+
+
+def test_texts_are_encoded_without_a_row_per_occurrence(spark):
+    from coppice.operators import vocabulary as V
+    texts = spark.createDataFrame([(1, "a b a")], "id long, text string")
+    plan = V.encode(texts, spark.createDataFrame([("a", 3)], "token string, id long"), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in plan
