@@ -38,7 +38,7 @@ _DIGIT = r"[\p{Nd}\u00b2\u00b3\u00b9\u2070\u2074-\u2079\u2080-\u2089]"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return F.element_at(F.transform(F.array_repeat(value, 1), body), 1)  # one value: array() copies its items twice
 
 
 def let_each(step: Callable[[Column], Column], a: Column, b: Column, body: Callable[[Column, Column], Column]) -> Column:
@@ -54,7 +54,8 @@ def chain(value: Column, *steps: Callable[[Column], Column]) -> Column:
 
 
 def strip(x: Column) -> Column:
-    return F.btrim(x, F.lit(WHITESPACE))
+    """Without white space at both ends; looked at first, since a trim compares each end with every such character."""
+    return F.when(F.rlike(x, F.lit(r"(?s)^[!-~](.*[!-~])?\z")), x).otherwise(F.btrim(x, F.lit(WHITESPACE)))
 
 
 def drop(x: Column, *texts: str) -> Column:
@@ -172,7 +173,7 @@ def boxed_group(text: Column) -> Column:
 
 # ---------------------------------------------------------------- LaTeX clean-up
 def fix_sqrt(x: Column) -> Column:
-    return F.when(F.rlike(x, F.lit(r"\\sqrt(\\sqrt|\z)")), F.lit(None)).otherwise(
+    return F.when(~has(x, "\\sqrt"), x).when(F.rlike(x, F.lit(r"\\sqrt(\\sqrt|\z)")), F.lit(None)).otherwise(
         F.regexp_replace(x, r"(?s)\\sqrt([^{])", r"\\sqrt{$1}"))
 
 
@@ -190,7 +191,7 @@ def fix_fracs(x: Column) -> Column:
         fixed = F.array_join(F.concat(F.slice(parts, 1, 1), F.transform(tails, braces)), "\\frac")
         return F.when(short.isNull(), fixed).when(short == "", F.lit(None)).otherwise(x)
 
-    return let(F.split(x, r"\\frac", -1), rebuild)
+    return F.when(has(x, "\\frac"), let(F.split(x, r"\\frac", -1), rebuild)).otherwise(x)
 
 
 def fix_a_slash_b(x: Column, lenient: bool = False) -> Column:
@@ -281,50 +282,45 @@ def reward_manager(name: str, format_scale: float = 0.0) -> Callable[..., Column
 # ---------------------------------------------------------------- free-text answers
 def match_answer(response: Column) -> dict[str, Column]:
     """Where the answer of a free-text response is: {matched, answer}."""
+    def cut_at(s, marks, kept):
+        """Mark by mark; a text without the mark goes on as it is."""
+        def cut(v, mark):
+            behind = F.length(F.call_function("substring_index", v["l"], mark, F.lit(-1)))
+            return F.when(F.contains(v["l"], mark), _state(strip(kept(v, mark, behind)), F.lit(True))).otherwise(v)
+        return F.aggregate(F.array(*[F.lit(mark) for mark in marks]), s, cut)
+
     def after(s, marks):
-        for mark in marks:
-            def cut(v, mark=mark):
-                at = F.length(v["r"]) - F.length(F.substring_index(F.lower(v["r"]), mark, -1))
-                found = has(F.lower(v["r"]), mark)
-                return _state(F.when(found, strip(F.substr(v["r"], at + 1))).otherwise(v["r"]), v["m"] | found)
-            s = _bind(s, cut)
-        return s
+        return cut_at(s, marks, lambda v, mark, behind: F.substr(v["r"], F.length(v["r"]) - behind + 1))
 
     def before(s, marks):
-        for mark in marks:
-            def cut(v, mark=mark):
-                found = has(F.lower(v["r"]), mark)
-                tail = F.length(F.substring_index(F.lower(v["r"]), mark, -1)) + len(mark)
-                return _state(F.when(found, strip(F.substr(v["r"], F.lit(1), F.length(F.lower(v["r"])) - tail))).otherwise(v["r"]),
-                              v["m"] | found)
-            s = _bind(s, cut)
-        return s
+        return cut_at(s, marks, lambda v, mark, behind: F.substr(v["r"], F.lit(1), F.length(v["l"]) - behind - F.length(mark)))
 
     def box(v):
-        return let(boxed_group(v["r"]), lambda b: _state(F.when(F.length(b) > 0, b).otherwise(v["r"]),
-                                                         v["m"] | F.coalesce(F.length(b) > 0, F.lit(False))))
+        return F.when(has(v["r"], "\\boxed") | has(v["r"], "\\fbox"), let(boxed_group(v["r"]), lambda b: (
+            F.when(F.length(b) > 0, _state(b, F.lit(True))).otherwise(v)))).otherwise(v)
 
     def sentence(v):
         kept = F.length(v["r"]) - F.length(F.substring_index(v["r"], ". ", -1)) - 2
-        return _state(F.when(has(v["r"], ". "), strip(F.substr(v["r"], F.lit(1), kept))).otherwise(v["r"]), v["m"])
+        return F.when(has(v["r"], ". "), _state(strip(F.substr(v["r"], F.lit(1), kept)), v["m"])).otherwise(v)
 
     state = before(after(_state(response, F.lit(False)), ANSWER_OPENERS), ANSWER_CLOSERS)
     state = after(_bind(_bind(state, box), sentence), VALUE_OPENERS)
-    state = _bind(state, lambda v: _state(v["r"], v["m"] & F.rlike(v["r"], F.lit(_DIGIT))))
-    return {"matched": state["m"], "answer": state["r"]}
+    matched = let(state, lambda v: F.when(v["r"].isNotNull(), v["m"] & F.rlike(v["r"], F.lit(_DIGIT))))
+    return {"matched": matched, "answer": state["r"]}
 
 
 def _state(text: Column, matched: Column) -> Column:
-    return F.struct(text.alias("r"), matched.alias("m"))
+    """Text, its lower case (looked at for every mark) and whether a mark was found."""
+    return F.struct(text.alias("r"), F.lower(text).alias("l"), matched.alias("m"))
 
 
 def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+    return let(value, lambda v: body(v))
 
 
 def py_float(x: Column) -> Column:
     """Number as a lenient float parser reads it; null when it is not one."""
-    return F.when(F.rlike(x, F.lit(_FLOAT)), drop(strip(x), "_").try_cast("double"))
+    return let(x, lambda s: F.when(F.rlike(s, F.lit(_FLOAT)), drop(strip(s), "_").try_cast("double")))
 
 
 def _near_int(x: Column) -> Column:
@@ -341,11 +337,12 @@ def _int_text(x: Column) -> Column:
 def strip_commas(x: Column) -> Column:
     """Drop thousands commas pass by pass until nothing changes (a pass eats the character after the group)."""
     passes = F.sequence(F.lit(0), occurrences(x, ",").cast("int"))
-    return F.aggregate(passes, x, lambda s, _: F.regexp_replace(s, r"(?Ud)(\d)(,)(\d\d\d)($|\D)", "$1$3$4"))
+    return F.when(has(x, ","), F.aggregate(
+        passes, x, lambda s, _: F.regexp_replace(s, r"(?Ud)(\d)(,)(\d\d\d)($|\D)", "$1$3$4"))).otherwise(x)
 
 
 def is_int_text(x: Column) -> Column:
-    return _near_int(py_float(strip_commas(x)))
+    return let(py_float(strip_commas(x)), _near_int)
 
 
 def is_fraction(x: Column) -> Column:
@@ -354,12 +351,12 @@ def is_fraction(x: Column) -> Column:
 
 def unwrap_text(x: Column) -> Column:
     pattern = r"(?d)^\\text\{(.+?)\}$"
-    return F.when(F.rlike(x, F.lit(pattern)), F.regexp_extract(x, pattern, 1)).otherwise(x)
+    return F.when(F.startswith(x, F.lit("\\text{")) & F.rlike(x, F.lit(pattern)), F.regexp_extract(x, pattern, 1)).otherwise(x)
 
 
 def normalize_answer(x: Column) -> Column:
     """Strip, unwrap \\text{} and clean up leniently; a failed clean-up keeps the unwrapped text."""
-    return chain(strip(x), lambda s: F.when(unwrap_text(s) == s, s).otherwise(strip(unwrap_text(s))),
+    return chain(strip(x), lambda s: let(unwrap_text(s), lambda u: F.when(u == s, s).otherwise(strip(u))),
                  lambda s: F.coalesce(normalize_math(s, lenient=True), s))
 
 
@@ -378,30 +375,33 @@ def plain_latex(x: Column) -> Column:
 
 def normalize_text_answer(x: Column, latex_to_text: Callable[[Column], Column] = plain_latex) -> Column:
     """Normal form of a worded answer. ``latex_to_text`` turns remaining LaTeX into plain text, null to leave it."""
-    def units(s):
+    def without_units(s):
         for unit in UNITS:
             s = F.regexp_replace(s, unit + r"(es)?(s)? *(\^[0-9]+)?", "")
         return F.regexp_replace(s, r"\^ *\\circ", "")
 
+    def units(s):  # one look for any of them; most answers have none
+        return F.when(F.rlike(s, F.lit("|".join([*UNITS, r"\^ *\\circ"]))), without_units(s)).otherwise(s)
+
     def braces(s):
         return F.when(F.startswith(s, F.lit("{")) & F.endswith(s, F.lit("}")), F.substr(s, F.lit(2), F.length(s) - 2)).otherwise(s)
 
     def whole(s):
-        return let(py_float(s), lambda v: F.when(_near_int(v), _int_text(F.rint(v))).otherwise(s))
+        return let(py_float(s), lambda v: F.when(_near_int(v), let(F.rint(v), _int_text)).otherwise(s))
 
     def latex(s):
         return F.when(has(s, "\\"), F.coalesce(latex_to_text(s), s)).otherwise(s)
 
     def integer(s):
-        return F.when(is_int_text(s), _int_text(_truncate(py_float(drop(s, ","))))).otherwise(s)
+        return F.when(is_int_text(s), let(let(py_float(drop(s, ",")), _truncate), _int_text)).otherwise(s)
 
     return chain(
         x, unwrap_text,
         lambda s: drop(swap(swap(s, "\\%", "%"), "\\$", "$"), "$", "%"),
         lambda s: swap(swap(s, " or ", " , "), " and ", " , "),
         lambda s: swap(swap(swap(s, "million", "*10^6"), "billion", "*10^9"), "trillion", "*10^12"),
-        units, braces, lambda s: F.regexp_replace(s, r",\\! *", ""), whole, latex,
-        lambda s: F.regexp_replace(F.regexp_replace(s, "- *", "-"), "([0-9]) +([0-9])", "$1+$2"),
+        units, braces, lambda s: F.when(has(s, ",\\!"), F.regexp_replace(s, r",\\! *", "")).otherwise(s), whole, latex,
+        lambda s: F.when(has(s, " "), F.regexp_replace(F.regexp_replace(s, "- *", "-"), "([0-9]) +([0-9])", "$1+$2")).otherwise(s),
         F.lower, integer)
 
 
@@ -510,7 +510,7 @@ def format_interval(x: Column) -> Column:
         value = F.concat(F.lit(left), F.regexp_extract(x, pattern, 1), F.lit(right))
         hit = F.rlike(x, F.lit(pattern))
         out = F.when(hit, value) if out is None else out.when(hit, value)
-    return out.otherwise(x)
+    return F.when(F.startswith(x, F.lit("Interval")), out.otherwise(x)).otherwise(x)
 
 
 def math_equal(prediction: Column, reference: Column, pi: Column | None = None, depth: int = 1,
@@ -527,7 +527,7 @@ def math_equal(prediction: Column, reference: Column, pi: Column | None = None,
 def _rungs(p, r, depth, symbolic):
     text = (F.lower(strip(p)) == F.lower(strip(r))) | (drop(p, " ") == drop(r, " "))
     numeric = let_each(digit_value, p, r, _close_numbers)
-    shape = F.struct(format_interval(strip(p)).alias("p"), strip(r).alias("r"))
+    shape = F.struct(let(strip(p), format_interval).alias("p"), strip(r).alias("r"))
     structural = let(shape, lambda s: _structure(s["p"], s["r"], depth, symbolic))
     return F.when(p.isNull() | r.isNull(), F.lit(None)).when(text, True).otherwise(
         F.coalesce(numeric, F.when(p == "", False).otherwise(structural)))
@@ -631,8 +631,8 @@ def math_verdict(text: Column, truth: Column, symbolic: Callable[[Column, Column
         tried = F.when(has(a, "\\pi") | has(truth, "\\pi"), readings).otherwise(F.slice(readings, 1, 1))
         compared = F.exists(tried, lambda pi: F.coalesce(math_equal(a, truth, pi=pi, symbolic=symbolic), F.lit(False)))
         laid_out = has(text, "Step 2:") & has(text, "\\box")
-        graded = grade_answer(a, truth, symbolic)
-        return F.struct((graded | compared).alias("correct"), (laid_out | graded).alias("format_ok"), a.alias("answer"))
+        rung = F.when(grade_answer(a, truth, symbolic), 2).when(compared, 1).otherwise(0)  # graded once for both fields
+        return let(rung, lambda n: F.struct((n > 0).alias("correct"), (laid_out | (n == 2)).alias("format_ok"), a.alias("answer")))
 
     return let(match_answer(text)["answer"], grade)
 

@@ -279,7 +279,8 @@ LADDER = [("Step 2: so \\boxed{@}", "@", 1, 1), ("The answer is @0%", "0.@", 1,
     .replace("END AS score", "END::DOUBLE AS score"))
 def score_math_ladder(spark, sf_dir):
     df = bound(spark, sf_dir, rows(a=[x for x, _, _, _ in LADDER], b=[y for _, y, _, _ in LADDER]))
-    dealt = df.repartition(*df.columns)  # a small file is one split, and a row takes long
+    # a small file is one split and a row takes long; a given number is not put together again to fewer tasks than cores
+    dealt = df.repartition(4 * spark.sparkContext.defaultParallelism, *df.columns)
     graded = dealt.select("p_partkey", R.math_verdict(F.col("a"), F.col("b")).alias("v"))
     return graded.select("p_partkey", F.col("v.correct").cast("double").alias("score"), F.col("v.format_ok").cast("int").alias("format_ok"))
 

@@ -49,6 +49,17 @@ def test_a_grade_is_one_value(spark):
     assert [tuple(r) for r in out.collect()] == [(True, True, "3"), (False, False, "4")]
 
 
+def test_an_answer_is_graded_once_for_both_fields(spark):
+    from coppice.functions import rewards as R
+    rows = spark.createDataFrame([("Step 2: so \\boxed{ 3\u3000}", "3"), ("the answer is Interval(1, 2)", "[1.0, 2]"), ("it is 1,234 cm", "1234"),
+                                  ("The ANSWER IS \\frac12", "0.5"), ("we get 7\u00a0", "8"), (None, "1")], "a string, b string")
+    out = rows.select(R.math_verdict(F.col("a"), F.col("b")).alias("v"))
+    assert out._jdf.queryExecution().analyzed().toString().count("(\\p{L})") == 1  # the pattern of the guard
+    assert [tuple(r) for r in out.select("v.correct", "v.format_ok", "v.answer").collect()] == [
+        (True, True, "3"), (True, False, "Interval(1, 2)"), (True, True, "1,234 cm"), (True, True, "\\frac12"), (False, False, "7"), (False, None, None)]
+    plan = rows.repartition(7, "a").select(R.match_answer(F.col("a"))["matched"].alias("m"))
+    assert [r.m for r in plan.orderBy("a").collect()][0] is None
+
 def test_texts_are_encoded_without_a_row_per_occurrence(spark):
     from coppice.operators import vocabulary as V
     texts = spark.createDataFrame([(1, "a b a")], "id long, text string")
