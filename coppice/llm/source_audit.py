@@ -2,8 +2,8 @@
 
 1. A term in ``minDF`` documents of a language is in as many of the table, so one ``CountVectorizer`` with that ``minDF``
    and the largest integer as ``vocabSize`` holds the vocabularies of all languages. Its sparse document vectors are
-   summed per language and source, their non-zero entries counted too: a language keeps the terms whose entries, its
-   exact document frequencies, reach ``minDF``.
+   brought together by language and source (a large group in several tasks) and summed, their non-zero entries counted
+   too: a language keeps the terms whose entries, its exact document frequencies, reach ``minDF``.
 2. A group gives a term p = 1 + floor(SCALE * (count + PRIOR) / (N + PRIOR * V)), V terms of the language and N
    occurrences of them in the group.
 3. The distance of two groups is the sum of |p - q| over all V terms. Terms that one or none of them has are not
@@ -47,9 +47,12 @@ def group_counts(docs: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
     tokens = docs.select("lang", "source", terms_of("text").alias("terms"))
     never_empty = docs.sparkSession.range(min_docs).select(F.array(F.lit("")).alias("terms"))  # an empty vocabulary is refused
     frequent = CountVectorizer(inputCol="terms", outputCol="vector", minDF=min_docs, vocabSize=WHOLE_VOCABULARY)
-    model = frequent.fit(tokens.select("terms").unionByName(never_empty))
-    entries = model.transform(tokens).select("lang", "source", F.unwrap_udt("vector").alias("v"))
-    entries = entries.select("lang", "source", F.explode(F.arrays_zip(F.col("v.indices").alias("term"), F.col("v.values").alias("n"))).alias("e"))
+    model = frequent.fit(tokens.select(F.array_distinct("terms").alias("terms")).unionByName(never_empty))  # only documents are counted
+    vectors = model.transform(tokens).select("lang", "source", F.unwrap_udt("vector").alias("v"))
+    vectors = vectors.select(F.xxhash64("lang", "source").alias("near"), "lang", "source", "v.indices", "v.values")
+    # documents of a group are brought together as vectors, in tasks of a bounded size: most of their terms are then summed in the task
+    vectors = vectors.hint("rebalance", F.col("near")).drop("near")
+    entries = vectors.select("lang", "source", F.explode(F.arrays_zip(F.col("indices").alias("term"), F.col("values").alias("n"))).alias("e"))
     summed = entries.groupBy("lang", "source", F.col("e.term").alias("term")).agg(F.sum("e.n").cast("long").alias("n"), F.count(F.lit(1)).alias("docs"))
     shape = StructType([StructField("term", IntegerType()), StructField("item", StringType())])
     items = pd.DataFrame({"term": range(len(model.vocabulary)), "item": pd.Series(model.vocabulary, dtype=object)})

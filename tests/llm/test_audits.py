@@ -98,6 +98,15 @@ def test_source_audit_on_odd_rows(spark, odd_rows, no_rows):
     assert source_audit.audit(no_rows).isEmpty()
 
 
+def test_terms_of_a_group_are_summed_where_its_documents_meet(spark):
+    """Vectors, not their entries, are brought together by group; groups that differ in one column stay apart."""
+    rows = [("a b a C", "en", "x"), ("a b a C", "en", "x"), ("b b", "en", ""), ("c", "", "x"), ("", "en", "x"), ("rare", "en", "x")]
+    summed, vocabulary = source_audit.group_counts(spark.createDataFrame(rows, "text string, lang string, source string").repartition(3), 2)
+    assert "REBALANCE_PARTITIONS_BY_COL" in summed._jdf.queryExecution().executedPlan().toString()
+    got = sorted(tuple(r) for r in summed.join(vocabulary, "term").select("lang", "source", "item", "n", "docs").collect())
+    assert got == [("", "x", "c", 1, 1), ("en", "", "b", 2, 1), ("en", "x", "a", 4, 2), ("en", "x", "b", 2, 2), ("en", "x", "c", 2, 2)]
+
+
 def library():
     coder = byte_pairs.Coder(RANKS, public_tokenizers.PATTERN)
     return coder, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
